@@ -73,10 +73,11 @@ def scan_licenses(
     """
     sets = {name: grams for name, text in sorted(templates.items()) if (grams := bigrams_of(text))}
     names = list(sets)
-    ratio = threshold / (2 - threshold)
 
     def fits(grams: Column, known: list[str]) -> Column:
-        return (F.size(grams) >= len(known) * ratio) & (F.size(grams) <= len(known) / ratio)
+        """Whether the sizes alone leave dice a chance: all of the smaller set would be common."""
+        n = F.size(grams)
+        return F.least(n, F.lit(len(known))) * 2.0 / (n + len(known)) >= threshold
 
     def in_bounds(grams: Column) -> Column:
         any_fits = F.lit(False)
@@ -93,7 +94,7 @@ def scan_licenses(
             scores.append(F.struct(dice.alias("dice"), F.lit(-number).alias("no")))
         return F.array_max(F.array(*scores))
 
-    fewest = min([len(x) for x in sets.values()], default=0) * ratio
+    fewest = min([len(x) for x in sets.values()], default=0) * threshold / (2 - threshold) - 1e-9
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     return (

@@ -88,8 +88,8 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, number of bits) of the fewest segments of which one differs by one bit at most."""
-    n = (distance + 2) // 2
+    """(first bit, number of bits) of the fewest segments, two at least, of which one differs by one bit at most."""
+    n = max(2, (distance + 2) // 2)
     cuts = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -100,11 +100,7 @@ def variant_keys(distance: int) -> list[Column]:
     for number, (first, width) in enumerate(segments(distance)):
         part = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
         for bit in range(width):
-            if width > 40:  # the number must fit beside the bits
-                wild = F.xxhash64(F.lit(number), F.lit(bit), part.bitwiseAND(F.lit(~(1 << bit))))
-            else:
-                wild = part.bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit((number * BITS + bit) << 42))
-            out.append(wild)
+            out.append(part.bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit((number * BITS + bit) << 42)))
     return out
 
 

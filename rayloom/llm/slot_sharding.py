@@ -87,8 +87,9 @@ def rebalance(old: SlotMap, sizes: dict[int, tuple[int, int]], shards: int, tole
     """The next version for new sizes or more shards.
 
     Slots keep their shard unless that shard is gone or holds more than its fair
-    share plus ``tolerance``; such shards give slots to the lightest one as long
-    as that lowers the larger of the two loads.
+    share plus ``tolerance``. Such a shard gives slots to the lightest one that
+    gives none, as long as that lowers the larger of the two loads and leaves the
+    giver its fair share less ``tolerance``.
     """
     new = SlotMap(old.version + 1, shards, {}, {s: b for s, (b, _) in sizes.items()}, {s: n for s, (_, n) in sizes.items()})
     homeless = []
@@ -103,16 +104,18 @@ def rebalance(old: SlotMap, sizes: dict[int, tuple[int, int]], shards: int, tole
         shard = min(range(shards), key=lambda s: (loads[s], s))
         new.shard_of[slot] = shard
         loads[shard] += sizes[slot][0]
-    limit = (1 + tolerance) * sum(loads) / shards
+    fair, gave = sum(loads) / shards, set()
     for giver in range(shards):
         for slot in sorted((s for s, h in new.shard_of.items() if h == giver), key=lambda s: (-sizes[s][0], s)):
-            if loads[giver] <= limit:
+            size = sizes[slot][0]
+            if loads[giver] <= (1 + tolerance) * fair or len(gave | {giver}) == shards:
                 break
-            taker = min(range(shards), key=lambda s: (loads[s], s))
-            if loads[taker] + sizes[slot][0] < loads[giver]:
+            taker = min((s for s in range(shards) if s != giver and s not in gave), key=lambda s: (loads[s], s))
+            if size <= loads[giver] - (1 - tolerance) * fair and loads[taker] + size < loads[giver]:
+                gave.add(giver)
                 new.shard_of[slot] = taker
-                loads[giver] -= sizes[slot][0]
-                loads[taker] += sizes[slot][0]
+                loads[giver] -= size
+                loads[taker] += size
     return new
 
 
