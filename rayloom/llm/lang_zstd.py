@@ -111,7 +111,7 @@ def identify(
     docs: DataFrame,
     contents: list[tuple[str, bytes]],
     min_margin: float = 0.01,
-    level: int = 3,
+    level: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

@@ -103,5 +103,101 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found | {"pipeline": corpus_pipeline.run}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM e q, e c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
+w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight FROM s),
+f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY source_size::DOUBLE / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS unused,
+      (sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS heavy FROM w),
+g AS (SELECT *, (source_size * 3)::HUGEINT * heavy >= weight::HUGEINT * unused AS fits FROM f),
+lv AS (SELECT arg_min(unused::DOUBLE / heavy::DOUBLE, (source_size::DOUBLE / weight, source)) AS level FROM g WHERE fits),
+t AS (SELECT source, source_size, n, CASE WHEN fits THEN weight::DOUBLE * level ELSE (source_size * 3)::DOUBLE END AS target FROM g, lv),
+h AS (SELECT d.doc_id, d.source, d.size, d.key, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS share,
+      ('0x' || substr(d.key, 1, 8))::BIGINT % ceil(t.n / 4096.0)::BIGINT AS bucket FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, floor(share) AS whole, share - floor(share) AS part, sum(size) OVER (PARTITION BY source, bucket ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run,
+      sum(size) OVER (PARTITION BY source, bucket) AS bucket_size FROM h)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN part > 0 AND (run * 2 - size)::DOUBLE <= part * bucket_size * 2 THEN 1 ELSE 0 END))::BIGINT AS taken FROM b
+"""
+
+OP5_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)}) v(rule_host, rule_path, verdict)),
+m AS (SELECT p.*, r.rule_host || r.rule_path AS rule, r.verdict FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) AS n FROM m)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM k WHERE n = 1
+"""
+
+OP6_SQL = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM l),
+w AS (SELECT doc_id, pos, trim(line, ' ') AS a, lead(trim(line, ' ')) OVER d AS b, lead(trim(line, ' '), 2) OVER d AS c FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+v AS (SELECT * FROM w WHERE c IS NOT NULL AND (a <> '' OR b <> '' OR c <> '')),
+o AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS n FROM v),
+g AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM o WHERE n > 1),
+k AS (SELECT x.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(x.line, chr(10) ORDER BY x.pos) FILTER (g.pos IS NULL), '') AS clean
+      FROM x LEFT JOIN g USING (doc_id, pos) GROUP BY x.doc_id)
+SELECT l.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, CASE WHEN l.text IS NOT NULL THEN md5(clean) END AS clean_md5 FROM l LEFT JOIN k USING (doc_id)
+"""
+
+_TEMPLATES = ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES.items())
+
+
+def _normal(text: str) -> str:
+    return f"trim(regexp_replace({_LOWER.format(text)}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' ')"
+
+
+def _grams(words: str) -> str:
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+OP9_SQL = f"""
+WITH t AS (SELECT name, {_grams("w")} AS known FROM (SELECT name, string_split({_normal("body")}, ' ') AS w FROM (VALUES {_TEMPLATES}) v(name, body))),
+x AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, {_normal("unnest(lines)")} AS passage FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+n AS (SELECT doc_id, count_if(passage <> '')::INT AS n_passages FROM x GROUP BY doc_id),
+g AS (SELECT doc_id, pos, {_grams("w")} AS grams FROM (SELECT doc_id, pos, string_split(passage, ' ') AS w FROM x WHERE passage LIKE '% %')),
+s AS (SELECT doc_id, pos, name, len(list_intersect(grams, known)) * 2.0::DOUBLE / (len(grams) + len(known)) AS dice FROM g JOIN t
+      ON least(len(grams), len(known)) * 2.0::DOUBLE / (len(grams) + len(known)) >= 0.8::DOUBLE),
+h AS (SELECT doc_id, count(DISTINCT pos)::INT AS n_matches, max(dice) AS dice, arg_min(name, (-dice, name)) AS license FROM s WHERE dice >= 0.8::DOUBLE GROUP BY doc_id)
+SELECT n.doc_id, n_passages, coalesce(n_matches, 0)::INT AS n_matches, license, dice FROM n LEFT JOIN h USING (doc_id)
+"""
+
+_TOKENS = f"regexp_extract_all({_LOWER.format('{}')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP10_SQL = f"""
+WITH b AS (SELECT item_id, {_TOKENS.format("text")} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS win
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce({_TOKENS.format("text")}, []) AS w FROM documents),
+z AS (SELECT DISTINCT n FROM i),
+x AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, z WHERE len(w) >= n)),
+m AS (SELECT DISTINCT x.doc_id, x.k, x.n, i.item_id FROM x JOIN i ON x.win = i.win AND x.n = i.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """XXH64, crc32 and trained models have no SQL form; those queries are tested against brute force."""
+    return {
+        "op1_topk_search": OP1_SQL,
+        "op2_source_mix": OP2_SQL,
+        "op5_url_rules": OP5_SQL,
+        "op6_line_dedup": OP6_SQL,
+        "op9_license_scan": OP9_SQL,
+        "op10_decontaminate": OP10_SQL,
+    }
