@@ -135,7 +135,8 @@ def bone(g: Column) -> Column:
     lift = F.greatest(g - 128, F.lit(0))
     top = lambda x: F.least(F.lit(255), x)
     part = lambda x, n: F.floor(x / n)
-    return _rgba(top(part(g * 7, 8) + lift), top(g + part(g, 16)), top(g + part(lift, 2)))
+    red = part(g * 7, 8) + lift
+    return _rgba(top(red), top(red + part(g, 16)), top(g + part(lift, 2)))
 
 
 def gray_rgba(g: Column) -> Column:

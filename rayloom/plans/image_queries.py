@@ -219,7 +219,7 @@ def equalized_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ palettes, comparison, pipeline
 
 _HOT = "CASE WHEN {g} <= 84 THEN {g} * 3 ELSE 255 END AS r, CASE WHEN {g} <= 84 THEN 0 WHEN {g} <= 169 THEN ({g} - 85) * 3 ELSE 255 END AS gr, CASE WHEN {g} <= 169 THEN 0 ELSE ({g} - 170) * 3 END AS b"
-_BONE = "least(255, {g} * 7 // 8 + greatest({g} - 128, 0)) AS r, least(255, {g} + {g} // 16) AS gr, least(255, {g} + greatest({g} - 128, 0) // 2) AS b"
+_BONE = "least(255, {g} * 7 // 8 + greatest({g} - 128, 0)) AS r, least(255, {g} * 7 // 8 + greatest({g} - 128, 0) + {g} // 16) AS gr, least(255, {g} + greatest({g} - 128, 0) // 2) AS b"
 
 
 def _palette(name: str, sql: str) -> None:
