@@ -37,6 +37,11 @@ def map_pixels(packed: DataFrame, function: Callable[[Column], Column], name: st
     return packed.withColumn(name, F.transform("pixels", function))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` bound to a variable, so that it is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def render(packed: DataFrame, mode: str = "default", center: float | None = None, width: float | None = None) -> DataFrame:
     """``gray``: 8-bit values of every pixel.
 
@@ -44,12 +49,15 @@ def render(packed: DataFrame, mode: str = "default", center: float | None = None
     window_center, window_width and invert.
     """
     has = set(packed.columns)
-    c = F.col("window_center") if mode == "default" and "window_center" in has else center
-    w = F.col("window_width") if mode == "default" and "window_width" in has else width
-    invert = F.col("invert") if "invert" in has else False
-    return packed.withColumn(
-        "gray", F.transform("pixels", lambda v: px.render(v, F.col("min_value"), F.col("max_value"), mode, c, w, invert))
-    )
+    own = mode == "default" and "window_center" in has
+    image = F.struct(
+        F.col("min_value").alias("low"), F.col("max_value").alias("high"),
+        (F.col("window_center") if own else F.lit(center).cast("double")).alias("center"),
+        (F.col("window_width") if own else F.lit(width).cast("double")).alias("width"),
+        (F.col("invert") if "invert" in has else F.lit(False)).alias("invert"),
+    )
+    shown = lambda i: F.transform("pixels", lambda v: px.render(v, i["low"], i["high"], mode, i["center"], i["width"], i["invert"]))
+    return packed.withColumn("gray", let(image, shown))
 
 
 def histogram(gray: DataFrame) -> DataFrame:
@@ -82,11 +90,6 @@ def equalize_long(gray: DataFrame) -> DataFrame:
     return gray.join(table, matched).drop("table_id", "table_g")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` bound to a variable, so that it is computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def equalize_packed(packed: DataFrame, column: str = "gray") -> DataFrame:
     """The same on the packed form, inside each row: no shuffle.
 
@@ -131,3 +134,12 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     moved = right.withColumn("x", F.col("x") + F.col("width"))
     out = left.unionByName(moved).join(both, ["image_id", "width", "height"], "left_semi")
     return out.withColumn("width", F.col("width") * 2)
+
+
+def compare_packed(packed: DataFrame, left: str, right: str, out: str = "both") -> DataFrame:
+    """The same for two arrays of one row: each row of pixels from the left, then the right. No shuffle, no union."""
+    row = lambda c, y: F.slice(c, y * F.col("width") + 1, F.col("width"))
+    rows = F.sequence(F.lit(0), F.col("height") - 1)
+    joined = lambda a, b: F.flatten(F.transform(rows, lambda y: F.concat(row(a, y), row(b, y))))
+    bound = let(F.col(left), lambda a: let(F.col(right), lambda b: joined(a, b)))
+    return packed.withColumn(out, bound).withColumn("width", F.col("width") * 2)

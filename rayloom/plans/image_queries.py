@@ -250,7 +250,7 @@ def _rgba_pixels(packed: DataFrame, column: str) -> DataFrame:
 def pipeline_xray_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Render, point operations, equalization, palette, and the comparison with the plain render on the left."""
     done = images.palette(_xray(spark, sf_dir), "bone").withColumn("left", F.transform("plain", px.gray_rgba))
-    both = images.compare(_rgba_pixels(done, "left"), _rgba_pixels(done, "rgba"))
+    both = _rgba_pixels(images.compare_packed(done, "left", "rgba"), "both")
     return both.select("image_id", "width", "height", "x", "y", "r", "g", "b", "a")
 
 
@@ -260,9 +260,9 @@ def pipeline_xray_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compare_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = v.rendered(spark, sf_dir)
-    left = images.palette(shown, "gray")
-    right = images.palette(images.map_pixels(shown.withColumn("pixels", F.col("gray")), px.inverted), "gray", "pixels")
-    return images.compare(_rgba_pixels(left, "rgba"), _rgba_pixels(right, "rgba")).select("image_id", "width", "x", "y", "r")
+    left = _rgba_pixels(images.palette(shown, "gray"), "rgba")
+    right = _rgba_pixels(images.palette(shown.withColumn("gray", F.transform("gray", px.inverted)), "gray"), "rgba")
+    return images.compare(left, right).select("image_id", "width", "x", "y", "r")
 
 
 # ------------------------------------------------------------------ requests
