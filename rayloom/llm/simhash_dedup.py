@@ -58,12 +58,8 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    words = words_of(text)
-    if not words:
-        return 0
-    hashes = shingle_hashes(words, width)
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit number."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _VOTES):
         part = hashes[at : at + _VOTES].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -71,16 +67,31 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, fp) for every document, whole texts; the key is the same for equal rows."""
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """The fingerprint over word shingles, repeats included; 0 without words."""
+    words = words_of(text)
+    return _majority(shingle_hashes(words, width)) if words else 0
+
+
+def pair_fingerprint(text: bytes | None) -> int:
+    """The fingerprint over distinct word pairs, which small edits change less."""
+    words = words_of(text)
+    return _majority(np.unique(shingle_hashes(words, 2))) if words else 0
+
+
+def with_fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False) -> DataFrame:
+    """(doc_id, key, fp) for every document, whole texts; the key is the same for equal rows. ``pairs`` adds ``pair_fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text, width) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["doc_id", "key", "fp"])
+            texts = batch.column(2).to_pylist()
+            found = {"fp": pa.array([fingerprint(text, width) for text in texts], pa.int64())}
+            if pairs:
+                found["pair_fp"] = pa.array([pair_fingerprint(text) for text in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found.values()], ["doc_id", "key", *found])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, key long, fp long")
+    return narrow.mapInArrow(run, "doc_id long, key long, fp long" + ", pair_fp long" * pairs)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -141,6 +152,31 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
     return fps[moved], fps[label[moved]]
 
 
+def nearest_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the nearest earlier one in its run of equal keys, if it is within ``distance``."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    sizes = np.diff(starts)
+    best, partner = np.full(len(keys), distance + 1, np.int64), np.zeros(len(keys), np.int64)
+    ends = np.repeat(starts[1:], sizes)
+    small, step = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 256), sizes)), 1
+    while len(small := small[small + step < ends[small]]):
+        bits = np.bitwise_count(fps[small] ^ fps[small + step]).astype(np.int64)
+        closer = bits < best[small + step]
+        best[small[closer] + step], partner[small[closer] + step] = bits[closer], small[closer]
+        step += 1
+    for run in np.flatnonzero(sizes > 256):
+        own = fps[starts[run] : starts[run + 1]]
+        rows = max(1, (1 << 20) // len(own))
+        for at in range(0, len(own), rows):
+            block = own[at : at + rows]
+            bits = np.bitwise_count(block[:, None] ^ own[None, : at + len(block)]).astype(np.int64)
+            bits[np.arange(at + len(block))[None, :] >= np.arange(at, at + len(block))[:, None]] = BITS + 1
+            where = starts[run] + at + np.arange(len(block))
+            best[where], partner[where] = bits.min(axis=1), starts[run] + bits.argmin(axis=1)
+    found = np.flatnonzero(best <= distance)
+    return fps[found], fps[partner[found]]
+
+
 def _run_labels(fps: np.ndarray, distance: int) -> np.ndarray:
     """Labels in one large bucket, in blocks; it ends early once all are one component."""
     n, label = len(fps), np.arange(len(fps))
@@ -155,7 +191,7 @@ def _run_labels(fps: np.ndarray, distance: int) -> np.ndarray:
     return label
 
 
-def _stream(distance: int, bucket_rows: int | None) -> Callable:
+def _stream(distance: int, bucket_rows: int | None, links: Callable = bucket_links) -> Callable:
     """Over rows sorted by key: links (0, fp, fp), or (1, key, fp) for buckets that are too large."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -191,23 +227,27 @@ def _stream(distance: int, bucket_rows: int | None) -> Callable:
             if large.any():
                 yield rows(1, keys[large], fps[large])
                 keys, fps = keys[~large], fps[~large]
-        a, b = bucket_links(keys, fps, distance) if len(keys) > 1 else (fps[:0], fps[:0])
+        a, b = links(keys, fps, distance) if len(keys) > 1 else (fps[:0], fps[:0])
         if len(a):
             yield rows(0, a, b)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 16_384) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect all pairs within ``distance``."""
+def fingerprint_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 16_384, links: Callable = bucket_links) -> DataFrame:
+    """(a, b): links between distinct fingerprints that connect all pairs within ``distance``.
+
+    With ``nearest_links`` every link is itself within ``distance``: each
+    fingerprint with its nearest earlier one under every key.
+    """
     keyed = fps.select(F.explode(F.array(*variant_keys(distance))).alias("key"), "fp")
     schema = "kind int, a long, b long"
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_stream(distance, bucket_rows), schema)
+    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_stream(distance, bucket_rows, links), schema)
     met = materialise(met, "simhash-links")
-    links = met.filter("kind = 0").select("a", "b")
+    linked = met.filter("kind = 0").select("a", "b")
     large = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if large.isEmpty():
-        return links.distinct()
+        return linked.distinct()
     chunk_rows = bucket_rows // 2
     chunks = large.groupBy("key").agg(F.ceil(F.count("*") / chunk_rows).alias("chunks"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
@@ -217,8 +257,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 16_3
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
     )
-    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_stream(distance, None), schema)
-    return links.union(more.select("a", "b")).distinct()
+    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_stream(distance, None, links), schema)
+    return linked.union(more.select("a", "b")).distinct()
 
 
 def near_duplicates(
@@ -230,8 +270,15 @@ def near_duplicates(
     with the smallest id, rows without an id last.
     """
     prints = materialise(with_fingerprints(docs, width, id_col, text_col), "simhash-prints")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(first).alias("least")), "simhash-nodes")
+    return _components(prints, distance, bucket_rows)
+
+
+def _first_row() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+
+
+def _components(prints: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
+    nodes = materialise(prints.groupBy("fp").agg(F.min(_first_row()).alias("least")), "simhash-nodes")
     roots = connected_components(fingerprint_links(nodes.select("fp"), distance, bucket_rows))
     placed = materialise(
         nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots"
@@ -241,22 +288,68 @@ def near_duplicates(
     return prints.join(classes, F.col("fp") == F.col("node")).select("doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), "best")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, with one document of each component: its first row.
+def similar_rows(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, distance: int, bucket_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(key) of the rows that are similar to an earlier one, or linked to one through others.
 
-    The texts are only joined with the keys of the rows that go; rows repeated in
+    ``rows`` has (doc_id, key, pair_fp). Candidates are rows of equal pair
+    fingerprint, each with the first of them, and pairs of first rows whose
+    fingerprints are nearest under some key. Only candidates' texts are read
+    again; a link counts if the Jaccard coefficient of the distinct word shingles
+    is ``similarity`` or more.
+    """
+    firsts = materialise(rows.groupBy(F.col("pair_fp").alias("fp")).agg(F.min(_first_row()).alias("least")), "similar-nodes")
+    near = fingerprint_links(firsts.select("fp"), distance, bucket_rows, nearest_links)
+    key_of = lambda name: firsts.select(F.col("fp").alias(name), F.col("least.key").alias(f"{name}_key"))
+    across = near.join(key_of("a"), "a").join(key_of("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    own = rows.join(firsts, F.col("pair_fp") == F.col("fp")).select(F.col("key").alias("a"), F.col("least.key").alias("b"))
+    pairs = materialise(across.union(own).filter("a <> b").distinct(), "similar-pairs")
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = map(words_of, batch.column(1).to_pylist())
+            sets = [np.unique(shingle_hashes(w, shingle)).view(np.int64) if w else [] for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text")).join(needed, "key")
+    sets = materialise(texts.mapInArrow(shingles, "key long, shingles array<long>"), "similar-sets").dropDuplicates(["key"])
+    side = lambda name: sets.select(F.col("key").alias(name), F.col("shingles").alias(f"{name}_set"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    alike = common >= (F.size("a_set") + F.size("b_set") - common) * similarity
+    links = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b")
+    roots = connected_components(links)
+    known = rows.select("key", _first_row().alias("row")).join(roots, F.col("key") == F.col("node"))
+    best = known.groupBy("root").agg(F.min("row").alias("best"))
+    return known.join(best, "root").filter(F.col("key") != F.col("best.key")).select("key")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, bucket_rows: int = 16_384,
+    similarity: float = 0.8, shingle: int = 5, similar_distance: int = 7,
+) -> DataFrame:
+    """``docs``, all columns, with one document of each group: its first row.
+
+    Groups are the components of ``near_duplicates``. Of their first rows, those
+    whose ``shingle``-word shingles are similar to an earlier one go too (see
+    ``similar_rows``): fingerprints of a few hundred shingles differ in more than
+    ``distance`` bits well before their similarity falls below 0.8.
+
+    The texts are joined with the keys of the rows that go only; rows repeated in
     full, which share a key, are reduced to one where there are any.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    found = materialise(found.select("key", (F.col("key") == F.col("best.key")).alias("stays")), "simhash-stays")
-    gone = materialise(found.filter("not stays").select("key").distinct(), "simhash-gone")
+    prints = materialise(with_fingerprints(docs, width, id_col, text_col, pairs=True), "simhash-prints")
+    found = _components(prints.select("doc_id", "key", "fp"), distance, bucket_rows)
+    found = materialise(found.select("doc_id", "key", (F.col("key") == F.col("best.key")).alias("stays")), "simhash-stays")
+    firsts = found.filter("stays").select("key").distinct()
+    rows = materialise(prints.join(firsts, "key", "left_semi").select("doc_id", "key", "pair_fp").distinct(), "simhash-firsts")
+    similar = similar_rows(docs, rows, similarity, shingle, similar_distance, bucket_rows, id_col, text_col)
+    gone = materialise(found.filter("not stays").select("key").union(similar).distinct(), "simhash-gone")
     again = materialise(found.filter("stays").groupBy("key").count().filter("count > 1").select("key"), "simhash-again")
-    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
-    rows = rows.join(gone, "key", "left_anti")
+    kept = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(gone, "key", "left_anti")
     if not again.isEmpty():
-        one = rows.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-        rows = rows.join(again, "key", "left_anti").select("key", "row").union(one)
-    return rows.select("row.*")
+        one = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(again, "key", "left_anti").select("key", "row").union(one)
+    return kept.select("row.*")
 
 
 def fingerprint_hex(column: str) -> Column:

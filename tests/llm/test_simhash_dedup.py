@@ -132,3 +132,43 @@ def test_keep_one(odd, no_documents, documents):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 6]
     assert sh.keep_one(no_documents).count() == 0
     assert sh.keep_one(documents([(None, "x y z"), (None, "x y z")])).count() == 1
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = [x for x in re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_catches_similar_texts_and_no_others(documents):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    base = [" ".join(rng.choices(words, k=rng.randint(60, 200))) for _ in range(60)]
+    rows = list(enumerate(base))
+    for i in range(60, 160):
+        t = base[i % 60].split()
+        for _ in range(rng.choice([1, 1, 2, 40])):
+            t[rng.randrange(len(t))] = "changed%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(t)))
+    kept = {r.doc_id for r in sh.keep_one(documents(rows)).collect()}
+    texts = dict(rows)
+    assert set(range(60)) <= kept
+    similar = {i for i in range(60, 160) if jaccard(texts[i], texts[i % 60]) >= 0.8}
+    missed = similar & kept
+    assert len(missed) <= 0.1 * len(similar), (len(missed), len(similar))
+    linked = {i for i in range(60, 160) if max(jaccard(texts[i], texts[j]) for j in range(i % 60, i, 60) if j != i) >= 0.8}
+    assert all(i in linked or near(4)(slow_fingerprint(texts[i]), slow_fingerprint(texts[i % 60])) for i in set(range(60, 160)) - kept)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_links_are_the_nearest(seed):
+    rng = random.Random(seed)
+    rows = sorted((rng.choice([1, 1, 1, 2, 3]), x) for x in family(rng, 700, 6))
+    keys, fps = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64)
+    got = dict(zip(*(x.tolist() for x in sh.nearest_links(keys, fps, 5))))
+    for i, (k, f) in enumerate(rows):
+        before = [(f ^ g).bit_count() for k2, g in rows[:i] if k2 == k]
+        best = min(before, default=99)
+        assert (f in got) == (best <= 5) and (f not in got or (f ^ got[f]).bit_count() == best)
