@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rayloom.functions import contracts
 from rayloom.functions import geometry as geo
 from rayloom.functions import text as tx
 from rayloom.functions import timing as tm
@@ -578,3 +579,12 @@ def lru_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = v.table(spark, sf_dir, "documents").select(F.concat(F.lit("a-"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.floor(F.col("doc_id") / 3).alias("mod_time"))
     return stores.evict_oldest(files, 1_000_000, groups=16)
+
+
+@query(
+    "SELECT event_id, CASE WHEN len(list_filter(json_keys(props), lambda x: x <> 'k')) > 0 THEN 'unknown field' WHEN NOT list_contains(json_keys(props), 'k') THEN 'missing field k' ELSE '' END AS errors FROM events"
+)
+def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties against a contract of one integer field."""
+    errors = contracts.contract_errors(F.col("props"), {"k": "integer"}, ["k"])
+    return v.table(spark, sf_dir, "events").select("event_id", F.array_join(errors, "|").alias("errors"))
