@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 BUCKETS = 1 << 18
+#: Salts of the sample, and the rows of each that go on; Spark cuts ranks up to 1000 before the shuffle.
+_SALTS, _SALT_ROWS = 64, 1000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Character classes of a shape: letters to a or A (all beyond ASCII is a letter), digits to 0.
 _SHAPE = bytes(
@@ -175,12 +177,16 @@ def fit(
     """Fits on at most ``sample_rows`` labelled rows of each class.
 
     ``may_learn`` is a condition on ``labels``. The order is by a hash of the id,
-    so the sample is the same in every run.
+    so the sample is the same in every run. It is first cut per salt of the hash;
+    the smallest ``sample_rows`` hashes (64,000 at most) spread evenly over the salts.
     """
     own = labels.filter(may_learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit("nbsvm"), id_col).alias("place")
     )
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "label_id")))
+    # in two steps, so that no task ranks a whole class: the first cut leaves _SALTS * _SALT_ROWS rows of each
+    salted = F.row_number().over(Window.partitionBy("label", F.pmod("place", F.lit(_SALTS))).orderBy("place", "label_id"))
+    first = own.withColumn("rank", salted).filter(F.col("rank") <= min(sample_rows, _SALT_ROWS)).drop("rank")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "label_id")))
     chosen = F.broadcast(ranked.filter(F.col("rank") <= sample_rows).drop("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
