@@ -79,19 +79,29 @@ def pair_fingerprint(text: bytes | None) -> int:
     return _majority(np.unique(shingle_hashes(words, 2))) if words else 0
 
 
-def with_fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", pairs: bool = False) -> DataFrame:
-    """(doc_id, key, fp) for every document, whole texts; the key is the same for equal rows. ``pairs`` adds ``pair_fp``."""
+def with_fingerprints(
+    docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", prefix: Callable | None = None, shingle: int = 5
+) -> DataFrame:
+    """(doc_id, key, fp) for every document, whole texts; the key is the same for equal rows.
+
+    ``prefix`` adds the number ``n`` of distinct shingles of ``shingle`` words and what it picks of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             found = {"fp": pa.array([fingerprint(text, width) for text in texts], pa.int64())}
-            if pairs:
-                found["pair_fp"] = pa.array([pair_fingerprint(text) for text in texts], pa.int64())
+            if prefix:
+                picked, sizes = [], []
+                for text in texts:
+                    hashes = shingle_set(text, shingle)
+                    sizes.append(len(hashes))
+                    picked.append(prefix(hashes).view(np.int64))
+                found |= {"n": pa.array(sizes, pa.int32()), "prefix": pa.array(picked, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found.values()], ["doc_id", "key", *found])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, key long, fp long" + ", pair_fp long" * pairs)
+    return narrow.mapInArrow(run, "doc_id long, key long, fp long" + ", n int, prefix array<long>" * bool(prefix))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -288,27 +298,154 @@ def _components(prints: DataFrame, distance: int, bucket_rows: int) -> DataFrame
     return prints.join(classes, F.col("fp") == F.col("node")).select("doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), "best")
 
 
-def similar_rows(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, distance: int, bucket_rows: int, id_col: str, text_col: str) -> DataFrame:
+def common_shingles(docs: DataFrame, shingle: int, id_col: str, text_col: str, one_in: int = 16, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the shingles that stand most often in a sample of the rows, ``most`` at the most.
+
+    They only set the order of ``prefix_of``; any order finds the same pairs, a
+    good one keeps the buckets small.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, shingle) for text in batch.column(0).to_pylist()]
+            found = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["h"])
+
+    sample = docs.filter(F.pmod(row_key(id_col, text_col), F.lit(one_in)) == 0).select(F.col(text_col).cast("binary"))
+    counts = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    hashes = counts.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], counts.column("count").to_numpy()[order]
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; none without words."""
+    words = words_of(text)
+    return np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, np.uint64)
+
+
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a set's ``hashes``: as many as it takes for similar sets to share one of them.
+
+    Sets of n and m elements whose Jaccard coefficient is t or more share at
+    least t * n, so the first n - ceil(t * n) + 1 of each, in one order of all
+    elements, have an element in common.
+    """
+    known, counts = common
+    weight = np.zeros(len(hashes), np.int64)
+    if len(known) and len(hashes):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        weight = np.where(known[at] == hashes, counts[at], 0)
+    short = len(hashes) - int(np.ceil(len(hashes) * similarity - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, weight))][:short]
+
+
+def prefix_pairs(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``keys`` inside each run of equal ``hashes`` (sorted) that size and position do not rule out.
+
+    ``places`` is size << 32 | position. At the first shared element of two
+    similar sets, what is left of the shorter holds the whole overlap. They come
+    in blocks, so that a large run is never held as pairs.
+    """
+    sizes = places >> 32
+    left = sizes - (places & 0xFFFFFFFF)
+    share = similarity / (1 + similarity)
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.minimum(left[i], left[j]) >= share * (sizes[i] + sizes[j]) - 1e-6
+
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(hashes)) + 1, [len(hashes)]])
+    counts = np.diff(starts)
+    ends = np.repeat(starts[1:], counts)
+    small, step = np.flatnonzero(np.repeat((counts > 1) & (counts <= 256), counts)), 1
+    while len(small := small[small + step < ends[small]]):
+        near = small[fits(small, small + step)]
+        yield keys[near], keys[near + step]
+        step += 1
+    for run in np.flatnonzero(counts > 256):
+        rows = max(1, (1 << 20) // int(counts[run]))
+        for at in range(starts[run], starts[run + 1], rows):
+            i = np.arange(at, min(at + rows, starts[run + 1]))
+            a, b = np.nonzero(fits(i[:, None], np.arange(at, starts[run + 1])[None, :]))
+            later = a < b
+            yield keys[a[later] + at], keys[b[later] + at]
+
+
+def _prefix_stream(similarity: float, bucket_rows: int | None) -> Callable:
+    """Over (h, key, place) sorted by h: pairs (0, 0, key, key), or (1, h, key, place) for buckets that are too large."""
+
+    def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        arrays = [np.full(len(columns[0]), kind, np.int32), *columns]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["kind", "h", "a", "b"])
+
+    def complete(h: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in prefix_pairs(h, key, place, similarity):
+            if len(a):
+                yield rows(0, np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            if passing is not None and (n := int(np.searchsorted(held[0], passing, "right"))):
+                yield rows(1, *[x[:n] for x in held])
+                held = [x[n:] for x in held]
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1], "left"))
+            if bucket_rows:
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(held[0][:last])) + 1, [last]])
+                large = np.repeat(np.diff(cuts) > bucket_rows, np.diff(cuts))
+                if large.any():
+                    yield rows(1, *[x[:last][large] for x in held])
+                yield from complete(*[x[:last][~large] for x in held])
+            else:
+                yield from complete(*[x[:last] for x in held])
+            held, passing = [x[last:] for x in held], None
+            if bucket_rows and len(held[0]) > bucket_rows:
+                yield rows(1, *held)
+                passing, held = int(held[0][0]), [x[:0] for x in held]
+        yield from complete(*held)
+
+    return run
+
+
+def similar_pairs(prefixes: DataFrame, similarity: float, bucket_rows: int = 16_384) -> DataFrame:
+    """(a, b): every pair of keys of ``prefixes`` (key, n, prefix) that can have a Jaccard coefficient of ``similarity``.
+
+    Rows meet by a shuffle on each hash of their prefix. A bucket of more than
+    ``bucket_rows`` is cut into chunks, of which every pair is a task's work.
+    """
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    entries = prefixes.select("key", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "key", place.alias("place"))
+    schema = "kind int, h long, a long, b long"
+    meet = lambda df, rows: df.repartition("h").sortWithinPartitions("h", "place", "key").mapInArrow(_prefix_stream(similarity, rows), schema)
+    met = materialise(meet(entries, bucket_rows), "similar-met")
+    pairs = met.filter("kind = 0").select("a", "b")
+    large = met.filter("kind = 1").select("h", F.col("a").alias("key"), F.col("b").alias("place"))
+    if not large.isEmpty():
+        chunks = large.groupBy("h").agg(F.ceil(F.count("*") / (bucket_rows // 2)).alias("chunks"))
+        own, other = F.pmod(F.xxhash64("key"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        cut = large.join(chunks, "h").withColumn("own", own).withColumn("other", other)
+        again = cut.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "key", "place")
+        pairs = pairs.union(meet(again, None).select("a", "b"))
+    return pairs.filter("a <> b").distinct()
+
+
+def similar_rows(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, bucket_rows: int, id_col: str, text_col: str) -> DataFrame:
     """(key) of the rows that are similar to an earlier one, or linked to one through others.
 
-    ``rows`` has (doc_id, key, pair_fp). Candidates are rows of equal pair
-    fingerprint, each with the first of them, and pairs of first rows whose
-    fingerprints are nearest under some key. Only candidates' texts are read
-    again; a link counts if the Jaccard coefficient of the distinct word shingles
-    is ``similarity`` or more.
+    ``rows`` has (doc_id, key, n, prefix). Candidates are all pairs that
+    ``similar_pairs`` lets through, which leaves out none that is similar. Only
+    candidates' texts are read again; a link counts if the Jaccard coefficient
+    of the distinct word shingles is ``similarity`` or more.
     """
-    firsts = materialise(rows.groupBy(F.col("pair_fp").alias("fp")).agg(F.min(_first_row()).alias("least")), "similar-nodes")
-    near = fingerprint_links(firsts.select("fp"), distance, bucket_rows, nearest_links)
-    key_of = lambda name: firsts.select(F.col("fp").alias(name), F.col("least.key").alias(f"{name}_key"))
-    across = near.join(key_of("a"), "a").join(key_of("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-    own = rows.join(firsts, F.col("pair_fp") == F.col("fp")).select(F.col("key").alias("a"), F.col("least.key").alias("b"))
-    pairs = materialise(across.union(own).filter("a <> b").distinct(), "similar-pairs")
+    pairs = materialise(similar_pairs(rows.select("key", "n", "prefix"), similarity, bucket_rows), "similar-pairs")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = map(words_of, batch.column(1).to_pylist())
-            sets = [np.unique(shingle_hashes(w, shingle)).view(np.int64) if w else [] for w in words]
+            sets = [shingle_set(text, shingle).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text")).join(needed, "key")
@@ -325,24 +462,27 @@ def similar_rows(docs: DataFrame, rows: DataFrame, similarity: float, shingle: i
 
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, bucket_rows: int = 16_384,
-    similarity: float = 0.8, shingle: int = 5, similar_distance: int = 7,
+    similarity: float = 0.8, shingle: int = 5,
 ) -> DataFrame:
     """``docs``, all columns, with one document of each group: its first row.
 
     Groups are the components of ``near_duplicates``. Of their first rows, those
-    whose ``shingle``-word shingles are similar to an earlier one go too (see
-    ``similar_rows``): fingerprints of a few hundred shingles differ in more than
-    ``distance`` bits well before their similarity falls below 0.8.
+    whose ``shingle``-word shingles are similar to an earlier one go too, found
+    without loss (see ``similar_rows``): fingerprints of a few hundred shingles
+    differ in more than ``distance`` bits well before their similarity falls
+    below 0.8.
 
     The texts are joined with the keys of the rows that go only; rows repeated in
     full, which share a key, are reduced to one where there are any.
     """
-    prints = materialise(with_fingerprints(docs, width, id_col, text_col, pairs=True), "simhash-prints")
+    common = common_shingles(docs, shingle, id_col, text_col)
+    prefix = lambda hashes: prefix_of(hashes, common, similarity)
+    prints = materialise(with_fingerprints(docs, width, id_col, text_col, prefix, shingle), "simhash-prints")
     found = _components(prints.select("doc_id", "key", "fp"), distance, bucket_rows)
     found = materialise(found.select("doc_id", "key", (F.col("key") == F.col("best.key")).alias("stays")), "simhash-stays")
     firsts = found.filter("stays").select("key").distinct()
-    rows = materialise(prints.join(firsts, "key", "left_semi").select("doc_id", "key", "pair_fp").distinct(), "simhash-firsts")
-    similar = similar_rows(docs, rows, similarity, shingle, similar_distance, bucket_rows, id_col, text_col)
+    rows = prints.join(firsts, "key", "left_semi").select("doc_id", "key", "n", "prefix").dropDuplicates(["key"])
+    similar = similar_rows(docs, materialise(rows, "simhash-firsts"), similarity, shingle, bucket_rows, id_col, text_col)
     gone = materialise(found.filter("not stays").select("key").union(similar).distinct(), "simhash-gone")
     again = materialise(found.filter("stays").groupBy("key").count().filter("count > 1").select("key"), "simhash-again")
     kept = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(gone, "key", "left_anti")

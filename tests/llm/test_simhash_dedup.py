@@ -172,3 +172,37 @@ def test_nearest_links_are_the_nearest(seed):
         before = [(f ^ g).bit_count() for k2, g in rows[:i] if k2 == k]
         best = min(before, default=99)
         assert (f in got) == (best <= 5) and (f not in got or (f ^ got[f]).bit_count() == best)
+
+
+def test_keep_one_leaves_no_similar_pair(documents):
+    """One block of added text moves more pair-fingerprint bits than 7 while the similarity stays above 0.8."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    boilerplate = " ".join(rng.choices(words, k=40))
+    base = [" ".join(rng.choices(words, k=rng.randint(150, 400))) for _ in range(60)]
+    rows = [(i, f"{t} {boilerplate}") for i, t in enumerate(base)]
+    for i in range(60, 240):
+        t = rows[i % 60][1].split()
+        at, n = rng.randrange(len(t)), int(len(t) * rng.choice([0.08, 0.14, 0.19, 0.22]))
+        rows.append((i, " ".join(t[:at] + [f"new{rng.randrange(10**6)}" for _ in range(n)] + t[at:])))
+    texts = dict(rows)
+    kept = sorted(r.doc_id for r in sh.keep_one(documents(rows), bucket_rows=16).collect())
+    assert [(a, b) for a in kept for b in kept if a < b and jaccard(texts[a], texts[b]) >= 0.8] == []
+    assert set(range(60)) <= set(kept)
+
+
+@pytest.mark.parametrize("bucket_rows", [16_384, 300, 8])
+def test_similar_pairs_lose_none(spark, bucket_rows):
+    rng = random.Random(bucket_rows)
+    sets = []
+    for _ in range(40):
+        base = rng.sample(range(10**6), rng.randint(1, 60))
+        sets += [base] + [[x for x in base if rng.random() > 0.1] + rng.sample(range(10**6), rng.randint(0, 4)) for _ in range(9)]
+    sets += [list(range(30)) + [10**6 + i] for i in range(310)]
+    sets = [np.unique(np.array(x, np.uint64)) for x in sets if x]
+    common = (np.arange(30, dtype=np.uint64), np.full(30, 5)) if bucket_rows == 300 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = [(i, len(x), sh.prefix_of(x, common, 0.8).astype(np.int64).tolist()) for i, x in enumerate(sets)]
+    met = {(r.a, r.b) for r in sh.similar_pairs(spark.createDataFrame(rows, "key long, n int, prefix array<long>"), 0.8, bucket_rows).collect()}
+    plain = [set(x.tolist()) for x in sets]
+    want = {(i, j) for j in range(len(plain)) for i in range(j) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])}
+    assert len(want) > 40_000 and want <= met
