@@ -73,12 +73,6 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return _majority(shingle_hashes(words, width)) if words else 0
 
 
-def pair_fingerprint(text: bytes | None) -> int:
-    """The fingerprint over distinct word pairs, which small edits change less."""
-    words = words_of(text)
-    return _majority(np.unique(shingle_hashes(words, 2))) if words else 0
-
-
 def with_fingerprints(
     docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", prefix: Callable | None = None, shingle: int = 5
 ) -> DataFrame:
@@ -163,7 +157,10 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
 
 
 def nearest_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint the nearest earlier one in its run of equal keys, if it is within ``distance``."""
+    """For each fingerprint the nearest earlier one in its run of equal keys, if it is within ``distance``.
+
+    This may pass over pairs that a later check would accept; ``keep_one`` does not use it.
+    """
     starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
     sizes = np.diff(starts)
     best, partner = np.full(len(keys), distance + 1, np.int64), np.zeros(len(keys), np.int64)
@@ -201,7 +198,7 @@ def _run_labels(fps: np.ndarray, distance: int) -> np.ndarray:
     return label
 
 
-def _stream(distance: int, bucket_rows: int | None, links: Callable = bucket_links) -> Callable:
+def _stream(distance: int, bucket_rows: int | None) -> Callable:
     """Over rows sorted by key: links (0, fp, fp), or (1, key, fp) for buckets that are too large."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -237,22 +234,18 @@ def _stream(distance: int, bucket_rows: int | None, links: Callable = bucket_lin
             if large.any():
                 yield rows(1, keys[large], fps[large])
                 keys, fps = keys[~large], fps[~large]
-        a, b = links(keys, fps, distance) if len(keys) > 1 else (fps[:0], fps[:0])
+        a, b = bucket_links(keys, fps, distance) if len(keys) > 1 else (fps[:0], fps[:0])
         if len(a):
             yield rows(0, a, b)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 16_384, links: Callable = bucket_links) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect all pairs within ``distance``.
-
-    With ``nearest_links`` every link is itself within ``distance``: each
-    fingerprint with its nearest earlier one under every key.
-    """
+def fingerprint_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 16_384) -> DataFrame:
+    """(a, b): links between distinct fingerprints that connect all pairs within ``distance``."""
     keyed = fps.select(F.explode(F.array(*variant_keys(distance))).alias("key"), "fp")
     schema = "kind int, a long, b long"
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_stream(distance, bucket_rows, links), schema)
+    met = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stream(distance, bucket_rows), schema)
     met = materialise(met, "simhash-links")
     linked = met.filter("kind = 0").select("a", "b")
     large = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
@@ -267,7 +260,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 16_3
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
     )
-    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_stream(distance, None, links), schema)
+    more = pairs.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stream(distance, None), schema)
     return linked.union(more.select("a", "b")).distinct()
 
 

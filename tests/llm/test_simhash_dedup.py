@@ -206,3 +206,25 @@ def test_similar_pairs_lose_none(spark, bucket_rows):
     plain = [set(x.tolist()) for x in sets]
     want = {(i, j) for j in range(len(plain)) for i in range(j) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])}
     assert len(want) > 40_000 and want <= met
+
+
+def test_keep_one_tries_more_than_the_nearest(documents):
+    """Texts of few words share all their word pairs, so that only a look at every pair tells which are similar."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdef", k=600))) for i in range(6)]
+    for i in range(6, 24):
+        t = rows[i % 6][1].split()
+        at = rng.randrange(520)
+        rows.append((i, " ".join(t[:at] + t[at : at + 45][::-1] + t[at + 45 :])))
+    texts = dict(rows)
+    alike = [(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(alike) >= 18 and sum(not near(4)(slow_fingerprint(texts[a]), slow_fingerprint(texts[b])) for a, b in alike) >= 9
+    for order in (rows, rows[::-1]):
+        assert sorted(r.doc_id for r in sh.keep_one(documents(order)).collect()) == list(range(6))
+
+
+def test_links_are_the_same_in_any_order(spark):
+    rng = random.Random(6)
+    signed = sorted(int(np.uint64(x).astype(np.int64)) for x in family(rng, 400, 5))
+    links = lambda rows: sorted(tuple(r) for r in sh.fingerprint_links(spark.createDataFrame([(x,) for x in rows], "fp long")).collect())
+    assert links(signed) == links(signed[::-1]) == links(rng.sample(signed, len(signed)))
