@@ -7,12 +7,14 @@ aggregate keyed by ``job_id``: one shuffle, shared by all windows of a query.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rayloom.functions import timing as tm
+from rayloom.operators.ranges import running
 
 _ORDER = ("ts", "seq")
 
@@ -21,15 +23,19 @@ def _job(*order) -> Window:
     return Window.partitionBy("job_id").orderBy(*(order or _ORDER))
 
 
-
 def millis(ts: Column) -> Column:
     """Whole milliseconds of a time, as a clock of that step shows them."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def changed_only(snapshots: DataFrame, columns: Sequence[str] = ("state", "percent")) -> DataFrame:
-    """Snapshots that differ, null-safely, from the one before in any of ``columns``."""
-    now = F.struct(*columns)
+#: What makes two snapshots of a job differ; of result and error only whether they are there.
+COMPARED, COMPARED_PRESENCE = ("state", "percent", "stage", "message", "from_cache"), ("result", "error")
+
+
+def changed_only(snapshots: DataFrame) -> DataFrame:
+    """Snapshots that differ, null-safely, from the one before in any compared field that they have."""
+    has = set(snapshots.columns)
+    now = F.struct(*[c for c in COMPARED if c in has], *[F.col(c).isNull().alias(c) for c in COMPARED_PRESENCE if c in has])
     before = F.lag(now).over(_job())
     return snapshots.withColumn("_before", before).filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(now)).drop("_before")
 
@@ -41,9 +47,9 @@ def latest(snapshots: DataFrame) -> DataFrame:
 
 
 def job_order(snapshots: DataFrame) -> DataFrame:
-    """Jobs by their last change, latest first, as a ranked table."""
-    last = latest(snapshots)
-    return last.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("seq"))))
+    """Jobs by their last change, latest first, as a ranked table, ranked in ranges of time."""
+    ranked = running(latest(snapshots), _ORDER, descending=True)
+    return ranked.withColumn("place", F.col("place").cast("int"))
 
 
 def panel(snapshots: DataFrame, dismissed: DataFrame, size: int = 6) -> DataFrame:
@@ -103,17 +109,20 @@ def overall_rates(snapshots: DataFrame) -> DataFrame:
 
 
 def rolling_samples(snapshots: DataFrame) -> DataFrame:
-    """``samples``: how many of the newest eight samples lie within 20 s; the own one always counts."""
-    ms = F.col("ts").cast("timestamp")
-    window = _job(F.unix_micros(ms)).rangeBetween(-tm.ROLLING_MS * 1000, 0)
-    return snapshots.withColumn("samples", F.least(F.lit(tm.ROLLING_SAMPLES), F.count("*").over(window)))
+    """Adds ``held``: of the newest eight snapshots, oldest first, those within 20 s and always the own one, and ``samples``, their number."""
+    newest = _job().rowsBetween(1 - tm.ROLLING_SAMPLES, Window.currentRow)
+    listed = F.collect_list(F.struct("ts", "seq", "percent")).over(newest)
+    near = lambda x: (millis(F.col("ts")) - millis(x["ts"]) <= tm.ROLLING_MS) | (x["seq"] == F.col("seq"))
+    held = snapshots.withColumn("_newest", listed).withColumn("held", F.filter("_newest", near)).drop("_newest")
+    return held.withColumn("samples", F.size("held"))
 
 
 def smoothed_rates(snapshots: DataFrame) -> DataFrame:
     """Per job and session, the exponential average of the measured rates in order.
 
-    A fold is no window function: the rates of one session, a bounded list in the
-    display, are collected in order and folded by ``aggregate``.
+    A fold is no window function: the rates of one session are collected in order
+    and folded by ``aggregate``. Whole percents only rise inside a session, so its
+    list has a hundred rates at the most, however long the job.
     """
     listed = rates(snapshots).filter("rate is not null and rate <> 0").groupBy("job_id", "session").agg(
         F.array_sort(F.collect_list(F.struct("ts", "seq", "rate"))).alias("rates")
@@ -131,47 +140,56 @@ def state_machine(events: DataFrame) -> DataFrame:
     queued job that is cancelled is cancelled at once; a running one is
     cancelling until it completes or fails, which then means cancelled. Terminal
     states stay; progress counts only while a job is queued or running.
+
+    The fold has a closed form: the first cancel, end and start decide the state,
+    and progress counts until the first cancel or end. One shuffle; the running
+    window holds no job in memory and the aggregate keeps a few values for each.
     """
-    listed = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "action", "percent"))).alias("steps"))
-    none = F.struct(F.lit("queued").alias("state"), F.lit(0).alias("percent"))
-
-    def step(at: Column, x: Column) -> Column:
-        state, action = at["state"], x["action"]
-        ended = F.when(action.isin("complete", "fail") & (state == "cancelling"), "cancelled").when(action == "complete", "completed").when(action == "fail", "failed")
-        moved = (
-            F.when(tm.is_terminal(state), state)
-            .when((action == "cancel") & (state == "queued"), "cancelled")
-            .when(action == "cancel", "cancelling")
-            .when(ended.isNotNull(), ended)
-            .when(action.isin("start", "progress") & (state == "queued"), "running")
-            .otherwise(state)
-        )
-        counts = state.isin("queued", "running")
-        percent = F.when(counts & (action == "progress"), x["percent"]).when(counts & (action == "complete"), 100).otherwise(at["percent"])
-        return F.struct(moved.alias("state"), percent.cast("int").alias("percent"))
-
-    return listed.select("job_id", F.aggregate("steps", none, step).alias("final")).select("job_id", "final.*")
+    action, at = F.col("action"), F.struct("ts", "seq")
+    closing = F.max(action.isin("cancel", "complete", "fail")).over(_job().rowsBetween(Window.unboundedPreceding, -1))
+    open_ = events.withColumn("_open", ~F.coalesce(closing, F.lit(False)))
+    first = lambda *kinds: F.min(F.when(action.isin(*kinds), at))
+    moved = F.when(F.col("_open") & (action == "progress"), F.col("percent"))
+    facts = open_.groupBy("job_id").agg(
+        first("start", "progress").alias("ran"), first("cancel").alias("cancel"), first("complete", "fail").alias("end"),
+        F.min_by(F.when(action.isin("complete", "fail"), action), F.when(action.isin("complete", "fail"), at)).alias("how"),
+        F.max_by(moved, F.when(moved.isNotNull(), at)).alias("moved"),
+    )
+    before = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) < F.col(b)))
+    first_cancel = before("cancel", "end")
+    state = (
+        F.when(first_cancel & (~before("ran", "cancel") | F.col("end").isNotNull()), "cancelled")
+        .when(first_cancel, "cancelling")
+        .when(F.col("how") == "complete", "completed")
+        .when(F.col("how") == "fail", "failed")
+        .when(F.col("ran").isNotNull(), "running")
+        .otherwise("queued")
+    )
+    return facts.select("job_id", state.alias("state"), F.when(state == "completed", 100).otherwise(F.coalesce("moved", F.lit(0))).cast("int").alias("percent"))
 
 
 def deduplicated_starts(starts: DataFrame) -> DataFrame:
-    """In-flight dedupe: a start with the fingerprint of a job still running gets that job's id.
+    """In-flight dedupe: a start with the fingerprint of a job still running gets that job's id (``ran_as``).
 
     ``starts`` has fingerprint, job_id, ts, seq and end_ts (when the job would
-    end). A start is a duplicate if it comes before the running job's end; the
-    fold keeps the job in flight per fingerprint.
+    end). A start is a duplicate if it comes before the running job's end; a null
+    ``end_ts`` ends at once. Each start depends on those before, so the rows of a
+    fingerprint are sorted and streamed past one held job; none are collected.
     """
-    listed = starts.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "job_id", "end_ts"))).alias("steps"))
-    kind = "struct<job_id:bigint,end_ts:timestamp_ntz,out:array<struct<job_id:bigint,ran_as:bigint>>>"
-    none = F.struct(F.lit(None).alias("job_id"), F.lit(None).alias("end_ts"), F.array().alias("out")).cast(kind)
-
-    def step(at: Column, x: Column) -> Column:
-        busy = F.coalesce(x["ts"] < at["end_ts"], F.lit(False))
-        ran = F.when(busy, at["job_id"]).otherwise(x["job_id"])
-        end = F.when(busy, at["end_ts"]).otherwise(x["end_ts"])
-        done = F.array_append(at["out"], F.struct(x["job_id"].alias("job_id"), ran.alias("ran_as")))
-        return F.struct(ran.alias("job_id"), end.alias("end_ts"), done.alias("out")).cast(kind)
-
-    return listed.select("fingerprint", F.explode(F.aggregate("steps", none, step)["out"]).alias("j")).select("fingerprint", "j.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, job, end = None, None, None
+        for batch in batches:
+            ran = []
+            for own, started, ts, ends in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if own != key or end is None or ts >= end:
+                    key, job, end = own, started, ends
+                ran.append(job)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ran, pa.int64())], ["fingerprint", "job_id", "ran_as"])
+
+    rows = starts.select("fingerprint", F.col("job_id").cast("long").alias("job_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "seq")
+    ordered = rows.repartition("fingerprint").sortWithinPartitions("fingerprint", "ts", "seq")
+    return ordered.mapInArrow(run, "fingerprint string, job_id long, ran_as long")
 
 
 def batch_get(requested: DataFrame, snapshots: DataFrame) -> DataFrame:

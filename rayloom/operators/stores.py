@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rayloom.operators.ranges import running
+
 
 def last_access(accesses: DataFrame, key: str = "key") -> DataFrame:
     """One row per key, with the time of its last use; partially aggregated."""
@@ -19,18 +21,18 @@ def last_access(accesses: DataFrame, key: str = "key") -> DataFrame:
 def lru(accesses: DataFrame, capacity: int | None = None, max_bytes: int | None = None, keep_one: bool = False, key: str = "key") -> DataFrame:
     """(key, size, place, used_bytes) of the entries that an LRU cache holds at the end.
 
-    Distinct keys are first cut to the ``capacity`` used last (a top-k); with a
-    byte limit alone the running sum is over one row per key.
+    Distinct keys are first cut to the ``capacity`` used last (a top-k), which
+    one task can sum; with a byte limit alone the sum runs in ranges of time.
     """
     entries = last_access(accesses, key).select(key, "size", F.col("at.ts").alias("ts"), F.col("at.seq").alias("seq"))
-    newest = [F.desc("ts"), F.desc("seq")]
-    if capacity is not None:
-        entries = entries.orderBy(*newest).limit(capacity)
-    order = Window.orderBy(*newest)
-    ranked = entries.select(
-        key, "size", F.row_number().over(order).alias("place"),
-        F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("used_bytes"),
-    )
+    if capacity is None:
+        run = running(entries, ("ts", "seq"), "size", descending=True)
+        ranked = run.select(key, "size", F.col("place").cast("int").alias("place"), (F.col("prior") + F.col("size")).alias("used_bytes"))
+    else:
+        newest = [F.desc("ts"), F.desc("seq")]
+        order = Window.orderBy(*newest)
+        used = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = entries.orderBy(*newest).limit(capacity).select(key, "size", F.row_number().over(order).alias("place"), used.alias("used_bytes"))
     if max_bytes is not None:
         fits = F.col("used_bytes") <= max_bytes
         ranked = ranked.filter(fits | (F.col("place") == 1) if keep_one else fits)
@@ -38,19 +40,13 @@ def lru(accesses: DataFrame, capacity: int | None = None, max_bytes: int | None
 
 
 def evict_oldest(files: DataFrame, limit: int, groups: int = 200) -> DataFrame:
-    """``files`` (path, size, mod_time) with ``evicted``: the oldest go until the rest fits ``limit``.
+    """``files`` (path, size, mod_time, ...) with ``evicted``: the oldest go until the rest fits ``limit``.
 
-    The running total is taken in two steps, so that no task sees all files:
-    totals of ``groups`` ranges of mod_time first, then inside each range.
+    The running total is taken in ``groups`` ranges of (mod_time, path), so that
+    no task sees all files.
     """
-    ranged = files.repartitionByRange(groups, "mod_time", "path").withColumn("part", F.spark_partition_id())
-    own = Window.partitionBy("part").orderBy("mod_time", "path").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("part").agg(F.sum("size").alias("part_size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = totals.select("part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("start"), F.sum("part_size").over(everything).alias("total"))
-    running = ranged.join(F.broadcast(starts), "part").withColumn("prior", F.col("start") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    return running.withColumn("evicted", F.col("total") - F.col("prior") > limit).select(*files.columns, "evicted")
+    run = running(files, ("mod_time", "path"), "size", ranges=groups)
+    return run.withColumn("evicted", F.col("total") - F.col("prior") > limit).select(*files.columns, "evicted")
 
 
 def recent(opened: DataFrame, size: int = 10) -> DataFrame:

@@ -355,10 +355,14 @@ def smoothed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {EV} SELECT job_id, seq, least(8, count(*) OVER (PARTITION BY job_id ORDER BY ts RANGE BETWEEN INTERVAL 20 SECONDS PRECEDING AND CURRENT ROW))::BIGINT AS samples FROM ev"
+    f"WITH {EV}, nb AS (SELECT job_id, seq, ts, list({{'ts': ts, 'seq': seq}}) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS newest FROM ev), "
+    "he AS (SELECT *, list_filter(newest, lambda x: date_diff('millisecond', x.ts, ts) <= 20000 OR x.seq = seq) AS held FROM nb) "
+    "SELECT job_id, seq, len(held)::BIGINT AS samples, array_to_string(list_transform(held, lambda x: x.seq), ',') AS held FROM he"
 )
 def rolling_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.rolling_samples(v.job_events(spark, sf_dir)).select("job_id", "seq", F.col("samples").cast("long").alias("samples"))
+    """The sample buffer after each snapshot: how many it holds, and which."""
+    held = F.array_join(F.transform("held", lambda x: x["seq"].cast("string")), ",")
+    return jobs.rolling_samples(v.job_events(spark, sf_dir)).select("job_id", "seq", F.col("samples").cast("long").alias("samples"), held.alias("held"))
 
 
 @query(f"WITH {EV}, {SESSIONS}, {OVERALL} SELECT job_id, seq, percent, measured, since_first_ms, overall FROM ov")
@@ -482,18 +486,36 @@ def job_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_ACTIONS = """ac AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'cancel'
+  WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'start' END AS action, floor(least(100.0::DOUBLE, greatest(0.0::DOUBLE, value)))::INT AS p FROM events)"""
+_STEP_STATE = """CASE WHEN m.state IN ('completed', 'failed', 'cancelled') THEN m.state WHEN a.action = 'cancel' THEN CASE m.state WHEN 'queued' THEN 'cancelled' ELSE 'cancelling' END
+  WHEN a.action IN ('complete', 'fail') THEN CASE WHEN m.state = 'cancelling' THEN 'cancelled' WHEN a.action = 'complete' THEN 'completed' ELSE 'failed' END WHEN m.state = 'queued' THEN 'running' ELSE m.state END"""
+_STEP_PERCENT = "CASE WHEN m.state NOT IN ('queued', 'running') THEN m.percent WHEN a.action = 'progress' THEN a.p WHEN a.action = 'complete' THEN 100 ELSE m.percent END"
+
+
+@query(
+    f"WITH RECURSIVE {_ACTIONS}, m AS (SELECT DISTINCT job_id, 0::BIGINT AS k, 'queued' AS state, 0 AS percent FROM ac UNION ALL "
+    f"SELECT m.job_id, a.k, {_STEP_STATE}, {_STEP_PERCENT} FROM m JOIN ac a ON a.job_id = m.job_id AND a.k = m.k + 1) "
+    "SELECT job_id, max_by(state, k) AS state, max_by(percent, k)::INT AS percent FROM m GROUP BY job_id"
+)
 def job_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests folded into the final state of each job."""
+    """Requests folded into the final state of each job; a user is a job."""
     action = {"signup": "start", "view": "progress", "click": "cancel", "purchase": "complete", "error": "fail"}
     rows = v.table(spark, sf_dir, "events")
     percent = F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("value")))).cast("int")
-    # a job is a user's day, so that jobs are short
-    job = F.col("user_id") * 100_000 + F.unix_date(F.to_date("ts")).cast("long")
-    return jobs.state_machine(rows.select(job.alias("job_id"), "ts", F.col("event_id").alias("seq"), tx.mapped(F.col("event_type"), action, F.lit("start")).alias("action"), percent.alias("percent")))
+    named = tx.mapped(F.col("event_type"), action, F.lit("start"))
+    return jobs.state_machine(rows.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), named.alias("action"), percent.alias("percent")))
 
 
-@query()
+_STARTS = """st AS (SELECT user_id || '-' || event_type AS fingerprint, event_id AS job_id, ts, ts + INTERVAL 1 MINUTE * (event_id % 90) AS end_ts,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events)"""
+
+
+@query(
+    f"WITH RECURSIVE {_STARTS}, m AS (SELECT fingerprint, k, job_id, job_id AS ran_as, end_ts FROM st WHERE k = 1 UNION ALL "
+    "SELECT s.fingerprint, s.k, s.job_id, CASE WHEN s.ts < m.end_ts THEN m.ran_as ELSE s.job_id END, CASE WHEN s.ts < m.end_ts THEN m.end_ts ELSE s.end_ts END "
+    "FROM m JOIN st s ON s.fingerprint = m.fingerprint AND s.k = m.k + 1) SELECT fingerprint, job_id, ran_as FROM m"
+)
 def in_flight_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts that arrive while a job of the same fingerprint runs get that job's id."""
     rows = v.table(spark, sf_dir, "events")

@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rayloom.functions import timing as tm
 
-SNAPSHOT = "job_id long, seq long, ts timestamp, state string, percent int, stage string, message string, fingerprint string"
+SNAPSHOT = (
+    "job_id long, seq long, ts timestamp, state string, percent int, stage string, message string, fingerprint string, from_cache boolean, result string, error string"
+)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -65,13 +67,19 @@ class _JobProcessor(StatefulProcessor):
 
 
 class ChangesOnly(_JobProcessor):
-    """Shows a snapshot only if state or percent has changed."""
+    """Shows a snapshot only if one of the compared fields has changed."""
 
-    STATE, OUT = "state string, percent int", ("state", "percent")
+    STATE = "state string, percent int, stage string, message string, from_cache boolean, no_result boolean, no_error boolean"
+    OUT = ("state", "percent", "stage", "message", "from_cache")
 
     def step(self, state, row):
-        now = (row.state, int(row.percent))
-        return now, None if state is not None and tuple(state) == now else now
+        own = lambda x: None if pd.isna(x) else x
+        percent, cached = own(row.percent), own(row.from_cache)
+        now = (
+            own(row.state), None if percent is None else int(percent), own(row.stage), own(row.message),
+            None if cached is None else bool(cached), bool(pd.isna(row.result)), bool(pd.isna(row.error)),
+        )
+        return now, None if state is not None and tuple(map(own, state)) == now else now[:5]
 
 
 class StateMachine(_JobProcessor):
@@ -90,7 +98,7 @@ class StateMachine(_JobProcessor):
             at = "cancelled" if at == "queued" else "cancelling"
         elif action in ("complete", "fail"):
             at = "cancelled" if at == "cancelling" else {"complete": "completed", "fail": "failed"}[action]
-        elif at == "queued":
+        elif at == "queued" and action in ("start", "progress"):
             at = "running"
         return (at, percent), (at, percent)
 
@@ -122,7 +130,9 @@ class Timing(_JobProcessor):
 
 
 def changes_only(snapshots: DataFrame) -> DataFrame:
-    return _stateful(snapshots, ChangesOnly(), "state string, percent int")
+    """Snapshots that differ from the job's one before in state, percent, stage, message, from_cache or in having a result or an error."""
+    compared = ("stage", "message", "from_cache", "result", "error")
+    return _stateful(snapshots, ChangesOnly(), "state string, percent int, stage string, message string, from_cache boolean", compared)
 
 
 def state_machine(requests: DataFrame) -> DataFrame:
@@ -133,18 +143,22 @@ def timing(snapshots: DataFrame) -> DataFrame:
     return _stateful(snapshots, Timing(), "percent double, measured int, rate double, stalled boolean")
 
 
-def _stateful(snapshots: DataFrame, processor: StatefulProcessor, out: str) -> DataFrame:
-    keyed = snapshots.select("job_id", "seq", "ts", "state", "percent").groupBy("job_id")
+def _stateful(snapshots: DataFrame, processor: StatefulProcessor, out: str, more: tuple[str, ...] = ()) -> DataFrame:
+    keyed = snapshots.select("job_id", "seq", "ts", "state", "percent", *more).groupBy("job_id")
     return keyed.transformWithStateInPandas(processor, f"job_id long, seq long, {out}", outputMode="Append", timeMode="None")
 
 
 def fan_out(snapshots: DataFrame, sinks: list[str], checkpoint: str):
-    """Every micro-batch, written once per sink folder as JSON lines."""
+    """Every micro-batch, written once per sink folder as JSON lines.
+
+    A batch has a folder of its own in each sink and replaces it, so that a batch
+    that is run again after a failure is not there twice.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         held = batch.persist()
         for sink in sinks:
-            held.write.mode("append").json(sink)
+            held.write.mode("overwrite").json(f"{sink}/batch={number}")
         held.unpersist()
 
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

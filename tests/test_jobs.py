@@ -1,9 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rayloom.operators import jobs, stores
+from rayloom.operators.ranges import running
 from rayloom.streaming import jobs as streams
 
 T0 = datetime(2024, 1, 1)
@@ -51,8 +54,34 @@ def test_changes_as_stream_and_batch(spark, feed):
     assert sorted((r.job_id, r.seq) for r in got) == sorted((r.job_id, r.seq) for r in want)
 
 
+def test_every_compared_field_counts(spark, tmp_path):
+    import json
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    base = {"state": "running", "percent": 5, "stage": "a", "message": "m", "from_cache": False, "result": None, "error": None}
+    changes = [{}, {}, {"percent": 6}, {"stage": "b"}, {"message": None}, {}, {"from_cache": True}, {"result": "x"}, {"result": "y"}, {"error": "e"}, {"state": "failed"}]
+    rows, now = [], dict(base)
+    for i, change in enumerate(changes):
+        now |= change
+        rows.append({"job_id": 1, "seq": i, "ts": (T0 + timedelta(seconds=i)).isoformat()} | now)
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "0.json").write_text("\n".join(map(json.dumps, rows)))
+    want = [0, 2, 3, 4, 6, 7, 9, 10]
+    assert sorted(r.seq for r in drain(streams.changes_only(streams.read_feed(spark, str(tmp_path / "feed"))), "seven", spark)) == want
+    batch = spark.read.schema(streams.SNAPSHOT).json(str(tmp_path / "feed"))
+    assert sorted(r.seq for r in jobs.changed_only(batch).collect()) == want
+
+
+def test_fan_out_of_a_repeated_batch(spark, feed, tmp_path):
+    """The first batch is run again after its first sink was written."""
+    frame, sinks = feed(some_rows(20)), [str(tmp_path / "a"), str(tmp_path / "b")]
+    spark.createDataFrame([(1,)], "job_id long").write.json(f"{sinks[0]}/batch=0")
+    streams.fan_out(frame, sinks, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [spark.read.json(s).count() for s in sinks] == [20, 20]
+
+
 CASES = [
-    (["start", "progress", "complete", "progress"], ("completed", 100)), (["cancel", "progress"], ("cancelled", 0)), (["start", "cancel", "progress", "complete"], ("cancelled", 0)),
+    (["note", "cancel"], ("cancelled", 0)), (["start", "progress", "complete", "progress"], ("completed", 100)), (["cancel", "progress"], ("cancelled", 0)), (["start", "cancel", "progress", "complete"], ("cancelled", 0)),
     (["start", "progress", "cancel", "fail"], ("cancelled", 30)), (["start", "fail", "complete"], ("failed", 0)), (["start", "cancel"], ("cancelling", 0)),
 ]
 
@@ -121,6 +150,61 @@ def test_lru_equals_replay(spark, capacity, max_bytes, keep_one):
     assert got == replay_lru(accesses, capacity, max_bytes, keep_one)
 
 
+def test_state_machine_equals_a_fold(spark):
+    rng = random.Random(12)
+    kinds = ["start", "progress", "progress", "cancel", "complete", "fail", "note"]
+    rows = [(rng.randint(1, 60), i, i, rng.choice(kinds), rng.randint(1, 99)) for i in range(300)]
+    want = {}
+    for job, _, _, action, percent in rows:
+        state, done = want.get(job, ("queued", 0))
+        if state in ("queued", "running", "cancelling"):
+            if state != "cancelling" and action in ("progress", "complete"):
+                done = 100 if action == "complete" else percent
+            if action == "cancel":
+                state = "cancelled" if state == "queued" else "cancelling"
+            elif action in ("complete", "fail"):
+                state = "cancelled" if state == "cancelling" else {"complete": "completed", "fail": "failed"}[action]
+            elif state == "queued" and action in ("start", "progress"):
+                state = "running"
+        want[job] = (state, done)
+    got = jobs.state_machine(snapshots(spark, rows).withColumnRenamed("state", "action")).collect()
+    assert {r.job_id: (r.state, r.percent) for r in got} == want
+
+
+def test_places_and_sums_in_ranges(spark):
+    """Ties, nulls, one hot value and ranges without rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 1, 1, rng.randint(0, 900)]), i, rng.choice([None, 0, 3, 9])) for i in range(700)]
+    frame = spark.createDataFrame(rows, "t int, k long, size long").repartition(5)
+    for descending in (False, True):
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=descending)
+        want, before = {}, 0
+        for place, (_, k, size) in enumerate(order, 1):
+            want[k] = (place, before, sum(r[2] or 0 for r in rows))
+            before += size or 0
+        for groups in (1, 9, 300):
+            got = running(frame, ("t", "k"), "size", descending, groups).collect()
+            assert {r.k: (r.place, r.prior, r.total) for r in got} == want
+    assert running(frame.limit(0), ("t", "k"), "size").count() == 0
+
+
+@pytest.mark.parametrize("groups", [16, 200])
+def test_eviction_of_two_million_files(spark, groups):
+    """With a column more than the totals need, in many tasks and under adaptive execution."""
+    n = 2_000_000
+    files = spark.range(0, n, 1, 8).select(
+        F.format_string("p%07d", "id").alias("path"), (F.col("id") * 7919 % 101 + 1).alias("size"), (F.col("id") * 104_729 % 5003).alias("mod_time"), F.sha1(F.col("id").cast("string")).alias("note")
+    )
+    ids = np.arange(n)
+    size, time = ids * 7919 % 101 + 1, ids * 104_729 % 5003
+    order = np.lexsort((ids, time))
+    prior = np.concatenate([[0], np.cumsum(size[order])[:-1]])
+    limit = int(size.sum() * 2 // 3)
+    gone = order[size.sum() - prior > limit]
+    got = stores.evict_oldest(files, limit, groups).agg(F.count(F.when(F.col("evicted"), 1)).alias("n"), F.sum(F.when(F.col("evicted"), F.substring("path", 2, 7).cast("long"))).alias("s")).first()
+    assert (got.n, got.s) == (len(gone), int(gone.sum()))
+
+
 def test_eviction_deletes_oldest_first(spark):
     rng = random.Random(1)
     rows = [(f"p{i}", rng.randint(1, 50), rng.randint(0, 40)) for i in range(300)]
