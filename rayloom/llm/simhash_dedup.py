@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.llm.common import materialise
+from rayloom.llm.common import materialise, working_tables
 from rayloom.llm.components import connected_components
 
 SEED = 42
@@ -74,28 +74,30 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 
 
 def with_fingerprints(
-    docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", prefix: Callable | None = None, shingle: int = 5
+    docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: Callable | None = None, shingle: int = 5
 ) -> DataFrame:
     """(doc_id, key, fp) for every document, whole texts; the key is the same for equal rows.
 
-    ``prefix`` adds the number ``n`` of distinct shingles of ``shingle`` words and what it picks of them.
+    ``bands`` adds ``text_key``, which equal texts share, and what it makes of the hashes of the distinct shingles of ``shingle`` words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = {"fp": pa.array([fingerprint(text, width) for text in texts], pa.int64())}
-            if prefix:
-                picked, sizes = [], []
-                for text in texts:
-                    hashes = shingle_set(text, shingle)
-                    sizes.append(len(hashes))
-                    picked.append(prefix(hashes).view(np.int64))
-                found |= {"n": pa.array(sizes, pa.int32()), "prefix": pa.array(picked, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found.values()], ["doc_id", "key", *found])
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, key long, fp long" + ", n int, prefix array<long>" * bool(prefix))
+            fps, made = [], []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                fps.append(fingerprint(text, width))
+                if bands:
+                    made.append(bands(shingle_set(text, shingle)))
+            columns = [*batch.columns[:-1], pa.array(fps, pa.int64()), *([pa.array(made, pa.list_(pa.int64()))] if bands else [])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    narrow = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), *[F.xxhash64(text_col).alias("text_key")] * bool(bands),
+        F.col(text_col).cast("binary").alias("text"),
+    )
+    schema = "doc_id long, key long, text_key long, fp long, bands array<long>" if bands else "doc_id long, key long, fp long"
+    names = [field.split()[0] for field in schema.split(", ")]
+    return narrow.mapInArrow(run, schema)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -156,34 +158,6 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
     return fps[moved], fps[label[moved]]
 
 
-def nearest_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint the nearest earlier one in its run of equal keys, if it is within ``distance``.
-
-    This may pass over pairs that a later check would accept; ``keep_one`` does not use it.
-    """
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-    sizes = np.diff(starts)
-    best, partner = np.full(len(keys), distance + 1, np.int64), np.zeros(len(keys), np.int64)
-    ends = np.repeat(starts[1:], sizes)
-    small, step = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 256), sizes)), 1
-    while len(small := small[small + step < ends[small]]):
-        bits = np.bitwise_count(fps[small] ^ fps[small + step]).astype(np.int64)
-        closer = bits < best[small + step]
-        best[small[closer] + step], partner[small[closer] + step] = bits[closer], small[closer]
-        step += 1
-    for run in np.flatnonzero(sizes > 256):
-        own = fps[starts[run] : starts[run + 1]]
-        rows = max(1, (1 << 20) // len(own))
-        for at in range(0, len(own), rows):
-            block = own[at : at + rows]
-            bits = np.bitwise_count(block[:, None] ^ own[None, : at + len(block)]).astype(np.int64)
-            bits[np.arange(at + len(block))[None, :] >= np.arange(at, at + len(block))[:, None]] = BITS + 1
-            where = starts[run] + at + np.arange(len(block))
-            best[where], partner[where] = bits.min(axis=1), starts[run] + bits.argmin(axis=1)
-    found = np.flatnonzero(best <= distance)
-    return fps[found], fps[partner[found]]
-
-
 def _run_labels(fps: np.ndarray, distance: int) -> np.ndarray:
     """Labels in one large bucket, in blocks; it ends early once all are one component."""
     n, label = len(fps), np.arange(len(fps))
@@ -280,9 +254,11 @@ def _first_row() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
 
 
-def _components(prints: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
+def _components(prints: DataFrame, distance: int, bucket_rows: int, more: DataFrame | None = None) -> DataFrame:
+    """``more`` adds links between fingerprints."""
     nodes = materialise(prints.groupBy("fp").agg(F.min(_first_row()).alias("least")), "simhash-nodes")
-    roots = connected_components(fingerprint_links(nodes.select("fp"), distance, bucket_rows))
+    links = fingerprint_links(nodes.select("fp"), distance, bucket_rows)
+    roots = connected_components(links.union(more) if more is not None else links)
     placed = materialise(
         nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots"
     )
@@ -291,193 +267,192 @@ def _components(prints: DataFrame, distance: int, bucket_rows: int) -> DataFrame
     return prints.join(classes, F.col("fp") == F.col("node")).select("doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), "best")
 
 
-def common_shingles(docs: DataFrame, shingle: int, id_col: str, text_col: str, one_in: int = 16, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of the shingles that stand most often in a sample of the rows, ``most`` at the most.
-
-    They only set the order of ``prefix_of``; any order finds the same pairs, a
-    good one keeps the buckets small.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(text, shingle) for text in batch.column(0).to_pylist()]
-            found = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found)], ["h"])
-
-    sample = docs.filter(F.pmod(row_key(id_col, text_col), F.lit(one_in)) == 0).select(F.col(text_col).cast("binary"))
-    counts = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
-    hashes = counts.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], counts.column("count").to_numpy()[order]
-
-
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """The distinct hashes of a text's word shingles, in order; none without words."""
     words = words_of(text)
     return np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, np.uint64)
 
 
-def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The rarest of a set's ``hashes``: as many as it takes for similar sets to share one of them.
+class Bands:
+    """MinHash bands: sets of Jaccard coefficient t share a band with probability 1 - (1 - t ** rows) ** bands.
 
-    Sets of n and m elements whose Jaccard coefficient is t or more share at
-    least t * n, so the first n - ceil(t * n) + 1 of each, in one order of all
-    elements, have an element in common.
+    20 bands of 5 rows give 0.9996 at 0.8 and more above it.
     """
-    known, counts = common
-    weight = np.zeros(len(hashes), np.int64)
-    if len(known) and len(hashes):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        weight = np.where(known[at] == hashes, counts[at], 0)
-    short = len(hashes) - int(np.ceil(len(hashes) * similarity - 1e-9)) + 1
-    return hashes[np.lexsort((hashes, weight))][:short]
-
-
-def prefix_pairs(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ``keys`` inside each run of equal ``hashes`` (sorted) that size and position do not rule out.
 
-    ``places`` is size << 32 | position. At the first shared element of two
-    similar sets, what is left of the shorter holds the whole overlap. They come
-    in blocks, so that a large run is never held as pairs.
+    def __init__(self, bands: int = 20, rows: int = 5, seed: int = 20_11):
+        random = np.random.default_rng(seed)
+        self.bands, self.rows = bands, rows
+        self.factors = random.integers(0, 2**63, bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.offsets = random.integers(0, 2**63, bands * rows).astype(np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """One hash for each band, with the band's number in it; none for an empty set."""
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        least = np.full(self.bands * self.rows, 2**64 - 1, np.uint64)
+        for at in range(0, len(hashes), 256):
+            part = hashes[at : at + 256, None] * self.factors + self.offsets
+            np.minimum(least, part.min(axis=0), out=least)
+        out = np.arange(1, self.bands + 1, dtype=np.uint64)
+        for k in range(self.rows):
+            out = (out ^ least[k :: self.rows]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[list[pa.Array], bool]]:
+    """Runs of equal first columns (sorted) over batches, as (columns, whole).
+
+    A run of more than ``most`` rows comes in pieces, which are not whole.
+    """
+    held: list[pa.RecordBatch] = []
+    passing = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else []
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.slice(a, b - a)
+            if held and held[0].column(0)[0] != part.column(0)[0]:
+                yield _joined(held), passing is None
+                held, passing = [], None
+            held.append(part)
+            if most and sum(map(len, held)) > most:
+                passing = keys[a]
+                yield _joined(held), False
+                held = []
+            if passing is not None and keys[a] != passing:
+                passing = None
+    if held:
+        yield _joined(held), passing is None
+
+
+def _joined(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+    return [pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns)]
+
+
+def _buckets(bucket_rows: int) -> Callable:
+    """Over (h, text, fp) sorted by h: (bucket, text, whole) of the runs with more than one fingerprint.
+
+    A bucket's number is made of its texts: texts that share many bands with the
+    same others meet once. Pieces of a run that is too large keep the band's hash.
     """
-    sizes = places >> 32
-    left = sizes - (places & 0xFFFFFFFF)
-    share = similarity / (1 + similarity)
-
-    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.minimum(left[i], left[j]) >= share * (sizes[i] + sizes[j]) - 1e-6
-
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(hashes)) + 1, [len(hashes)]])
-    counts = np.diff(starts)
-    ends = np.repeat(starts[1:], counts)
-    small, step = np.flatnonzero(np.repeat((counts > 1) & (counts <= 256), counts)), 1
-    while len(small := small[small + step < ends[small]]):
-        near = small[fits(small, small + step)]
-        yield keys[near], keys[near + step]
-        step += 1
-    for run in np.flatnonzero(counts > 256):
-        rows = max(1, (1 << 20) // int(counts[run]))
-        for at in range(starts[run], starts[run + 1], rows):
-            i = np.arange(at, min(at + rows, starts[run + 1]))
-            a, b = np.nonzero(fits(i[:, None], np.arange(at, starts[run + 1])[None, :]))
-            later = a < b
-            yield keys[a[later] + at], keys[b[later] + at]
-
-
-def _prefix_stream(similarity: float, bucket_rows: int | None) -> Callable:
-    """Over (h, key, place) sorted by h: pairs (0, 0, key, key), or (1, h, key, place) for buckets that are too large."""
-
-    def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-        arrays = [np.full(len(columns[0]), kind, np.int32), *columns]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["kind", "h", "a", "b"])
-
-    def complete(h: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b in prefix_pairs(h, key, place, similarity):
-            if len(a):
-                yield rows(0, np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, passing = [np.zeros(0, np.int64)] * 3, None
-        for batch in batches:
-            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
-            if passing is not None and (n := int(np.searchsorted(held[0], passing, "right"))):
-                yield rows(1, *[x[:n] for x in held])
-                held = [x[n:] for x in held]
-            if not len(held[0]):
+        for (h, text, fp), whole in _runs(batches, bucket_rows):
+            prints = fp.to_numpy()
+            if whole and (len(prints) == 1 or (prints == prints[0]).all()):
                 continue
-            last = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if bucket_rows:
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(held[0][:last])) + 1, [last]])
-                large = np.repeat(np.diff(cuts) > bucket_rows, np.diff(cuts))
-                if large.any():
-                    yield rows(1, *[x[:last][large] for x in held])
-                yield from complete(*[x[:last][~large] for x in held])
-            else:
-                yield from complete(*[x[:last] for x in held])
-            held, passing = [x[last:] for x in held], None
-            if bucket_rows and len(held[0]) > bucket_rows:
-                yield rows(1, *held)
-                passing, held = int(held[0][0]), [x[:0] for x in held]
-        yield from complete(*held)
+            number = h if not whole else pa.array(np.full(len(h), xxhash.xxh64_intdigest(text.to_numpy().tobytes()), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([number, text, pa.array(np.full(len(h), whole))], ["bucket", "text", "whole"])
 
     return run
 
 
-def similar_pairs(prefixes: DataFrame, similarity: float, bucket_rows: int = 16_384) -> DataFrame:
-    """(a, b): every pair of keys of ``prefixes`` (key, n, prefix) that can have a Jaccard coefficient of ``similarity``.
+def set_links(sets: list[np.ndarray], fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as fingerprints, of the pairs of ``sets`` whose Jaccard coefficient is ``similarity`` or more.
 
-    Rows meet by a shuffle on each hash of their prefix. A bucket of more than
-    ``bucket_rows`` is cut into chunks, of which every pair is a task's work.
+    An inverted index counts what each set shares with all others; pairs are
+    looked at one set at a time and never held.
     """
-    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    entries = prefixes.select("key", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "key", place.alias("place"))
-    schema = "kind int, h long, a long, b long"
-    meet = lambda df, rows: df.repartition("h").sortWithinPartitions("h", "place", "key").mapInArrow(_prefix_stream(similarity, rows), schema)
-    met = materialise(meet(entries, bucket_rows), "similar-met")
-    pairs = met.filter("kind = 0").select("a", "b")
-    large = met.filter("kind = 1").select("h", F.col("a").alias("key"), F.col("b").alias("place"))
-    if not large.isEmpty():
-        chunks = large.groupBy("h").agg(F.ceil(F.count("*") / (bucket_rows // 2)).alias("chunks"))
-        own, other = F.pmod(F.xxhash64("key"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-        cut = large.join(chunks, "h").withColumn("own", own).withColumn("other", other)
-        again = cut.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "key", "place")
-        pairs = pairs.union(meet(again, None).select("a", "b"))
-    return pairs.filter("a <> b").distinct()
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    _, group, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(group, kind="stable")]
+    starts = np.cumsum(counts) - counts
+    _, label = np.unique(fps, return_inverse=True)
+    found_a, found_b = [], []
+    for i in range(len(sets)):
+        if (label == label[0]).all():
+            break
+        own = group[ends[i] - sizes[i] : ends[i]]
+        n = counts[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        alike = (common >= similarity * (sizes[i] + sizes - common) - 1e-9) & (label != label[i])
+        for j in np.flatnonzero(alike):
+            if label[j] != label[i]:
+                found_a.append(fps[i])
+                found_b.append(fps[j])
+                label[label == label[j]] = label[i]
+    return np.array(found_a, np.int64), np.array(found_b, np.int64)
+
+
+def _bucket_sets(similarity: float) -> Callable:
+    """Over (bucket, text, fp, set) sorted by bucket: the links (a, b) of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, fp, held), _ in _runs(batches, None):
+            sets = [x.values.to_numpy() for x in held]
+            if len(sets) > 1:
+                a, b = set_links(sets, fp.to_numpy(), similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
 
 
-def similar_rows(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int, bucket_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(key) of the rows that are similar to an earlier one, or linked to one through others.
+def similar_links(
+    docs: DataFrame, prints: DataFrame, similarity: float, shingle: int, bucket_rows: int, id_col: str, text_col: str
+) -> DataFrame:
+    """(a, b): links between the fingerprints of texts that share a band and whose shingles are similar.
 
-    ``rows`` has (doc_id, key, n, prefix). Candidates are all pairs that
-    ``similar_pairs`` lets through, which leaves out none that is similar. Only
-    candidates' texts are read again; a link counts if the Jaccard coefficient
-    of the distinct word shingles is ``similarity`` or more.
+    ``prints`` has (key, text_key, fp, bands). Each distinct text stands once in
+    the bucket of each of its bands. Buckets with different fingerprints get the
+    texts' shingle sets, as 32-bit hashes, and every pair in them is checked; a
+    bucket emits a spanning forest. One of more than ``bucket_rows`` texts is cut
+    into chunks, of which every pair is a task's work.
     """
-    pairs = materialise(similar_pairs(rows.select("key", "n", "prefix"), similarity, bucket_rows), "similar-pairs")
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    texts = prints.groupBy("text_key", "fp").agg(F.min("key").alias("text"), F.first("bands").alias("bands"))
+    entries = texts.select(F.explode("bands").alias("h"), "text", "fp")
+    met = entries.repartition("h").sortWithinPartitions("h", "text").mapInArrow(_buckets(bucket_rows), "bucket long, text long, whole boolean")
+    met = materialise(met.distinct(), "similar-buckets")
+    needed = met.select("text").distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text, shingle).view(np.int64) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
-
-    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text")).join(needed, "key")
-    sets = materialise(texts.mapInArrow(shingles, "key long, shingles array<long>"), "similar-sets").dropDuplicates(["key"])
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("shingles").alias(f"{name}_set"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    alike = common >= (F.size("a_set") + F.size("b_set") - common) * similarity
-    links = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b")
-    roots = connected_components(links)
-    known = rows.select("key", _first_row().alias("row")).join(roots, F.col("key") == F.col("node"))
-    best = known.groupBy("root").agg(F.min("row").alias("best"))
-    return known.join(best, "root").filter(F.col("key") != F.col("best.key")).select("key")
+            sets = []
+            for text in batch.column(1).to_pylist():
+                sets.append(np.unique((shingle_set(text, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["text", "set"])
+
+    own = docs.select(row_key(id_col, text_col).alias("text"), F.col(text_col).cast("binary").alias("body")).join(needed, "text")
+    sets = own.mapInArrow(shingles, "text long, set array<int>").groupBy("text").agg(F.first("set").alias("set"))
+    sets = materialise(sets.join(texts.select("text", "fp"), "text"), "similar-sets")
+    meet = lambda rows: rows.join(sets, "text").select("bucket", "text", "fp", "set").repartition("bucket").sortWithinPartitions("bucket", "text").mapInArrow(_bucket_sets(similarity), "a long, b long")
+    links = meet(met.filter("whole").drop("whole"))
+    large = met.filter("not whole").drop("whole")
+    if not large.isEmpty():
+        chunks = large.groupBy("bucket").agg(F.ceil(F.count("*") / (bucket_rows // 2)).alias("chunks"))
+        mine, other = F.pmod(F.xxhash64("text"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        cut = large.join(chunks, "bucket").withColumn("mine", mine).withColumn("other", other)
+        links = links.union(meet(cut.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "text").distinct()))
+    return materialise(links.distinct(), "similar-links")
 
 
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, bucket_rows: int = 16_384,
-    similarity: float = 0.8, shingle: int = 5,
+    similarity: float = 0.8, shingle: int = 5, set_rows: int = 4096,
 ) -> DataFrame:
-    """``docs``, all columns, with one document of each group: its first row.
-
-    Groups are the components of ``near_duplicates``. Of their first rows, those
-    whose ``shingle``-word shingles are similar to an earlier one go too, found
-    without loss (see ``similar_rows``): fingerprints of a few hundred shingles
-    differ in more than ``distance`` bits well before their similarity falls
-    below 0.8.
-
-    The texts are joined with the keys of the rows that go only; rows repeated in
-    full, which share a key, are reduced to one where there are any.
+    """``docs``, all columns, with one document of each group: its first row, by id.
+
+    Two texts are linked if their fingerprints differ in at most ``distance`` bits
+    or the Jaccard coefficient of their sets of ``shingle``-word shingles is
+    ``similarity`` or more (see ``similar_links``): fingerprints of a few hundred
+    shingles differ in more bits well before that falls below 0.8. Groups are the
+    components over both kinds of links.
+
+    Null and empty texts are one group; of rows that share the smallest id the
+    one with the smaller key stays, rows without an id come last; rows repeated
+    in full are reduced to one. The texts are joined with the keys of the rows
+    that go only.
     """
-    common = common_shingles(docs, shingle, id_col, text_col)
-    prefix = lambda hashes: prefix_of(hashes, common, similarity)
-    prints = materialise(with_fingerprints(docs, width, id_col, text_col, prefix, shingle), "simhash-prints")
-    found = _components(prints.select("doc_id", "key", "fp"), distance, bucket_rows)
-    found = materialise(found.select("doc_id", "key", (F.col("key") == F.col("best.key")).alias("stays")), "simhash-stays")
-    firsts = found.filter("stays").select("key").distinct()
-    rows = prints.join(firsts, "key", "left_semi").select("doc_id", "key", "n", "prefix").dropDuplicates(["key"])
-    similar = similar_rows(docs, materialise(rows, "simhash-firsts"), similarity, shingle, bucket_rows, id_col, text_col)
-    gone = materialise(found.filter("not stays").select("key").union(similar).distinct(), "simhash-gone")
-    again = materialise(found.filter("stays").groupBy("key").count().filter("count > 1").select("key"), "simhash-again")
+    with working_tables(docs.sparkSession):
+        prints = materialise(with_fingerprints(docs, width, id_col, text_col, Bands(), shingle), "simhash-prints")
+        links = similar_links(docs, prints, similarity, shingle, set_rows, id_col, text_col)
+        found = _components(prints.select("doc_id", "key", "fp"), distance, bucket_rows, links)
+        found = materialise(found.select("key", (F.col("key") == F.col("best.key")).alias("stays")), "simhash-stays")
+        gone = materialise(found.filter("not stays").select("key").distinct(), "simhash-gone", lasting=True)
+        again = materialise(found.filter("stays").groupBy("key").count().filter("count > 1").select("key"), "simhash-again", lasting=True)
     kept = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(gone, "key", "left_anti")
     if not again.isEmpty():
         one = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
