@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rayloom.llm.topk_search import SATURATION, ImpactIndex, exact_top_k
+from rayloom.llm.topk_search import ImpactIndex, exact_top_k
 
 
 def brute(rows, k, every, scale=1024):
@@ -13,7 +13,7 @@ def brute(rows, k, every, scale=1024):
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        held[(i, tuple(max(-SATURATION, min(SATURATION, math.floor(np.float32(x).item() * scale))) for x in v))] = 1
+        held[(i, tuple(math.floor(np.float32(x).item() * scale) for x in v))] = 1
     out = []
     for q, qv in held:
         if q % every == 0:
@@ -29,19 +29,19 @@ def run(spark, rows, k=10, every=5, **options):
     return sorted(tuple(r) for r in found.collect())
 
 
-@pytest.mark.parametrize("block_rows, query_rows", [(4096, 2048), (40, 7)])
-def test_equals_brute_force(spark, block_rows, query_rows):
+@pytest.mark.parametrize("block_rows, query_bytes", [(8192, 64_000_000), (40, 800)])
+def test_equals_brute_force(spark, block_rows, query_bytes):
     rng = random.Random(3)
     centres = [[rng.gauss(0, 0.2) for _ in range(12)] for _ in range(4)]
     rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 4]], "x", 1) for i in range(300)]
-    assert run(spark, rows, block_rows=block_rows, query_rows=query_rows) == brute([r[:2] for r in rows], 10, 5)
+    assert run(spark, rows, block_rows=block_rows, query_bytes=query_bytes) == brute([r[:2] for r in rows], 10, 5)
 
 
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (0, [0.5, -0.25]), (5, [0.5, -0.25]), (1, [0.5, -0.25]), (1, [0.5, -0.25]), (2, [0.5, None]), (3, None), (4, [nan, 1.0]),
-        (6, [inf, 1.0]), (None, [1.0, 1.0]), (7, [1e30, -1e30]), (8, [0.0, 0.0]), (9, [0.5, -0.25]), (10, [-0.5, 0.25]),
+        (6, [inf, 1.0]), (None, [1.0, 1.0]), (7, [1e9, -1e9]), (8, [0.0, 0.0]), (9, [0.5, -0.25]), (10, [-0.5, 0.25]),
     ]
     rows = [(*r, "x", 1) for r in rows]
     assert run(spark, rows, k=3) == brute([r[:2] for r in rows], 3, 5)
@@ -52,6 +52,24 @@ def test_vectors_of_different_length_and_empty_ones(spark):
     assert run(spark, rows, k=2) == [(0, 1, 1, 1024 * 1024), (0, 2, 5, 1024 * 512), (5, 1, 1, 512 * 1024 + 512 * 5120), (5, 2, 0, 512 * 1024)]
 
 
+def test_components_of_any_size_are_exact(spark):
+    rows = [(0, [1.0], None, None), (1, [100000.0], None, None), (2, [200000.0], None, None)]
+    assert run(spark, rows, k=2) == [(0, 1, 2, 209715200000), (0, 2, 1, 104857600000)]
+    rng = random.Random(9)
+    mixed = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 0, 3, 6]) for _ in range(6)], "x", 1) for i in range(90)]
+    assert run(spark, mixed, block_rows=25) == brute([r[:2] for r in mixed], 10, 5)
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    with pytest.raises(Exception, match="is no 64-bit number"):
+        run(spark, [(0, [1e12], None, None), (1, [1e12], None, None)])
+
+
+def test_repeated_rows_in_many_blocks(spark):
+    rows = [(i % 7, [float(i % 7), 1.0], None, None) for i in range(200)]
+    assert run(spark, rows, k=4, every=3, block_rows=10) == brute([r[:2] for r in rows], 4, 3)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
@@ -60,7 +78,7 @@ def test_the_scan_ends_on_proof():
     """With one clear cluster most rows are ruled out before they are rescored."""
     rng = np.random.default_rng(1)
     near, far = rng.integers(600, 700, (20, 16)), rng.integers(-50, 50, (2000, 16))
-    index = ImpactIndex(np.concatenate([near, far]), 32)
+    index = ImpactIndex(np.concatenate([near, far]).astype(float), 32)
     members, scores = index.search(near[0], np.ones(2020, bool), 10)
     assert len(members) < 200 and set(np.argsort(-(np.concatenate([near, far]) @ near[0]))[:10]) <= set(members)
     assert (scores == np.concatenate([near, far])[members] @ near[0]).all()
