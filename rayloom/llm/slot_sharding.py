@@ -12,8 +12,10 @@ of that shard before its own plus its row number in its slot, so no window is
 larger than one slot.
 
 Defined results for odd input: a null text has no bytes and a null checksum;
-null ids are hashed with the text, so they spread; repeated rows share a slot
-and get places of their own; an empty table gives an empty result.
+null ids are hashed with the text, so they spread; rows that are alike in id, size
+and checksum are counted and dealt to slots in turn, from the one of their hash
+on, so that any number of them spreads evenly; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -55,15 +57,29 @@ class SlotMap:
         return out
 
 
+#: Equal rows that one task deals out.
+_ALIKE = 65_536
+
+
 def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, vslot): a narrow row for each record."""
-    crc = F.crc32(F.col(text_col).cast("binary"))
-    return docs.select(
+    """(doc_id, size, text_crc32, vslot): a narrow row for each record.
+
+    Records that these columns don't tell apart are shuffled as one row with
+    their number, which is written once.
+    """
+    narrow = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(slots)).cast("int").alias("vslot"),
+        F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"),
     )
+    alike = materialise(narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("alike")), "shard-records")
+    many = alike.filter(F.col("alike") > _ALIKE)
+    part = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / _ALIKE))).alias("part"))
+    last = F.least(F.col("alike"), (F.col("part") + 1) * _ALIKE) - 1
+    spread = part.repartition("doc_id", "text_crc32", "part").select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("part") * _ALIKE, last)).alias("copy"))
+    few = alike.filter(F.col("alike") <= _ALIKE).select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)).alias("copy"))
+    vslot = F.pmod(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)) + F.col("copy"), F.lit(slots)).cast("int")
+    return few.union(spread).select("doc_id", "size", "text_crc32", vslot.alias("vslot"))
 
 
 def slot_sizes(records: DataFrame) -> dict[int, tuple[int, int]]:
@@ -162,7 +178,7 @@ def place(records: DataFrame, slot_map: SlotMap) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """All records in shards of near equal bytes, through a map stored at ``map_path`` if given."""
-    records = materialise(with_slots(docs, slots), "shard-records")
+    records = with_slots(docs, slots)
     slot_map = plan_map(slot_sizes(records), shards)
     if map_path and slot_map.shard_of:
         write_map(docs.sparkSession, slot_map, map_path)

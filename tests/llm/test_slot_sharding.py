@@ -28,6 +28,47 @@ def test_sizes_are_near_equal_and_reruns_agree(documents):
     assert sorted(map(repr, found)) == sorted(map(repr, again))
 
 
+def slow_shards(rows, shards, slots):
+    """Every row by itself: equal ones from the slot of their hash on, the heaviest slot to the lightest shard, one by one."""
+    seen, held = defaultdict(int), []
+    for (i, t), first in rows:
+        key = (i, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode()))
+        held.append((key, (first + seen[key]) % slots))
+        seen[key] += 1
+    weight = defaultdict(int)
+    for key, slot in held:
+        weight[slot] += key[1]
+    load, home = [0] * shards, {}
+    for slot in sorted(weight, key=lambda s: (-weight[s], s)):
+        home[slot] = min(range(shards), key=lambda s: (load[s], s))
+        load[home[slot]] += weight[slot]
+    out, place = [], [0] * shards
+    for key, slot in sorted(held, key=lambda x: (x[1], x[0][0] is not None, x[0][0] or 0, x[0][2] is not None, x[0][2] or 0, x[0][1])):
+        out.append((*key, home[slot], place[home[slot]]))
+        place[home[slot]] += 1
+    return sorted(out, key=repr)
+
+
+def test_equals_a_row_by_row_placement(spark, documents):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 300, "y" * (i % 90)) for i in range(900)] + [(7, "same")] * 40 + [(None, "none")] * 30 + [(None, None)]
+    df = documents(rows)
+    first = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(64)).alias("s"))
+    asked = [((r.doc_id, r.text), r.s) for r in first.collect()]
+    got = sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in placed(df, 5, slots=64)), key=repr)
+    assert got == slow_shards(asked, 5, 64)
+
+
+def test_equal_rows_spread_over_all_shards(spark, documents, monkeypatch):
+    monkeypatch.setattr(ss, "_ALIKE", 100)
+    found = placed(documents([(1, "the same")] * 5000 + [(None, "no id")] * 3000 + [(i, "x" * i) for i in range(200)]), 8)
+    load = defaultdict(int)
+    for r in found:
+        load[r["shard"]] += r["size"]
+    assert len(found) == 8200 and len(load) == 8 and max(load.values()) - min(load.values()) < 0.02 * sum(load.values())
+
+
 def test_odd_rows(odd, no_documents):
     from .conftest import ODD
 
