@@ -19,11 +19,13 @@ an empty table or an empty rule list is fine; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 BROADCAST_RULES = 50_000
 
@@ -101,18 +103,46 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url_col: str = "url") -> DataFrame:
     """``pages`` (all its columns in a struct ``row``) with host, path, rule and verdict."""
     split = pages.select(F.struct("*").alias("row"), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
+    index = rule_index(split.select("host", "path"), rules)
+    hits = _judge_in_tasks(split, index) if len(rules) <= BROADCAST_RULES else _judge_by_joins(split, index)
+    return hits.select("row", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _judge_in_tasks(split: DataFrame, index: DataFrame) -> DataFrame:
+    """(row, host, path, rule, verdict); the index is a dictionary from token to rules in every task."""
+    shared = split.sparkSession.sparkContext.broadcast([tuple(r) for r in index.collect()])
+    schema = StructType([*split.schema.fields, StructField("rule", StringType()), StructField("verdict", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed: dict[str, list] = {}
+        for token, pattern, rule, verdict, length, host_length in shared.value:
+            filed.setdefault(token, []).append(((length, host_length, rule, verdict), re.compile(pattern)))
+
+        def judge(host: str, path: str) -> tuple:
+            tokens = {"", *(f"h:{x}" for x in host.split(".")), *(f"p:{x}" for x in path.split("/"))}
+            url = host + path
+            fits = [order for t in tokens if t in filed for order, pattern in filed[t] if pattern.match(url)]
+            return max(fits)[2:] if fits else (None, None)
+
+        for batch in batches:
+            urls = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            known = {url: judge(*url) for url in set(urls)}
+            found = [pa.array([known[url][i] for url in urls], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], ["row", "host", "path", "rule", "verdict"])
+
+    return split.mapInArrow(run, schema)
+
+
+def _judge_by_joins(split: DataFrame, index: DataFrame, salts: int = 64) -> DataFrame:
+    """The same for an index that is too large to broadcast."""
     urls = split.select("host", "path").distinct()
-    index = rule_index(urls, rules)
     best = (
         urls.select("host", "path", F.explode(url_tokens("host", "path")).alias("token"))
-        .join(_maybe_broadcast(index, len(rules)), "token")
+        .join(index, "token")
         .filter(F.expr("concat(host, path) rlike pattern"))
         .groupBy("host", "path")
-        .agg(
-            F.max_by(F.struct("rule", "verdict"), F.struct("rule_length", "host_length", "rule", "verdict")).alias("hit")
-        )
-    )
-    joined = split.join(best, ["host", "path"], "left")
-    return joined.select(
-        "row", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")
+        .agg(F.max_by(F.struct("rule", "verdict"), F.struct("rule_length", "host_length", "rule", "verdict")).alias("hit"))
     )
+    spread = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = split.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["host", "path", "salt"], "left").select("row", "host", "path", "hit.rule", "hit.verdict")
