@@ -9,9 +9,11 @@ descent. A logistic curve, fitted on documents that the descent has not seen,
 turns margins into scores from 0 to 1.
 
 The model is fitted on a bounded sample: of the labelled rows that may be learnt
-from, the ``sample_rows`` per class with the smallest hash of the id. Only those
-rows are joined with texts (a broadcast of bounded size), and their feature sets
-go to the driver. Every document is scored in whole, in one pass without shuffle;
+from, the ``sample_rows`` per class with the smallest hash of the id; rows above a
+hash bound that the counts give are left out before anything is ordered, and
+repeated labels count once. Only the sample is joined with texts (a broadcast of
+bounded size), one text for each id, and their feature sets go to the driver.
+Every document is scored in whole, in one pass without shuffle;
 what is broadcast for it is one weight per bucket.
 
 Defined results for odd input: null and empty texts have no n-gram and get the
@@ -30,13 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 BUCKETS = 1 << 18
-#: Salts of the sample, and the rows of each that go on; Spark cuts ranks up to 1000 before the shuffle.
-_SALTS, _SALT_ROWS = 64, 1000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Character classes of a shape: letters to a or A (all beyond ASCII is a letter), digits to 0.
 _SHAPE = bytes(
@@ -177,17 +177,20 @@ def fit(
     """Fits on at most ``sample_rows`` labelled rows of each class.
 
     ``may_learn`` is a condition on ``labels``. The order is by a hash of the id,
-    so the sample is the same in every run. It is first cut per salt of the hash;
-    the smallest ``sample_rows`` hashes (64,000 at most) spread evenly over the salts.
+    so the sample is the same in every run. Of documents that share an id the one
+    whose text has the smallest hash is learnt.
     """
     own = labels.filter(may_learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit("nbsvm"), id_col).alias("place")
     )
-    # in two steps, so that no task ranks a whole class: the first cut leaves _SALTS * _SALT_ROWS rows of each
-    salted = F.row_number().over(Window.partitionBy("label", F.pmod("place", F.lit(_SALTS))).orderBy("place", "label_id"))
-    first = own.withColumn("rank", salted).filter(F.col("rank") <= min(sample_rows, _SALT_ROWS)).drop("rank")
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "label_id")))
-    chosen = F.broadcast(ranked.filter(F.col("rank") <= sample_rows).drop("rank"))
+    different = {r.label: r.n for r in own.groupBy("label").agg(F.approx_count_distinct("place").alias("n")).collect()}
+    parts = []
+    for label in (0, 1):
+        # more than are wanted lie below the bound, so that the sample is full but for rare cases
+        share = min(1.0, 1.2 * (sample_rows + 200) / max(1, different.get(label, 1)))
+        low = own.filter((F.col("label") == label) & (F.col("place") <= int(-(2**63) + share * (2**64 - 1025))))
+        parts.append(low.dropDuplicates().orderBy("place", "label_id").limit(sample_rows))
+    chosen = F.broadcast(parts[0].union(parts[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +200,8 @@ def fit(
             )
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sample = texts.join(chosen, F.col("doc_id") == F.col("label_id")).select("place", "label", "text")
-    rows = sample.mapInArrow(run, "place long, label int, features array<int>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
+    matched = texts.join(chosen, F.col("doc_id") == F.col("label_id")).groupBy("place", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = matched.mapInArrow(run, "place long, label int, features array<int>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
     lists = rows.column("features").combine_chunks()
     sets = [x.values.to_numpy() for x in lists] if len(rows) else []
     return fit_sets(sets, rows.column("label").to_numpy().astype(np.int64))

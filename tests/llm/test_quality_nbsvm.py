@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -60,6 +61,50 @@ def test_sample_is_bounded(spark, documents):
     assert sorted(seen[0].tolist()) == [0] * 20 + [1] * 20
 
 
+def test_repeated_ids_reach_the_driver_once(spark, documents):
+    rows, labels = corpus(60)
+    seen = []
+    keep, nb.fit_sets = nb.fit_sets, lambda sets, labels, **k: seen.append(len(sets)) or keep(sets, labels, **k)
+    try:
+        nb.fit(documents(rows + [(3, "the same id again")] * 5000 + rows * 3), labels_of(spark, labels * 50), F.lit(True), sample_rows=40)
+    finally:
+        nb.fit_sets = keep
+    assert seen == [min(40, sum(x[1] for x in labels)) + min(40, sum(1 - x[1] for x in labels))]
+
+
+def slow_features(text):
+    """Word and shape n-grams as tuples, with no hashing into buckets."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    shape = lambda w: re.sub(r"([aA0])\1+", r"\1", "".join("A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or ord(c) > 127 else "0" if c.isdigit() else c for c in w))
+    shapes = [shape(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    shapes = [s if i == 0 or words[i] != words[i - 1] else "=" for i, s in enumerate(shapes)]
+    out = {("w", *words[i : i + n]) for n in (1, 2) for i in range(len(words) - n + 1)}
+    return out | {("s", *shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)}
+
+
+def test_scores_follow_a_plain_nbsvm(spark, documents):
+    """A model over tuples, fitted by projected gradient steps on the dual, agrees with the operator on nearly all documents."""
+    rows, labels = corpus(240, 4)
+    model = nb.fit(documents(rows), labels_of(spark, labels), F.lit(True))
+    got = {r.doc_id: r.score for r in nb.score(documents(rows), model).collect()}
+    sets, y = [slow_features(t) for _, t in rows], np.array([x[1] for x in labels])
+    names = {f: k for k, f in enumerate(sorted(set().union(*sets), key=repr))}
+    x = np.zeros((len(rows), len(names)))
+    for i, s in enumerate(sets):
+        x[i, [names[f] for f in s]] = 1
+    ratio = np.log((1 + x[y == 1].sum(0)) / y.sum()) - np.log((1 + x[y == 0].sum(0)) / (1 - y).sum())
+    z = x * ratio
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    signs, cost = y * 2.0 - 1, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    alpha, gram = np.zeros(len(y)), (z * signs[:, None]) @ (z * signs[:, None]).T
+    for _ in range(4000):
+        alpha = np.clip(alpha - 0.02 * (gram @ alpha - 1), 0, cost)
+    margin = z @ (z.T @ (alpha * signs))
+    scores = np.array([got[i] for i, _ in rows])
+    assert np.mean((margin > 0) == (scores > 0.5)) > 0.98
+    assert np.corrcoef(margin, np.log(scores / (1 - scores)))[0, 1] > 0.97
+
+
 def test_dual_descent_reaches_the_optimum():
     """The duality gap closes on a small dense problem."""
     rng = np.random.default_rng(0)
