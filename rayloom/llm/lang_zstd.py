@@ -6,13 +6,15 @@ dictionary; the language with the fewest bytes is chosen. The margin to the
 second says how sure that is: below ``min_margin`` the choice is marked as
 rejected.
 
-Dictionaries are cut from a bounded sample: of each language, ``sample_docs``
-documents with the smallest hash of the id give up to ``piece_chars`` letters
-from their middle, up to ``dictionary_bytes`` in all. Every document is encoded
-in whole, in one pass without shuffle.
+Dictionaries are cut from a bounded sample: of each of the ``max_langs`` languages
+with the most documents, ``sample_docs`` distinct documents with the smallest hash
+of id and text give up to ``piece_chars`` letters from their middle, up to
+``dictionary_bytes`` in all. Rows above a hash bound that the counts give are left
+out before anything is ranked, so no task ranks a whole language, and repeated
+rows count once. Every document is encoded in whole, in one pass without shuffle.
 
 Defined results for odd input: a text that is null or has no letter is ``und``
-with score 0; equal sizes go to the language with more documents, then to the
+with score 0 (superscripts and fractions are no letters); equal sizes go to the language with more documents, then to the
 smaller name; with one language only the score is 1; with none every text is
 ``und``; repeated rows are judged alike; an empty table gives an empty result;
 other columns are ignored.
@@ -29,13 +31,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 #: Bytes that a text is encoded in at a time, so that its own history doesn't outgrow the dictionary's.
 PIECE = 2048
 
 
 def letters_of(text: str | None) -> bytes:
-    return " ".join(_LETTERS.findall(text.lower())).encode() if text else b""
+    """The runs of letters (Unicode category L), lower-cased, one space between."""
+    if not text:
+        return b""
+    words = _WORDS.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # other numbers, as superscripts and fractions, are word characters too
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return " ".join(words).encode()
 
 
 def dictionaries(
@@ -47,18 +55,25 @@ def dictionaries(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    max_langs: int = 256,
 ) -> list[tuple[str, bytes]]:
     """(language, dictionary), languages with more documents first.
 
-    The driver gets ``sample_docs`` pieces per language, after each has been cut
-    on the executors.
+    The driver gets at most ``sample_docs`` pieces for each of ``max_langs``
+    languages, after each has been cut on the executors.
     """
     own = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    narrow = own.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("zstd"), id_col).alias("place"))
-    counts = {r.lang: r.n for r in narrow.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id")))
-    chosen = ranked.filter(F.col("rank") <= sample_docs).select("id", "lang", "place").dropDuplicates()
-    texts = own.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    placed = own.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("zstd"), id_col, text_col).alias("place"), F.col(text_col).alias("text"))
+    counted = placed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("different"))
+    langs = counted.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not langs:
+        return []
+    # half as many again as are wanted lie below the bound, so that the sample is full but for rare cases
+    bound = F.lit(None).cast("long")
+    for r in langs:
+        share = min(1.0, 1.5 * (sample_docs + 50) / max(1, r.different))
+        bound = F.when(F.col("lang") == r.lang, F.lit(int(-(2**63) + share * (2**64 - 1025)))).otherwise(bound)
+    low = placed.filter(F.col("place") <= bound)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,12 +84,12 @@ def dictionaries(
                 pieces.append(letters[at : at + piece_chars])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(pieces, pa.string())], ["lang", "place", "piece"])
 
-    sample = texts.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "place", "text")
-    rows = sample.mapInArrow(cut, "lang string, place long, piece string").collect()
+    pieces = low.mapInArrow(cut, "lang string, place long, piece string").groupBy("lang", "place").agg(F.min("piece").alias("piece"))
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    rows = ranked.filter(F.col("rank") <= sample_docs).orderBy("lang", "rank").collect()
     out = []
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        pieces = [r.piece for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.place, r.piece)) if r.piece]
-        content = " ".join(pieces).encode()[:dictionary_bytes]
+    for lang in [r.lang for r in langs]:
+        content = " ".join(r.piece for r in rows if r.lang == lang and r.piece).encode()[:dictionary_bytes]
         if content:
             out.append((lang, content))
     return out

@@ -1,5 +1,8 @@
 import random
 
+import zstandard
+from pyspark.sql import functions as F
+
 from rayloom.llm import lang_zstd as lz
 from rayloom.llm.common import id_fold
 
@@ -37,6 +40,42 @@ def test_odd_rows(spark, odd, no_documents, documents):
     assert lz.dictionaries(no_documents, ~id_fold("doc_id", 3, 1)) == []
 
 
+def test_numbers_that_are_word_characters_are_no_letters(documents):
+    assert lz.letters_of("² ½ Ⅷ ৩ ٤ _ 7") == b"" and lz.letters_of("A²b½ Éß") == "a b éß".encode()
+    rows = lz.identify(documents([(1, "² ½"), (2, "x²")]), [("en", b"some letters here"), ("fr", b"quelques lettres")]).orderBy("doc_id").collect()
+    assert rows[0].lang_pred == "und" and rows[0].score == 0 and rows[1].lang_pred in ("en", "fr")
+
+
+def slow_prediction(text, contents, level=5):
+    """One plain zstandard call for each language and piece, with nothing shared between texts."""
+    letters = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()).encode()
+    if not letters:
+        return "und"
+    sizes = []
+    for lang, content in contents:
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = lambda: zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append(sum(len(packer().compress(letters[i : i + lz.PIECE])) for i in range(0, len(letters), lz.PIECE)))
+    return contents[sizes.index(min(sizes))][0]
+
+
+def test_equals_one_call_per_language(documents):
+    rows = corpus(120)
+    contents = lz.dictionaries(documents(rows), ~id_fold("doc_id", 3, 1))
+    got = {r.doc_id: r.lang_pred for r in lz.identify(documents(rows), contents).collect()}
+    assert got == {i: slow_prediction(t, contents) for i, t, *_ in rows}
+
+
+def test_the_sample_is_bounded_by_languages_pieces_and_rows(spark, documents):
+    rows = [(1, "one text that is there very often", "en", "s")] * 3000 + [(i, f"text number {i} of many in this language", "en", "s") for i in range(2, 900)]
+    rows += [(10_000 + i, "rare words", f"l{i:03}", "s") for i in range(40)]
+    docs = documents(rows)
+    contents = lz.dictionaries(docs, F.lit(True), sample_docs=50, max_langs=12)
+    assert len(contents) == 12 and contents[0][0] == "en"
+    pieces = contents[0][1].decode().split("text number")
+    assert contents[0][1].count(b"one text that is there") <= 1 and len(pieces) - 1 in (49, 50)
+
+
 def test_no_language_and_one_language(documents, odd):
     assert {r.lang_pred for r in lz.identify(odd, []).collect()} == {"und"}
     row = lz.identify(documents([(1, "some letters"), (2, "123 !?")]), [("en", b"some letters here")]).orderBy("doc_id").collect()
