@@ -155,23 +155,26 @@ SELECT l.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::I
 _TEMPLATES = ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES.items())
 
 
-def _normal(text: str) -> str:
-    return f"trim(regexp_replace({_LOWER.format(text)}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' ')"
+def _words(text: str) -> str:
+    return f"string_split(trim(regexp_replace({_LOWER.format(text)}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' '), ' ')"
 
 
 def _grams(words: str) -> str:
-    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+    return f"list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])"
 
 
 OP9_SQL = f"""
-WITH t AS (SELECT name, {_grams("w")} AS known FROM (SELECT name, string_split({_normal("body")}, ' ') AS w FROM (VALUES {_TEMPLATES}) v(name, body))),
-x AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, {_normal("unnest(lines)")} AS passage FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
-n AS (SELECT doc_id, count_if(passage <> '')::INT AS n_passages FROM x GROUP BY doc_id),
-g AS (SELECT doc_id, pos, {_grams("w")} AS grams FROM (SELECT doc_id, pos, string_split(passage, ' ') AS w FROM x WHERE passage LIKE '% %')),
-s AS (SELECT doc_id, pos, name, len(list_intersect(grams, known)) * 2.0::DOUBLE / (len(grams) + len(known)) AS dice FROM g JOIN t
-      ON least(len(grams), len(known)) * 2.0::DOUBLE / (len(grams) + len(known)) >= 0.8::DOUBLE),
-h AS (SELECT doc_id, count(DISTINCT pos)::INT AS n_matches, max(dice) AS dice, arg_min(name, (-dice, name)) AS license FROM s WHERE dice >= 0.8::DOUBLE GROUP BY doc_id)
-SELECT n.doc_id, n_passages, coalesce(n_matches, 0)::INT AS n_matches, license, dice FROM n LEFT JOIN h USING (doc_id)
+WITH t AS (SELECT name, list_distinct({_grams("w")}) AS grams FROM (SELECT name, {_words("body")} AS w FROM (VALUES {_TEMPLATES}) v(name, body))),
+i AS (SELECT unnest(grams) AS gram, name, len(grams) AS size, 1 + least({license_scan.GAP}, len(grams) // 4) AS gap FROM t),
+d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+g AS (SELECT doc_id, unnest({_grams("w")}) AS gram, generate_subscripts({_grams("w")}, 1) AS pos FROM d),
+k AS (SELECT doc_id, name, pos, gram, size, gap, pos - lag(pos) OVER (PARTITION BY doc_id, name ORDER BY pos) AS apart FROM g JOIN i USING (gram)),
+b AS (SELECT *, unnest([1, gap]) AS reach FROM k),
+r AS (SELECT *, sum(CASE WHEN apart <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, name, reach ORDER BY pos) AS run FROM b),
+p AS (SELECT doc_id, name, count(DISTINCT gram) AS common, max(pos) - min(pos) + 1 - count(*) + count(DISTINCT gram) AS passage, any_value(size) AS size FROM r GROUP BY doc_id, name, reach, run),
+s AS (SELECT doc_id, name, max(common * 2.0::DOUBLE / (passage + size)) AS dice, any_value(size) AS size FROM p GROUP BY doc_id, name),
+h AS (SELECT doc_id, count(*)::INT AS n_matches, max(dice) AS dice, arg_min(name, (-dice, -size, name)) AS license FROM s WHERE dice >= 0.8::DOUBLE GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, dice FROM d LEFT JOIN h USING (doc_id)
 """
 
 _TOKENS = f"regexp_extract_all({_LOWER.format('{}')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -1,34 +1,82 @@
+import random
+
 import pytest
 
-from rayloom.llm.license_scan import TEMPLATES, bigrams_of, scan_licenses
+from rayloom.llm.license_scan import GAP, TEMPLATES, bigrams_of, fewest, scan_licenses, seeds_of
+
+
+def grams_of(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) >= 128 else " " for c in lower).split(" ")
+    words = [w for w in words if w]
+    return list(zip(words, words[1:]))
 
 
 def slow(text, templates, threshold):
-    sets = {n: set(bigrams_of(t)) for n, t in sorted(templates.items()) if bigrams_of(t)}
-    hits, passages = [], 0
-    for line in (text or "").split("\n"):
-        grams = set(bigrams_of(line))
-        passages += any(c.isalnum() or ord(c) >= 128 for c in line)
-        best = max(((2 * len(grams & s) / (len(grams) + len(s)), -i, n) for i, (n, s) in enumerate(sets.items())), default=(0, 0, None))
-        if best[0] >= threshold:
-            hits.append(best)
-    top = max(hits, default=(None, 0, None))
-    return passages, len(hits), top[2], top[0]
+    """Every template against every text, with no index, seeds or bounds."""
+    grams, scores = grams_of(text), {}
+    for name, body in templates.items():
+        known = set(bigrams_of(body))
+        at = [i for i, g in enumerate(grams) if g in known]
+        for reach in (1, 1 + min(GAP, len(known) // 4)):
+            runs = []
+            for i in at:
+                if runs and i - runs[-1][-1] <= reach:
+                    runs[-1].append(i)
+                else:
+                    runs.append([i])
+            for run in runs:
+                common = len({grams[i] for i in run})
+                passage = run[-1] - run[0] + 1 - len(run) + common
+                scores[name] = max(scores.get(name, 0), 2 * common / (passage + len(known)))
+    hits = sorted((-d, -len(bigrams_of(templates[n])), n) for n, d in scores.items() if d >= threshold)
+    return len(hits), hits[0][2] if hits else None, -hits[0][0] if hits else None
 
 
 def found(df, *args):
     return [tuple(r)[1:] for r in sorted(scan_licenses(df, *args).collect(), key=lambda r: (r.doc_id is None, r.doc_id))]
 
 
+def wrapped(text, width, mark=""):
+    words = text.split()
+    return "\n".join(mark + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
 def test_equals_brute_force(documents, threshold):
-    texts = [*TEMPLATES.values(), *(f"a line\n{t.upper()}\nmore" for t in TEMPLATES.values())]
-    texts += [t.replace("License", "Licence") for t in TEMPLATES.values()] + [t + " extra words here" for t in TEMPLATES.values()]
-    texts += ["\n".join(TEMPLATES.values()), "one", "two words", "the the the the the the", "a\n\nb\n", "MIT License released under the"]
+    rng = random.Random(5)
+    texts = [*TEMPLATES.values(), *(f"a line\n{t.upper()}\nmore" for t in TEMPLATES.values()), *(wrapped(t, 7, " * ") for t in TEMPLATES.values())]
+    texts += [t.replace("License", "Licence") for t in TEMPLATES.values()] + [f"of the {t} and the rest of it in the" for t in TEMPLATES.values()]
+    for t in TEMPLATES.values():
+        words = t.split()
+        for _ in range(len(words) // 15 + 1):
+            words[rng.randrange(len(words))] = rng.choice(["the", "changed", ""])
+        texts.append(" ".join(words))
+    texts += ["\n".join(TEMPLATES.values()), "one", "two words", "the the the the the the", "a\n\nb\n", "MIT License released under the", TEMPLATES["MIT"] * 3]
     rows = list(enumerate(texts))
     assert found(documents(rows), TEMPLATES, threshold) == [slow(t, TEMPLATES, threshold) for t in texts]
 
 
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_a_wrapped_notice_inside_a_text_is_found(documents, name):
+    prose = "some words of a text that has nothing to do with any of it "
+    texts = [f"{prose}\n\n{wrapped(TEMPLATES[name], 6, '# ')}\n\n{prose}", prose + TEMPLATES[name] + " " + prose, prose]
+    got = found(documents(list(enumerate(texts))))
+    assert [g[1] for g in got] == [name, name, None] and min(got[0][2], got[1][2]) >= 0.8
+
+
+def test_every_passage_above_the_threshold_has_a_seed():
+    rng = random.Random(2)
+    sets = {n: bigrams_of(t) for n, t in TEMPLATES.items()}
+    for threshold in (0.5, 0.8, 1.0):
+        seeds = seeds_of(sets, threshold)
+        for grams in sets.values():
+            need = fewest(len(grams), threshold)
+            assert 2 * (need - 1) / (need - 1 + len(grams)) < threshold
+            worst = sorted(grams, key=lambda g: g in seeds)[:need]
+            assert any(g in seeds for g in worst) and all(any(g in seeds for g in rng.sample(grams, need)) for _ in range(20))
+
+
 def test_odd_rows(odd, no_documents):
     from .conftest import ODD
 
@@ -36,5 +84,12 @@ def test_odd_rows(odd, no_documents):
     assert found(no_documents) == []
 
 
+def test_repeated_rows_and_ids(documents):
+    text = TEMPLATES["MIT text"]
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, "plain"), (2, text)]
+    got = sorted(((r.doc_id, r.license) for r in scan_licenses(documents(rows)).collect()), key=repr)
+    assert got == sorted([(1, "MIT text"), (1, "MIT text"), (None, "MIT text"), (None, None), (2, None), (2, "MIT text")], key=repr)
+
+
 def test_no_templates(documents):
-    assert found(documents([(1, "Released under the MIT License.")]), {}) == [(1, 0, None, None)]
+    assert found(documents([(1, "Released under the MIT License.")]), {}) == [(0, None, None)]
