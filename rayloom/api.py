@@ -13,18 +13,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rayloom.errors import CommandError
+from rayloom.functions import kernels
 from rayloom.functions import pixels as px
 from rayloom.functions import text as tx
 from rayloom.operators import annotations, corpus, images, jobs, requests
-from rayloom.sources import studies, writers
-
-
-class CommandError(ValueError):
-    """An error with a code: invalidInput or notFound."""
-
-    def __init__(self, code: str, message: str):
-        super().__init__(message)
-        self.code, self.recoverable = code, code != "internal"
+from rayloom.sources import stores, studies, writers
 
 
 @dataclass(frozen=True)
@@ -76,6 +70,37 @@ def open_studies(spark: SparkSession, path: str | list[str], strict: bool = True
     return found.withColumn("input_name", tx.file_name(F.col("path")))
 
 
+def open_study(spark: SparkSession, path: str) -> DataFrame:
+    """One study file: a missing one is notFound, a folder invalidInput, a store that can't be asked internal."""
+    try:
+        kind = stores.kind(spark, path)
+    except Exception as problem:
+        raise CommandError("internal", f"failed to inspect input file {path}: {str(problem).splitlines()[0]}") from None
+    if kind is None:
+        raise CommandError("notFound", f"input file does not exist: {path}")
+    if kind == "folder":
+        raise CommandError("invalidInput", f"input path must be a file: {path}")
+    return open_studies(spark, path)
+
+
+def output_path(spark: SparkSession, path: str | None, cache: str, fingerprint: str) -> str:
+    """Where a process job writes: the given file, or an artifact of the cache that repeated runs replace."""
+    if path is None:
+        return f"{cache}/artifacts/process/{fingerprint}.dcm"
+    path = path.strip()
+    if path in ("", "."):
+        raise CommandError("invalidInput", "outputPath is required when provided")
+    if stores.kind(spark, path) == "folder":
+        raise CommandError("invalidInput", f"output path must be a file: {path}")
+    parent = path.rstrip("/").rpartition("/")[0] or ("/" if path.startswith("/") else ".")
+    kind = stores.kind(spark, parent)
+    if kind is None:
+        raise CommandError("notFound", f"output directory does not exist: {parent}")
+    if kind == "file":
+        raise CommandError("invalidInput", f"output directory must be a directory: {parent}")
+    return path
+
+
 def inspect_decode(spark: SparkSession, path: str | list[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(a profile per file, the one-row summary)."""
     found = open_studies(spark, path, strict)
@@ -95,7 +120,7 @@ def process(rendered: DataFrame, controls: Controls) -> DataFrame:
     c = controls.resolved()
     out = rendered.withColumn("plain", F.col("gray"))
     if c.invert or c.brightness or c.contrast != 1.0:
-        out = out.withColumn("gray", F.transform("gray", lambda g: px.point_ops(g, c.invert, c.brightness, c.contrast)))
+        out = out.withColumn("gray", kernels.through(F.col("gray"), px.point_table(c.invert, c.brightness, c.contrast)))
     if c.equalize:
         out = images.equalize_packed(out).withColumn("gray", F.col("equalized")).drop("equalized")
     if c.palette != "none" or c.compare:
@@ -108,11 +133,19 @@ def process(rendered: DataFrame, controls: Controls) -> DataFrame:
 
 
 def export(processed: DataFrame, folder: str, now: datetime | None = None, uid_seed: str | None = None) -> dict[str, int]:
-    """Writes a PNG and a Secondary Capture per image to ``folder``, a path that all executors share; counts of files."""
+    """Writes a PNG and a Secondary Capture per image to ``folder``, a path that all executors share; counts of files.
+
+    Files of one base name from several folders get a hash of their path in the
+    name of the output; any clash left is an error.
+    """
     values = writers.flat_values("rgba") if "rgba" in processed.columns else F.col("gray")
     stem = F.regexp_replace(tx.output_name(F.col("path")), r"\.dcm$", "")
-    png = writers.encode_png(processed, values).withColumn("file", F.concat(stem, F.lit(".png")))
-    dcm = writers.encode_secondary_capture(processed, values, now, uid_seed).withColumn("file", F.concat(stem, F.lit(".dcm")))
+    own = processed.withColumn("stem", stem)
+    shared = own.groupBy("stem").agg(F.count("*").alias("files")).filter("files > 1").select("stem", F.lit(True).alias("shared"))
+    hashed = F.concat("stem", F.lit("-"), F.substring(F.sha2("path", 256), 1, 12))
+    named = own.join(shared, "stem", "left").withColumn("stem", F.when(F.coalesce("shared", F.lit(False)), hashed).otherwise(F.col("stem"))).drop("shared")
+    png = writers.encode_png(named, values).withColumn("file", F.concat("stem", F.lit(".png")))
+    dcm = writers.encode_secondary_capture(named, values, now, uid_seed).withColumn("file", F.concat("stem", F.lit(".dcm")))
     return {"png": writers.save_files(png, "file", "png", folder), "dicom": writers.save_files(dcm, "file", "dicom", folder)}
 
 

@@ -106,6 +106,20 @@ def contrasted(g: Column, factor: float) -> Column:
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), stretched)).cast("int")
 
 
+def point_table(invert: bool = False, brightness: int = 0, contrast: float = 1.0) -> list[int]:
+    """``point_ops`` of 0 to 255."""
+
+    def at(g: int) -> int:
+        g = 255 - g if invert else g
+        g = min(255, max(0, g + brightness))
+        if contrast != 1.0:
+            stretched = 128.0 + contrast * (g - 128.0)
+            g = int(min(255.0, max(0.0, abs(stretched) // 1 + (abs(stretched) % 1 >= 0.5) if stretched >= 0 else 0.0)))
+        return g
+
+    return [at(g) for g in range(256)]
+
+
 def point_ops(g: Column, invert: bool = False, brightness: int = 0, contrast: float = 1.0) -> Column:
     """Invert, then brightness, then contrast; steps that change nothing are not planned."""
     if invert:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 #: Transfer syntaxes without compression, in the corpus summary's sense.
 IMPLICIT_LE, EXPLICIT_LE, DEFLATED_LE, EXPLICIT_BE = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.2"
 UNCOMPRESSED = ("", IMPLICIT_LE, EXPLICIT_LE, EXPLICIT_BE, DEFLATED_LE)
+#: Extensions of images read without DICOM, and the commands by name.
 STANDALONE_EXTENSIONS = ("bmp", "tif", "tiff")
 COMMANDS = (
     "get_processing_manifest", "open_study", "start_render_job", "start_process_job", "get_job", "get_jobs", "cancel_job", "measure_line_annotation",
 )
 #: HTTP status by error code.
 ERROR_STATUS = {"invalidInput": 400, "notFound": 404, "conflict": 409, "cancelled": 409, "cacheCorrupted": 500, "internal": 500}
+#: What is shown for job kinds, states and presets.
 JOB_TITLES = {"renderStudy": "Render Preview", "processStudy": "Process Study"}
 STATE_LABELS = {
     "queued": "Queued", "running": "Running", "cancelling": "Cancelling", "completed": "Completed", "failed": "Failed", "cancelled": "Cancelled",
@@ -173,3 +175,15 @@ def normalized_error(payload: Column, default: str = "Unexpected backend error."
         F.when(known, parsed["code"]).otherwise("internal").alias("code"),
         F.when(known, parsed["message"]).otherwise(F.coalesce(plain, F.lit(default))).alias("message"),
     )
+
+
+def is_supported_command(name: Column) -> Column:
+    return name.isin(*COMMANDS)
+
+
+def is_plain_preview(preview: Column, output: Column, preset: Column, invert: Column, brightness: Column, contrast: Column, equalize: Column, compare: Column, palette: Column) -> Column:
+    """Whether a request asks for a preview and for nothing that needs processing."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    off = lambda c: ~F.coalesce(c, F.lit(False))
+    untouched = off(invert) & brightness.isNull() & contrast.isNull() & off(equalize) & off(compare) & blank(palette)
+    return ~blank(preview) & blank(output) & (F.lower(F.coalesce(preset, F.lit(""))) == "default") & untouched

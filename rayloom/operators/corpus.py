@@ -33,6 +33,7 @@ def counts() -> dict[str, Column]:
 def warnings(summary: DataFrame) -> Column:
     """The warnings of a summary row, in a fixed order."""
     c = F.col
+    # fixed values: the texts of the warnings
     several = F.array(
         F.when(F.size("transfer_syntax_uid_set") == 1, "sample set contains one transfer syntax"),
         F.when(c("encapsulated_count") == 0, "sample set contains no encapsulated pixel data"),
@@ -51,3 +52,12 @@ def summarize(metadata: DataFrame) -> DataFrame:
     sets = {f"{name}_set": F.array_sort(F.collect_set(F.coalesce(F.col(name), F.lit("" if name in SETS[:3] else 0)))) for name in SETS}
     out = profiles(metadata).agg(*[v.alias(n) for n, v in (counts() | sets).items()])
     return out.withColumn("warnings", warnings(out))
+
+
+def decode_summary(decoded: DataFrame) -> DataFrame:
+    """What a decode found, without the pixels: size, count, range, window, scale, and how many elements are kept."""
+    window = F.when(F.col("window_center").isNotNull() & (F.col("window_width") > 1), F.struct(F.col("window_center").alias("center"), F.col("window_width").alias("width")))
+    return decoded.select(
+        "path", "width", "height", F.lit("gray-f32").alias("format"), F.coalesce(F.size("pixels"), F.lit(0)).alias("pixel_count"), "min_value", "max_value",
+        window.alias("default_window"), "invert", "scale", "study_uid", F.coalesce(F.size("preserved"), F.lit(0)).alias("preserved_element_count"),
+    )

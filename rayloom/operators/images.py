@@ -1,7 +1,8 @@
 """Image operators on two forms of an image table.
 
 *packed*: ``image_id, width, height, pixels array<...>`` - one row per image; per
-pixel work is a ``transform`` over the array and needs no shuffle.
+pixel work needs no shuffle. Rendering and equalization run as Arrow kernels over
+a batch's pixels, simple point functions as a ``transform`` over the array.
 *long*: ``image_id, pos, v`` - one row per pixel; used for histograms of sources
 that come as rows. An image is one partition key there, so the largest image
 bounds a task.
@@ -14,9 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rayloom.functions import kernels
 from rayloom.functions import pixels as px
 
 
+#: Fixed value: twice the width must stay a 32-bit number.
+MOST_WIDTH = (2**32 - 1) // 2
+
+
 def explode_pixels(packed: DataFrame) -> DataFrame:
     """The long form, with x and y."""
     long = packed.select("image_id", "width", F.posexplode("pixels").alias("pos", "v"))
@@ -50,14 +56,12 @@ def render(packed: DataFrame, mode: str = "default", center: float | None = None
     """
     has = set(packed.columns)
     own = mode == "default" and "window_center" in has
-    image = F.struct(
-        F.col("min_value").alias("low"), F.col("max_value").alias("high"),
-        (F.col("window_center") if own else F.lit(center).cast("double")).alias("center"),
-        (F.col("window_width") if own else F.lit(width).cast("double")).alias("width"),
-        (F.col("invert") if "invert" in has else F.lit(False)).alias("invert"),
+    number = lambda x: F.lit(x).cast("double")
+    shown = kernels.render(
+        F.col("pixels"), F.col("min_value"), F.col("max_value"), F.col("window_center") if own else number(center),
+        F.col("window_width") if own else number(width), F.col("invert") if "invert" in has else F.lit(False), mode,
     )
-    shown = lambda i: F.transform("pixels", lambda v: px.render(v, i["low"], i["high"], mode, i["center"], i["width"], i["invert"]))
-    return packed.withColumn("gray", let(image, shown))
+    return packed.withColumn("gray", shown)
 
 
 def histogram(gray: DataFrame) -> DataFrame:
@@ -91,29 +95,8 @@ def equalize_long(gray: DataFrame) -> DataFrame:
 
 
 def equalize_packed(packed: DataFrame, column: str = "gray") -> DataFrame:
-    """The same on the packed form, inside each row: no shuffle.
-
-    In the sorted pixels the last place of each value is its running count, so
-    one sort and one pass give the histogram; a table of 256 results follows, and
-    every pixel is looked up in it.
-    """
-
-    def cdf(ordered: Column) -> Column:
-        size = F.size(ordered)
-        last = lambda i: (i == size) | (F.get(ordered, i - 1) != F.get(ordered, i))
-        return F.when(size > 0, F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), last)).otherwise(F.array().cast("array<int>"))
-
-    def table(ordered: Column, counts: Column) -> Column:
-        first, total = F.get(counts, F.lit(0)).cast("long"), F.size(ordered).cast("long")
-        values = F.transform(counts, lambda c: F.get(ordered, c - 1))
-        results = F.transform(counts, lambda c: px.equalized(F.get(ordered, c - 1), c.cast("long"), first, total))
-        return let(F.map_from_arrays(values, results), lambda m: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda g: F.try_element_at(m, g)))
-
-    def equalized(values: Column) -> Column:
-        shown = lambda t: F.transform(values, lambda g: F.get(t, g))
-        return let(F.array_sort(values), lambda o: let(cdf(o), lambda c: let(table(o, c), shown)))
-
-    return packed.withColumn("equalized", let(F.col(column), equalized))
+    """The same on the packed form, inside each row: no shuffle. Linear in the pixels."""
+    return packed.withColumn("equalized", kernels.equalize(F.col(column)))
 
 
 def palette(packed: DataFrame, name: str, column: str = "gray") -> DataFrame:
@@ -125,21 +108,30 @@ def palette(packed: DataFrame, name: str, column: str = "gray") -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two pixel sets (image_id, x, y, width, r, g, b, a) side by side: a union, the right one moved by the width.
+    """Two pixel sets (image_id, x, y, width, height, r, g, b, a) side by side: a union, the right one moved by the width.
 
-    Images whose sizes differ are left out by the semi-join on (image_id, width, height).
+    Images whose sizes differ, that are on one side only, or whose width would
+    overflow have one row with ``error`` and no pixels instead.
     """
-    size = lambda df: df.select("image_id", "width", "height").distinct()
-    both = size(left).join(size(right), ["image_id", "width", "height"])
+    sides = [df.select("image_id", "width", "height").distinct().withColumnsRenamed({"width": f"{n}_w", "height": f"{n}_h"}) for df, n in ((left, "l"), (right, "r"))]
+    sizes = sides[0].join(sides[1], "image_id", "full")
+    same = (F.col("l_w") == F.col("r_w")) & (F.col("l_h") == F.col("r_h"))
+    error = F.when(~F.coalesce(same, F.lit(False)), "compare preview requires matching image dimensions").when(F.col("l_w") > MOST_WIDTH, "compare preview width overflow")
+    judged = sizes.select(F.col("image_id"), error.alias("error"))
     moved = right.withColumn("x", F.col("x") + F.col("width"))
-    out = left.unionByName(moved).join(both, ["image_id", "width", "height"], "left_semi")
-    return out.withColumn("width", F.col("width") * 2)
+    both = left.unionByName(moved).join(judged.filter("error is null"), "image_id").withColumn("width", F.col("width") * 2)
+    return both.unionByName(judged.filter("error is not null"), allowMissingColumns=True)
 
 
 def compare_packed(packed: DataFrame, left: str, right: str, out: str = "both") -> DataFrame:
-    """The same for two arrays of one row: each row of pixels from the left, then the right. No shuffle, no union."""
+    """The same for two arrays of one row: each row of pixels from the left, then the right. No shuffle, no union.
+
+    Null where an array does not have width * height values.
+    """
     row = lambda c, y: F.slice(c, y * F.col("width") + 1, F.col("width"))
     rows = F.sequence(F.lit(0), F.col("height") - 1)
     joined = lambda a, b: F.flatten(F.transform(rows, lambda y: F.concat(row(a, y), row(b, y))))
     bound = let(F.col(left), lambda a: let(F.col(right), lambda b: joined(a, b)))
-    return packed.withColumn(out, bound).withColumn("width", F.col("width") * 2)
+    pixels = F.col("width").cast("long") * F.col("height")
+    fits = (F.size(left) == pixels) & (F.size(right) == pixels) & (pixels > 0)
+    return packed.withColumn(out, F.when(fits, bound)).withColumn("width", F.col("width") * 2)

@@ -212,3 +212,24 @@ def stage_of(kind: Column, percent: Column) -> Column:
     for k, p, stage in STAGES:
         out = F.when((kind == k) & (percent >= p), stage).otherwise(out)
     return out
+
+
+def schedule_errors(reports: DataFrame) -> DataFrame:
+    """Reports (job_id, kind, ts, seq, stage, percent) that don't follow their kind's schedule, with ``error``.
+
+    A stage must be one of the kind's, come at its percent, and not before one
+    that the job has reached.
+    """
+    place = F.lit(None).cast("int")
+    wanted = F.lit(None).cast("int")
+    for number, (kind, percent, stage) in enumerate(STAGES):
+        own = (F.col("kind") == kind) & (F.col("stage") == stage)
+        place, wanted = F.when(own, number).otherwise(place), F.when(own, percent).otherwise(wanted)
+    reached = F.max("_place").over(_job().rowsBetween(Window.unboundedPreceding, -1))
+    placed = reports.withColumns({"_place": place, "_wanted": wanted}).withColumn("_reached", reached)
+    error = (
+        F.when(F.col("_place").isNull(), "unknown stage")
+        .when(F.col("percent") != F.col("_wanted"), F.concat(F.lit("expected percent "), F.col("_wanted").cast("string")))
+        .when(F.col("_place") <= F.col("_reached"), "stage out of order")
+    )
+    return placed.withColumn("error", error).filter("error is not null").drop("_place", "_wanted", "_reached")

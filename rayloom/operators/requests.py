@@ -96,10 +96,54 @@ def match_preset(controls: DataFrame, key: str) -> DataFrame:
     return controls.select(key, label.alias("preset_label"))
 
 
-def fingerprint(namespace: str, fields: dict[str, Column]) -> Column:
-    """SHA-256 of the fields as JSON in the given order, under a versioned namespace; null stays ``null``."""
+#: Characters that JSON strings of the contract escape as \\u00xx, beside quote, backslash, \\n, \\r and \\t.
+_ESCAPED = [c for c in map(chr, range(32)) if c not in "\n\r\t"] + ["<", ">", "&", "\u2028", "\u2029"]
+
+
+def json_value(value: Column, kind: str) -> Column:
+    """JSON of a string, integer, double or boolean, ``null`` for null."""
+    if kind == "boolean" or kind == "integer":
+        shown = value.cast("string")
+    elif kind == "double":
+        plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        shown = F.when(value == 0, "0").when(F.abs(value).between(1e-6, 1e15), plain).otherwise(F.lower(value.cast("string")))
+    else:
+        text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        for raw, mark in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(raw), F.lit(mark))
+        rare = text
+        for c in _ESCAPED:
+            rare = F.replace(rare, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+        shown = F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f<>&\\u2028\\u2029]"), rare).otherwise(text), F.lit('"'))
+    return F.coalesce(shown, F.lit("null"))
+
+
+def fingerprint(namespace: str, fields: dict[str, tuple[Column, str]]) -> Column:
+    """SHA-256 of the fields (value, kind) as JSON in the given order, under a versioned namespace."""
     parts: list[Column] = [F.lit(f'{{"namespace":"{namespace}"')]
-    for name, value in fields.items():
-        quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value.cast("string"), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-        parts += [F.lit(f',"{name}":'), F.coalesce(quoted, F.lit("null"))]
+    for name, (value, kind) in fields.items():
+        parts += [F.lit(f',"{name}":'), json_value(value, kind)]
     return F.sha2(F.concat(*parts, F.lit("}")), 256)
+
+
+def render_fingerprint(path: Column) -> Column:
+    return fingerprint("render-study-v1", {"inputPath": (path, "string")})
+
+
+def process_fingerprint(path: Column) -> Column:
+    """Of the request as it came, before the preset is filled in; the output path is no part of it."""
+    kinds = {"preset_id": "string", "invert": "boolean", "brightness": "integer", "contrast": "double", "equalize": "boolean", "compare": "boolean", "palette": "string"}
+    named = {"presetId" if n == "preset_id" else n: (F.coalesce(n, F.lit(False)) if k == "boolean" else F.col(n), k) for n, k in kinds.items()}
+    return fingerprint("process-study-v3", {"inputPath": (path, "string")} | named)
+
+
+def with_study(commands: DataFrame, studies: DataFrame) -> DataFrame:
+    """Commands with the columns of their study; ``error`` for an unknown ``study_id``."""
+    known = studies.withColumn("_known", F.lit(True))
+    missing = F.when(F.col("_known").isNull(), F.concat(F.lit("notFound: study not found: "), F.coalesce(F.col("study_id").cast("string"), F.lit(""))))
+    return commands.join(known, "study_id", "left").withColumn("error", missing).drop("_known")
+
+
+def distinct_ids(requested: DataFrame) -> DataFrame:
+    """(batch, job_id, place): each id of a batch request once, at its first place; blank ids are left out."""
+    return requested.filter("job_id is not null").groupBy("batch", "job_id").agg(F.min("place").alias("place"))

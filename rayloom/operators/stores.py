@@ -39,12 +39,14 @@ def lru(accesses: DataFrame, capacity: int | None = None, max_bytes: int | None
     return ranked
 
 
-def evict_oldest(files: DataFrame, limit: int, groups: int = 200) -> DataFrame:
+def evict_oldest(files: DataFrame, limit: int, groups: int = 200, tracked: int | None = None) -> DataFrame:
     """``files`` (path, size, mod_time, ...) with ``evicted``: the oldest go until the rest fits ``limit``.
 
-    The running total is taken in ``groups`` ranges of (mod_time, path), so that
+    ``tracked`` is a total known beforehand: within the limit nothing is read. The running total is taken in ``groups`` ranges of (mod_time, path), so that
     no task sees all files.
     """
+    if tracked is not None and tracked <= limit:
+        return files.withColumn("evicted", F.lit(False))
     run = running(files, ("mod_time", "path"), "size", ranges=groups)
     return run.withColumn("evicted", F.col("total") - F.col("prior") > limit).select(*files.columns, "evicted")
 
@@ -58,3 +60,23 @@ def recent(opened: DataFrame, size: int = 10) -> DataFrame:
 def retain_newest(rows: DataFrame, size: int, *order: Column) -> DataFrame:
     """The ``size`` newest rows. The rule is fixed: newest first by ``order``."""
     return rows.orderBy(*order).limit(size)
+
+
+def result_hits(requests: DataFrame, results: DataFrame, artifacts: DataFrame, recheck_ms: int = 2000) -> DataFrame:
+    """Requests (job_id, fingerprint, kind, at_ms) with ``outcome`` and, on a hit, the completed snapshot of a new job.
+
+    A result (fingerprint, kind, path, checked_ms) is a hit if its kind is the
+    asked one and its artifact, looked at ``recheck_ms`` ago or more, still is in
+    ``artifacts`` (path). Else it is a ``miss``, ``stale`` (artifact gone) or a
+    ``kindMismatch``; the last two are dropped from the store.
+    """
+    stored = results.select("fingerprint", F.col("kind").alias("held_kind"), "path", "checked_ms").join(
+        artifacts.select("path", F.lit(True).alias("there")).distinct(), "path", "left"
+    )
+    found = requests.join(stored, "fingerprint", "left")
+    gone = (F.col("at_ms") - F.col("checked_ms") >= recheck_ms) & F.col("there").isNull()
+    outcome = F.when(F.col("held_kind").isNull(), "miss").when(gone, "stale").when(F.col("held_kind") != F.col("kind"), "kindMismatch").otherwise("hit")
+    hit = outcome == "hit"
+    return found.select(
+        *requests.columns, outcome.alias("outcome"), F.when(hit, "completed").alias("state"), F.when(hit, 100).alias("percent"), hit.alias("from_cache"), F.when(hit, F.col("path")).alias("path"),
+    )

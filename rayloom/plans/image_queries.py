@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rayloom.functions import pixels as px
 from rayloom.functions import text as tx
-from rayloom.operators import images, requests
+from rayloom.operators import corpus, images, requests
 from rayloom.plans import views as v
 from rayloom.plans.catalog import query
 
@@ -358,14 +358,55 @@ def palette_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.requests(spark, sf_dir).select("p_partkey", px.palette_name(F.col("palette")).alias("palette"))
 
 
+_JSON = "CASE WHEN {0} IS NULL THEN 'null' ELSE '\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"' END"
+
+
 @query(
-    "SELECT doc_id, sha256('{\"namespace\":\"render-v1\",\"input\":\"' || 'studies/' || doc_id || '.dcm' || '\",\"lang\":' || "
-    "coalesce('\"' || replace(replace(lang, '\\', '\\\\'), '\"', '\\\"') || '\"', 'null') || '}') AS fingerprint FROM documents"
+    f"WITH {REQUESTS}, f AS (SELECT p_partkey, 'studies/<' || p_partkey || '>.dcm' AS path, preset_id, invert, brightness, round(contrast * 10.0::DOUBLE)::INT AS tenths, equalize, compare, palette FROM req) "
+    "SELECT p_partkey, sha256('{\"namespace\":\"render-study-v1\",\"inputPath\":\"studies/\\u003c' || p_partkey || '\\u003e.dcm\"}') AS render_key, "
+    "sha256('{\"namespace\":\"process-study-v3\",\"inputPath\":\"studies/\\u003c' || p_partkey || '\\u003e.dcm\",\"presetId\":\"' || preset_id || '\",\"invert\":' || invert || "
+    "',\"brightness\":' || coalesce(brightness::VARCHAR, 'null') || ',\"contrast\":' || coalesce(CASE WHEN tenths < 0 THEN '-' ELSE '' END || (abs(tenths) // 10)::VARCHAR || "
+    "CASE WHEN tenths % 10 <> 0 THEN '.' || (abs(tenths) % 10)::VARCHAR ELSE '' END, 'null') || ',\"equalize\":' || coalesce(equalize, false) || ',\"compare\":' || compare || "
+    f"',\"palette\":' || {_JSON.format('palette')} || '}}') AS process_key FROM f"
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    path = F.concat(F.lit("studies/"), F.col("doc_id").cast("string"), F.lit(".dcm"))
-    return docs.select("doc_id", requests.fingerprint("render-v1", {"input": path, "lang": F.col("lang")}).alias("fingerprint"))
+    """Cache keys of render and process requests."""
+    path = F.concat(F.lit("studies/<"), F.col("p_partkey").cast("string"), F.lit(">.dcm"))
+    asked = v.requests(spark, sf_dir).withColumn("contrast", F.round(F.col("contrast") * 10.0) / 10.0)
+    return asked.select("p_partkey", requests.render_fingerprint(path).alias("render_key"), requests.process_fingerprint(path).alias("process_key"))
+
+
+@query(
+    f"WITH {REQUESTS} SELECT p_partkey, p_partkey % 2 = 0 AND preset_id = 'default' AND NOT invert AND brightness IS NULL AND contrast IS NULL AND NOT coalesce(equalize, false) AND NOT compare "
+    "AND coalesce(trim(palette), '') = '' AS plain FROM req"
+)
+def plain_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    preview = F.when(c("p_partkey") % 2 == 0, "out.png").otherwise(" ")
+    plain = tx.is_plain_preview(preview, F.lit(None).cast("string"), c("preset_id"), c("invert"), c("brightness"), c("contrast"), c("equalize"), c("compare"), c("palette"))
+    return v.requests(spark, sf_dir).select("p_partkey", plain.alias("plain"))
+
+
+@query("SELECT vec_id AS image_id, vec_id % 3 + list_min(list_transform(embedding, lambda x: floor((x::DOUBLE + 1.0::DOUBLE) * 2048.0::DOUBLE)))::DOUBLE * 0.5::DOUBLE AS darkest, "
+       "vec_id % 3 + list_max(list_transform(embedding, lambda x: floor((x::DOUBLE + 1.0::DOUBLE) * 2048.0::DOUBLE)))::DOUBLE * 0.5::DOUBLE AS brightest FROM embeddings")
+def modality_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored samples through a slope and an intercept of their image."""
+    scaled = v.img_u16(spark, sf_dir).withColumn("v", F.transform("pixels", lambda p: px.rescale(p, 0.5, F.col("image_id") % 3)))
+    return scaled.select("image_id", F.array_min("v").alias("darkest"), F.array_max("v").alias("brightest"))
+
+
+@query(
+    "SELECT 'e-' || vec_id AS path, 8 AS width, 8 AS height, 'gray-f32' AS format, len(embedding)::INT AS pixel_count, list_min(embedding)::DOUBLE AS min_value, list_max(embedding)::DOUBLE AS max_value, "
+    "CASE WHEN vec_id % 4 > 1 THEN (vec_id % 4)::DOUBLE END AS window_width FROM embeddings"
+)
+def decode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decode found, without the pixels."""
+    none = lambda kind: F.lit(None).cast(kind)
+    decoded = images.with_range(v.img_packed(spark, sf_dir)).withColumns({
+        "path": F.concat(F.lit("e-"), F.col("image_id").cast("string")), "window_center": F.lit(0.0), "window_width": (F.col("image_id") % 4).cast("double"), "invert": F.lit(False),
+        "scale": none("struct<row:double,col:double,source:string>"), "study_uid": none("string"), "preserved": none("array<string>"),
+    })
+    return corpus.decode_summary(decoded).select("path", "width", "height", "format", "pixel_count", "min_value", "max_value", F.col("default_window.width").alias("window_width"))
 
 
 @query("SELECT * FROM (VALUES ('default', 0, 1.0::DOUBLE, 'Neutral'), ('xray', 10, 1.4::DOUBLE, 'Bone Focus'), ('high-contrast', 0, 1.8::DOUBLE, 'High Contrast')) v(preset, brightness, contrast, label)")

@@ -9,7 +9,7 @@ from rayloom.functions import contracts
 from rayloom.functions import geometry as geo
 from rayloom.functions import text as tx
 from rayloom.functions import timing as tm
-from rayloom.operators import annotations, corpus, jobs, stores
+from rayloom.operators import annotations, corpus, jobs, requests, stores
 from rayloom.plans import views as v
 from rayloom.plans.catalog import query
 
@@ -547,6 +547,56 @@ def state_stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("state", F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'get_job' WHEN 'click' THEN 'cancel_job' ELSE event_type END AS command, event_type IN ('view', 'click') AS supported FROM events")
+def supported_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    command = tx.mapped(F.col("event_type"), {"view": "get_job", "click": "cancel_job"}, F.col("event_type"))
+    return v.table(spark, sf_dir, "events").select("event_id", command.alias("command"), tx.is_supported_command(command).alias("supported"))
+
+
+@query("SELECT o_orderdate AS batch, o_custkey AS job_id, min(o_orderkey) AS place FROM orders WHERE o_custkey % 7 <> 0 GROUP BY ALL")
+def distinct_batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's orders are a batch request; each id counts once."""
+    asked = v.table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("batch"), F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("job_id"), F.col("o_orderkey").alias("place"))
+    return requests.distinct_ids(asked)
+
+
+@query("SELECT event_id, user_id AS study_id, d.source AS name, CASE WHEN d.doc_id IS NULL THEN 'notFound: study not found: ' || user_id END AS error FROM events LEFT JOIN documents d ON d.doc_id = user_id AND d.doc_id % 3 > 0")
+def study_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands with their study, or the error of one that is not registered."""
+    known = v.table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select(F.col("doc_id").alias("study_id"), F.col("source").alias("name"))
+    commands = v.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("study_id"))
+    return requests.with_study(commands, known).select("event_id", "study_id", "name", "error")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'jpeg' WHEN event_id % 3 = 1 THEN 'png' END AS format FROM events")
+def preview_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = F.when(F.col("event_id") % 3 == 0, "gray8").when(F.col("event_id") % 3 == 1, "rgba8").otherwise("gray16")
+    return v.table(spark, sf_dir, "events").select("event_id", tx.preview_format(pixels).alias("format"))
+
+
+_SCHEDULE = "sc AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {p}, '{s}')" for i, (k, p, s) in enumerate(jobs.STAGES)) + ") v(place, kind, wanted, stage))"
+_REPORTS = """rp AS (SELECT user_id AS job_id, CASE WHEN user_id % 2 = 0 THEN 'renderStudy' ELSE 'processStudy' END AS kind, ts, event_id AS seq,
+  CASE event_id % 5 WHEN 0 THEN 'validating' WHEN 1 THEN 'loadingStudy' WHEN 2 THEN 'writingPreview' WHEN 3 THEN 'completed' ELSE 'uploading' END AS stage,
+  (CASE event_id % 5 WHEN 0 THEN 10 WHEN 1 THEN 35 WHEN 2 THEN 84 ELSE 100 END)::INT AS percent FROM events)"""
+
+
+@query(
+    f"WITH {_SCHEDULE}, {_REPORTS}, pl AS (SELECT rp.*, place, wanted FROM rp LEFT JOIN sc USING (kind, stage)), "
+    "re AS (SELECT *, max(place) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM pl), "
+    "er AS (SELECT job_id, seq, stage, CASE WHEN place IS NULL THEN 'unknown stage' WHEN percent <> wanted THEN 'expected percent ' || wanted WHEN place <= reached THEN 'stage out of order' END AS error FROM re) "
+    "SELECT * FROM er WHERE error IS NOT NULL"
+)
+def stage_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress reports that break their job kind's schedule."""
+    k = F.col("event_id") % 5
+    stage = F.when(k == 0, "validating").when(k == 1, "loadingStudy").when(k == 2, "writingPreview").when(k == 3, "completed").otherwise("uploading")
+    reports = v.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.when(F.col("user_id") % 2 == 0, "renderStudy").otherwise("processStudy").alias("kind"), "ts", F.col("event_id").alias("seq"),
+        stage.alias("stage"), F.when(k == 0, 10).when(k == 1, 35).when(k == 2, 84).otherwise(100).alias("percent"),
+    )
+    return jobs.schedule_errors(reports).select("job_id", "seq", "stage", "error")
+
+
 # ------------------------------------------------------------------ stores
 
 _OPENED = "op AS (SELECT 'study-' || (event_id % 400) AS path, ts, event_id AS seq FROM events), lo AS (SELECT path, max(ts) AS ts, max(seq) AS seq FROM op GROUP BY path)"
@@ -603,6 +653,26 @@ def artifact_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.evict_oldest(files, 1_000_000, groups=16)
 
 
+@query(
+    "WITH rs AS (SELECT 'f' || c_custkey AS fingerprint, CASE WHEN c_custkey % 5 = 0 THEN 'processStudy' ELSE 'renderStudy' END AS held, 'p' || c_custkey AS path, (c_custkey % 40 * 100)::BIGINT AS checked_ms FROM customer WHERE c_custkey % 4 > 0), "
+    "rq AS (SELECT o_orderkey AS job_id, 'f' || o_custkey AS fingerprint FROM orders), "
+    "j AS (SELECT rq.*, CASE WHEN held IS NULL THEN 'miss' WHEN 4000 - checked_ms >= 2000 AND substr(path, 2)::BIGINT % 3 = 0 THEN 'stale' WHEN held <> 'renderStudy' THEN 'kindMismatch' ELSE 'hit' END AS outcome, rs.path AS held_path FROM rq LEFT JOIN rs USING (fingerprint)) "
+    "SELECT job_id, outcome, CASE WHEN outcome = 'hit' THEN 'completed' END AS state, CASE WHEN outcome = 'hit' THEN 100 END AS percent, outcome = 'hit' AS from_cache, CASE WHEN outcome = 'hit' THEN held_path END AS path FROM j"
+)
+def result_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Render requests against stored results: hits become completed snapshots of new jobs."""
+    c = v.table(spark, sf_dir, "customer").select("c_custkey")
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    stored = c.filter("c_custkey % 4 > 0").select(
+        F.concat(F.lit("f"), text).alias("fingerprint"), F.when(k % 5 == 0, "processStudy").otherwise("renderStudy").alias("kind"), F.concat(F.lit("p"), text).alias("path"), (k % 40 * 100).alias("checked_ms")
+    )
+    there = c.filter("c_custkey % 3 <> 0").select(F.concat(F.lit("p"), text).alias("path"))
+    asked = v.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("fingerprint"), F.lit("renderStudy").alias("kind"), F.lit(4000).cast("long").alias("at_ms")
+    )
+    return stores.result_hits(asked, stored, there).select("job_id", "outcome", "state", "percent", "from_cache", "path")
+
+
 @query(
     "SELECT event_id, CASE WHEN len(list_filter(json_keys(props), lambda x: x <> 'k')) > 0 THEN 'unknown field' WHEN NOT list_contains(json_keys(props), 'k') THEN 'missing field k' ELSE '' END AS errors FROM events"
 )

@@ -55,9 +55,16 @@ def syntax_of(uid: str) -> Syntax:
 
 
 class Cursor:
+    """A place in a file's bytes, or in an object that gives slices of them."""
+
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
 
+    def skip(self, n: int) -> None:
+        if self.at + n > len(self.data):
+            raise ValueError("unexpected end of DICOM data")
+        self.at += n
+
     def take(self, n: int) -> bytes:
         if self.at + n > len(self.data):
             raise ValueError("unexpected end of DICOM data")
@@ -85,11 +92,11 @@ class Cursor:
             tag, _, length = self.header(syntax)
             if tag in (ITEM_END, SEQUENCE_END):
                 depth -= 1
-                self.take(length)
+                self.skip(length)
             elif length == UNDEFINED:
                 depth += 1
             else:
-                self.take(length)
+                self.skip(length)
 
 
 def text_of(value: bytes) -> str:
@@ -191,7 +198,7 @@ def elements(cursor: Cursor, syntax: Syntax, wanted: frozenset[int]) -> Iterator
         elif tag in wanted:
             yield tag, vr, length, cursor.take(length)
         else:
-            cursor.take(length)
+            cursor.skip(length)
 
 
 _SCAN = frozenset(FIELDS)

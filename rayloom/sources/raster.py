@@ -39,6 +39,21 @@ def decode(data: bytes) -> Raster:
     raise ValueError("unknown image format")
 
 
+def config(data: bytes) -> tuple[int, int, str]:
+    """(width, height, kind) of a BMP or TIFF file, from its header alone; ``data`` may give slices of a file."""
+    if data[:2] == b"BM":
+        head = data[0:54]
+        width, height, _, bits = struct.unpack_from("<iiHH", head, 18)
+        return width, abs(height), "rgba" if bits == 32 else "rgb"
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        raise ValueError("unknown image format")
+    tags = _tiff_tags(data)
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    bits, channels = one(258, 1), one(277, 1)
+    kind = ("gray" if bits == 8 else "gray16") if channels == 1 else ("rgb" if channels == 3 else "rgba") if bits == 8 else "rgba64"
+    return one(256, 0), one(257, 0), kind
+
+
 # ---------------------------------------------------------------- PNG
 
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -155,19 +170,24 @@ def decode_bmp(data: bytes) -> Raster:
 _FIELD = {1: "B", 3: "H", 4: "I"}
 
 
-def decode_tiff(data: bytes) -> Raster:
-    """Strips, uncompressed, deflated or PackBits; gray or RGB(A), 8 or 16 bits."""
+def _tiff_tags(data: bytes) -> dict[int, tuple]:
+    """The fields of the first directory."""
     order = "<" if data[:2] == b"II" else ">"
-    at, = struct.unpack_from(order + "I", data, 4)
-    count, = struct.unpack_from(order + "H", data, at)
+    number = lambda kind, at: struct.unpack(order + kind, data[at : at + struct.calcsize(kind)])[0]
+    at = number("I", 4)
     tags: dict[int, tuple] = {}
-    for i in range(count):
-        tag, kind, n, _ = struct.unpack_from(order + "HHII", data, at + 2 + 12 * i)
-        if kind not in _FIELD:
-            continue
-        size = struct.calcsize(_FIELD[kind]) * n
-        where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-        tags[tag] = struct.unpack_from(f"{order}{n}{_FIELD[kind]}", data, where)
+    for entry in range(at + 2, at + 2 + 12 * number("H", at), 12):
+        tag, kind, n = number("H", entry), number("H", entry + 2), number("I", entry + 4)
+        if kind in _FIELD:
+            size = struct.calcsize(_FIELD[kind]) * n
+            where = entry + 8 if size <= 4 else number("I", entry + 8)
+            tags[tag] = struct.unpack(f"{order}{n}{_FIELD[kind]}", data[where : where + size])
+    return tags
+
+
+def decode_tiff(data: bytes) -> Raster:
+    """Strips, uncompressed, deflated or PackBits; gray or RGB(A), 8 or 16 bits."""
+    order, tags = "<" if data[:2] == b"II" else ">", _tiff_tags(data)
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, bits, channels = one(256, 0), one(257, 0), one(258, 1), one(277, 1)
     packing, meaning, planar, predictor = one(259, 1), one(262, 1), one(284, 1), one(317, 1)

@@ -1,20 +1,24 @@
 """Study files as DataFrames.
 
-Files come through Spark's ``binaryFile`` source, so any store that Spark reads
-works, listing and splitting are Spark's, and a path filter prunes files before
-their bytes are read. The kernels run per file inside ``mapInArrow``.
+Files are listed and split by Spark's ``binaryFile`` source, and a path filter
+prunes them before their bytes are read. The kernels run per file inside
+``mapInArrow``. Header scans don't read contents: tasks open the files and read
+blocks up to the pixel data, so what they cost doesn't grow with the images.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rayloom.errors import CommandError
 from rayloom.functions import text as tx
-from rayloom.sources import dicom, raster
+from rayloom.sources import dicom, raster, stores
+from rayloom.sources.stores import RangedBytes
 
 _SPACING = "struct<row:double,col:double>"
 METADATA = (
@@ -48,20 +52,20 @@ def _scale(study: dicom.Study) -> dict | None:
     return dict(zip(("row", "col", "source"), found)) if (found := study.scale()) else None
 
 
-def metadata_row(path: str, data: bytes) -> dict:
+def metadata_row(path: str, data: bytes | RangedBytes) -> dict:
     """Header fields of one file; BMP and TIFF files stand in when DICOM parsing fails."""
     try:
         study = dicom.read(data)
     except ValueError:
         if not _is_standalone(path):
             raise
-        image = raster.decode(data)
-        if max(image.width, image.height) > 65535:
+        width, height, kind = raster.config(data)
+        if max(width, height) > 65535:
             raise ValueError("image is larger than 65535 pixels") from None
-        gray, bits = image.kind.startswith("gray"), 16 if image.kind.endswith(("16", "64")) else 8
+        gray, bits = kind.startswith("gray"), 16 if kind.endswith(("16", "64")) else 8
         study = dicom.Study(
             {
-                "rows": image.height, "columns": image.width, "samples_per_pixel": 1 if gray else 3, "bits_allocated": bits, "bits_stored": bits,
+                "rows": height, "columns": width, "samples_per_pixel": 1 if gray else 3, "bits_allocated": bits, "bits_stored": bits,
                 "photometric": "MONOCHROME2" if gray else "RGB", "number_of_frames": 1, "pixel_data_encoding": "native",
             }
         )
@@ -91,7 +95,7 @@ def pixel_row(path: str, data: bytes) -> dict:
     }
 
 
-def _decode(found: DataFrame, row, schema: str, strict: bool) -> DataFrame:
+def _decode(found: DataFrame, row, schema: str, strict: bool, ranged: bool = False) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -100,22 +104,30 @@ def _decode(found: DataFrame, row, schema: str, strict: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(target)
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for path, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = RangedBytes(path, held.as_py()) if ranged else held.as_py()
                 try:
-                    out = row(path, data.as_py())
-                except ValueError as problem:
+                    out = row(path, data)
+                except (ValueError, struct.error) as problem:
                     if strict:
                         raise ValueError(f"{path}: {problem}") from None
                     out = {"path": path, "error": str(problem)}
+                finally:
+                    if ranged:
+                        data.close()
                 # a batch per file: the largest image bounds what is held
                 yield pa.RecordBatch.from_pylist([{f.name: out.get(f.name) for f in target}], schema=arrow)
 
-    return found.select("path", "content").mapInArrow(run, target)
+    return found.select("path", "length" if ranged else "content").mapInArrow(run, target)
+
 
+def read_metadata(spark: SparkSession, path: str | list[str], strict: bool = True, glob: str | None = None, ranged: bool = True) -> DataFrame:
+    """One row of header fields per file. Strict: the first unreadable file fails the query; else it gets an ``error``.
 
-def read_metadata(spark: SparkSession, path: str | list[str], strict: bool = True, glob: str | None = None) -> DataFrame:
-    """One row of header fields per file. Strict: the first unreadable file fails the query; else it gets an ``error``."""
-    return _decode(files(spark, path, glob), metadata_row, METADATA, strict)
+    ``ranged`` reads blocks of files in place; without it whole contents come
+    through Spark, for stores that only Spark can open (files up to 2 GB).
+    """
+    return _decode(files(spark, path, glob), metadata_row, METADATA, strict, ranged)
 
 
 def read_pixels(spark: SparkSession, path: str | list[str], strict: bool = True, glob: str | None = None) -> DataFrame:
@@ -128,10 +140,30 @@ def as_images(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("image_id", F.col("path"))
 
 
+_CATALOG = (
+    "recentStudies array<struct<inputPath:string,inputName:string,measurementScale:struct<rowSpacingMm:double,columnSpacingMm:double,source:string>,lastOpenedAt:string>>, "
+    "_corrupt_record string"
+)
+
+
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(recent studies, corrupt lines) of a catalog written as JSON; a missing file is empty."""
-    fields = "inputPath string, inputName string, measurementScale struct<rowSpacingMm:double,columnSpacingMm:double,source:string>, lastOpenedAt string"
-    schema = f"recentStudies array<struct<{fields.replace(' string', ':string').replace(' struct', ':struct').replace(', ', ',')}>>, _corrupt_record string"
-    found = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    studies = found.select(F.explode("recentStudies").alias("s")).select("s.*")
-    return studies, found.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    """(recent studies, corrupt texts) of a catalog written as JSON; a missing file is empty, as is a null list."""
+    if stores.kind(spark, path) is None:
+        found = spark.createDataFrame([], "value string")
+    else:
+        found = spark.read.text(path, wholetext=True)
+    # a parsed column, not a source's own one, so that either side can be read alone
+    parsed = found.select(F.from_json("value", _CATALOG, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("c")).select("c.*")
+    studies = parsed.filter("_corrupt_record is null").select(F.explode("recentStudies").alias("s")).select("s.*")
+    return studies, parsed.filter("_corrupt_record is not null").select("_corrupt_record")
+
+
+def load_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The recent studies. A corrupt file is moved aside first, so that the next write can't hide it, and is an error then."""
+    studies, corrupt = read_catalog(spark, path)
+    if bad := corrupt.first():
+        stem, dot, extension = path.rpartition(".")
+        aside = f"{stem}.corrupt.{extension}" if dot and "/" not in extension else f"{path}.corrupt"
+        stores.rename(spark, path, aside)
+        raise CommandError("cacheCorrupted", f"study catalog at {path} is invalid JSON, kept as {aside}: {bad[0][:200]}")
+    return studies

@@ -1,12 +1,13 @@
 """Sinks: PNG and DICOM Secondary Capture files, and the catalog.
 
 Encoding is a function of the row, so it runs in tasks and yields binary columns;
-``save_files`` writes them, one file per row, through Spark's own file system
-layer. A row whose encoding fails has an ``error`` and writes nothing.
+``save_files`` writes them, one file per row, to a local path that executors share
+or to an object store. A row whose encoding fails has an ``error`` and writes nothing.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 from datetime import datetime
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.sources import dicom, raster
+from rayloom.errors import CommandError
+from rayloom.sources import dicom, raster, stores
 
 
 def _samples(width: int, height: int, flat: np.ndarray) -> np.ndarray:
@@ -81,25 +83,37 @@ def encode_secondary_capture(df: DataFrame, values: F.Column | str = "gray", now
 def save_files(df: DataFrame, name: str, content: str, folder: str) -> int:
     """Writes ``content`` of each row to ``folder/name`` and returns how many files were written.
 
-    Each task writes to a name of its own and renames, so that a lost or repeated
-    task leaves whole files only. ``folder`` is a path that all executors share.
+    ``folder`` is a path or URI that all executors reach. Each attempt of a task
+    writes to a name of its own and renames, so that a lost or repeated task
+    leaves whole files only. Two rows of one name are an error before anything is
+    written. If the write fails or is cancelled, files of its names are removed.
     """
+    named = df.filter(F.col(content).isNotNull() & (F.coalesce(F.col(name), F.lit("")) != ""))
+    clash = named.groupBy(name).count().filter("count > 1").first()
+    if clash:
+        raise CommandError("conflict", f"{clash[1]} outputs would be written to {clash[0]}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = 0
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if data.is_valid and file:
-                    target = Path(folder) / file
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    part = target.with_name(f".{target.name}.part")
-                    part.write_bytes(data.as_py())
-                    part.replace(target)
-                    done += 1
-            yield pa.RecordBatch.from_pydict({"n": [done]})
-
-    written = df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(run, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                stores.write_file(folder, file, data.as_py())
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = stores.opened(folder)
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                if system.get_file_info(f"{root}/{file}").type.name == "File":
+                    system.delete_file(f"{root}/{file}")
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    try:
+        written = named.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(run, "n long")
+        return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    except BaseException:
+        with contextlib.suppress(Exception):  # what failed is raised, also where nothing can be removed
+            named.select(F.col(name).alias("name")).mapInArrow(remove, "n long").count()
+        raise
 
 
 def write_catalog(recent: DataFrame, path: str) -> None:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rayloom import api
-from rayloom.functions.contracts import contract_errors
+from rayloom.functions.contracts import contract_errors, schema_errors
+from rayloom.operators.requests import json_value
 from rayloom.sources import dicom, raster
 
 from .test_sources import build
@@ -56,6 +57,70 @@ def test_missing_input(spark, tmp_path):
     assert caught.value.code == "notFound"
 
 
+def test_one_study_and_output_paths(spark, tmp_path):
+    folder = study(tmp_path)
+    assert api.open_study(spark, f"{folder}/a.dcm").first().input_name == "a.dcm"
+    code = lambda f, *args: pytest.raises(api.CommandError, f, spark, *args).value.code
+    assert code(api.open_study, folder) == "invalidInput" and code(api.open_study, f"{folder}/b.dcm") == "notFound" and code(api.open_study, "nostore://x/y") == "internal"
+    assert api.output_path(spark, None, "/cache", "f1") == "/cache/artifacts/process/f1.dcm"
+    assert api.output_path(spark, f" {folder}/new.dcm ", "/cache", "f1") == f"{folder}/new.dcm"
+    assert [code(api.output_path, p, "/cache", "f") for p in (" ", folder, f"{folder}/no/x.dcm", f"{folder}/a.dcm/x.dcm")] == ["invalidInput", "invalidInput", "notFound", "invalidInput"]
+
+
+def test_files_of_one_name_are_all_exported(spark, tmp_path):
+    for name in ("x", "y", "z"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / ("b.dcm" if name == "z" else "a.dcm")).write_bytes(build(SOURCE, rows=2, columns=4, window=(127.5, 255)))
+    done = api.process(api.render(spark, str(tmp_path / "in")), api.Controls(equalize=True, brightness=10))
+    assert api.export(done, str(tmp_path / "out"), datetime(2024, 1, 1), "s") == {"png": 3, "dicom": 3}
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert len(names) == 6 and "b_processed.png" in names and sum(n.startswith("a_processed-") for n in names) == 4
+
+
+SCHEMA = {
+    "$defs": {
+        "scale": {"type": "object", "additionalProperties": False, "required": ["row"], "properties": {"row": {"type": "number", "minimum": 0}, "unit": {"const": "mm"}}},
+        "render": {"type": "object", "required": ["kind"], "properties": {"kind": {"const": "render"}}},
+        "process": {"type": "object", "required": ["kind"], "properties": {"kind": {"const": "process"}}},
+        "job": {
+            "type": "object", "additionalProperties": False, "required": ["id", "state"],
+            "properties": {
+                "id": {"type": "integer"}, "state": {"enum": ["queued", "done"]}, "scale": {"anyOf": [{"$ref": "#/$defs/scale"}, {"type": "null"}]}, "note": {"type": ["string", "null"]},
+                "result": {"oneOf": [{"$ref": "#/$defs/render"}, {"$ref": "#/$defs/process"}]}, "points": {"type": "array", "items": {"$ref": "#/$defs/scale"}},
+            },
+        },
+    }
+}
+
+
+def test_schema_errors(spark):
+    ok = '"id": 1, "state": "queued"'
+    cases = {
+        f"{{{ok}}}": [],
+        f'{{{ok}, "scale": null, "note": null, "result": {{"kind": "render"}}, "points": [{{"row": 1}}, {{"row": 0.5, "unit": "mm"}}]}}': [],
+        '{"id": 1.5, "state": "lost", "x": 1}': ["job.x: unexpected property", "job.id: expected integer, received 1.5", 'job.state: expected one of "queued", "done", received "lost"'],
+        '{"id": 2.0}': ["job.state: missing required property"],
+        f'{{{ok}, "scale": {{"row": "q"}}}}': ["job.scale: value does not match any allowed shape"],
+        f'{{{ok}, "result": {{"kind": "other"}}}}': ["job.result: value does not match any oneOf branch"],
+        f'{{{ok}, "note": 3}}': ["job.note: value does not match any allowed type"],
+        f'{{{ok}, "points": [{{"row": -1}}, {{}}, 7]}}': ["job.points[0].row: below 0", "job.points[1].row: missing required property", "job.points[2]: expected object, received 7"],
+        f'{{{ok}, "points": 4}}': ["job.points: expected array, received 4"],
+        "[1]": ["job: expected object, received [1]"], "nonsense {": ["job: not JSON"], None: ["job: not JSON"],
+    }
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, payload string")
+    got = [r[0] for r in df.orderBy("i").select(schema_errors(F.col("payload"), SCHEMA, "job")).collect()]
+    assert got == list(cases.values())
+
+
+def test_json_of_requests(spark):
+    texts = ['plain', 'q"b\\', "tab\tnl\nbell\x07", "<&>\u2028", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(json_value(F.col("t"), "string")).collect()]
+    assert got == ['"plain"', '"q\\"b\\\\"', '"tab\\tnl\\nbell\\u0007"', '"\\u003c\\u0026\\u003e\\u2028"', "null"]
+    numbers = spark.createDataFrame([(1.4,), (2.0,), (0.1,), (0.0,), (-1.25,), (100.0,), (None,)], "x double")
+    assert [r[0] for r in numbers.select(json_value(F.col("x"), "double")).collect()] == ["1.4", "2", "0.1", "0", "-1.25", "100", "null"]
+
+
 def test_job_snapshots_keep_order_and_repeats(spark):
     rows = spark.createDataFrame([(1, datetime(2024, 1, 1), 1, "queued", 0), (1, datetime(2024, 1, 2), 2, "running", 5), (2, datetime(2024, 1, 1), 3, "queued", 0)], "job_id long, ts timestamp_ntz, seq long, state string, percent int")
     assert [(r.job_id, r.state) for r in api.job_snapshots(rows, [2, 9, 1, 2]).collect()] == [(2, "queued"), (1, "running"), (2, "queued")]

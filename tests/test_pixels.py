@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,12 +85,55 @@ def test_golden_chain(spark):
     ]
 
 
-def test_compare_leaves_out_other_sizes(spark):
-    schema = "image_id long, width int, height int, x int, y int, r int"
-    left = spark.createDataFrame([(1, 2, 1, 0, 0, 10), (1, 2, 1, 1, 0, 20), (2, 1, 1, 0, 0, 1)], schema)
-    right = spark.createDataFrame([(1, 2, 1, 0, 0, 30), (1, 2, 1, 1, 0, 40), (2, 2, 1, 0, 0, 1)], schema)
-    rows = images.compare(left, right).orderBy("x").collect()
-    assert [(r.image_id, r.width, r.r) for r in rows] == [(1, 4, 10), (1, 4, 20), (1, 4, 30), (1, 4, 40)]
+def test_compare_gives_an_error_row_for_other_sizes(spark):
+    schema = "image_id long, width long, height int, x long, y int, r int"
+    left = spark.createDataFrame([(1, 2, 1, 0, 0, 10), (1, 2, 1, 1, 0, 20), (2, 1, 1, 0, 0, 1), (3, 1, 1, 0, 0, 1), (4, 2**31, 1, 0, 0, 1)], schema)
+    right = spark.createDataFrame([(1, 2, 1, 0, 0, 30), (1, 2, 1, 1, 0, 40), (2, 2, 1, 0, 0, 1), (4, 2**31, 1, 0, 0, 1)], schema)
+    rows = images.compare(left, right).collect()
+    assert sorted((r.image_id, r.width, r.x, r.r) for r in rows if not r.error) == [(1, 4, 0, 10), (1, 4, 1, 20), (1, 4, 2, 30), (1, 4, 3, 40)]
+    mismatch = "compare preview requires matching image dimensions"
+    assert {r.image_id: (r.error, r.r) for r in rows if r.error} == {2: (mismatch, None), 3: (mismatch, None), 4: ("compare preview width overflow", None)}
+
+
+def test_packed_images_that_do_not_fit_have_no_comparison(spark):
+    rows = [(1, 2, 1, [1, 2], [3, 4]), (2, 2, 1, [1, 2], [3]), (3, 2, 1, None, [3, 4])]
+    out = images.compare_packed(spark.createDataFrame(rows, "image_id int, width int, height int, a array<int>, b array<int>"), "a", "b")
+    assert {r.image_id: r.both for r in out.collect()} == {1: [1, 2, 3, 4], 2: None, 3: None}
+
+
+@pytest.mark.parametrize("mode", ["default", "full", "manual"])
+def test_kernels_equal_the_expressions(spark, mode):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        values = (rng.normal(100, 90, rng.integers(1, 60)) * rng.choice([1, 1, 40])).round(rng.integers(0, 3)).tolist()
+        values = [abs(x) for x in values] if i % 3 else values
+        low, high = (min(values), max(values)) if i % 7 else (5.0, 5.0)
+        rows.append((i, values, low, high, *[(None, None), (90.0, 120.0), (90.0, 1.0), (float("nan"), 50.0)][i % 4], bool(i % 5 == 0)))
+    rows += [(60, [], 0.0, 0.0, None, None, False), (61, None, 0.0, 0.0, None, None, None)]
+    df = spark.createDataFrame(rows, "image_id int, pixels array<double>, min_value double, max_value double, window_center double, window_width double, invert boolean")
+    center, width = (F.lit(80.0), F.lit(150.0)) if mode == "manual" else (F.when(~F.isnan("window_center"), F.col("window_center")), F.col("window_width"))
+    want = df.withColumn("gray", F.transform("pixels", lambda v: px.render(v, F.col("min_value"), F.col("max_value"), mode, center, width, F.coalesce("invert", F.lit(False)))))
+    got = images.render(df, mode, *((80.0, 150.0) if mode == "manual" else ()))
+    assert {r.image_id: r.gray for r in got.collect()} == {r.image_id: r.gray for r in want.collect()}
+
+
+def test_equalization_equals_the_long_form(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(0, rng.integers(1, 257), rng.integers(1, 400)).tolist()) for i in range(40)] + [(40, [7] * 9), (41, [])]
+    packed = spark.createDataFrame(rows, "image_id int, gray array<int>")
+    long = packed.select("image_id", F.posexplode("gray").alias("pos", "g"))
+    want = {}
+    for r in images.equalize_long(long).orderBy("image_id", "pos").collect():
+        want.setdefault(r.image_id, []).append(r.equalized)
+    assert {r.image_id: r.equalized for r in images.equalize_packed(packed).collect()} == want | {41: []}
+
+
+def test_point_tables_equal_the_expressions(spark):
+    df = spark.range(256).select(F.col("id").cast("int").alias("g"))
+    for invert, brightness, contrast in [(False, 0, 1.0), (True, 30, 1.0), (False, -40, 1.37), (True, 10, 0.5), (False, 0, 2.5), (False, 256, 0.0)]:
+        want = [r[0] for r in df.orderBy("g").select(px.point_ops(F.col("g"), invert, brightness, contrast)).collect()]
+        assert px.point_table(invert, brightness, contrast) == want
 
 
 REQUEST = "id long, preset_id string, invert boolean, brightness int, contrast double, equalize boolean, compare boolean, palette string"

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rayloom.errors import CommandError
 from rayloom.functions.text import EXPLICIT_BE, EXPLICIT_LE, IMPLICIT_LE
 from rayloom.operators import corpus, images
 from rayloom.sources import dicom, raster, studies, writers
+from rayloom.sources.stores import RangedBytes
 
 JPEG = "1.2.840.10008.1.2.4.50"
 
@@ -204,4 +206,62 @@ def test_catalog_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("/in/a.dcm", "a.dcm", None, "2024-01-01T00:00:00Z")], "inputPath string, inputName string, measurementScale struct<rowSpacingMm:double,columnSpacingMm:double,source:string>, lastOpenedAt string")
     writers.write_catalog(rows, str(tmp_path / "catalog.json"))
     studies_, corrupt = studies.read_catalog(spark, str(tmp_path / "catalog.json"))
-    assert [r.inputName for r in studies_.collect()] == ["a.dcm"]
+    assert [r.inputName for r in studies_.collect()] == ["a.dcm"] and corrupt.collect() == []
+    assert studies.load_catalog(spark, str(tmp_path / "catalog.json")).count() == 1
+
+
+def test_catalogs_that_are_missing_null_or_corrupt(spark, tmp_path):
+    path = tmp_path / "catalog.json"
+    for side in studies.read_catalog(spark, str(path)):
+        assert side.collect() == []
+    assert studies.load_catalog(spark, str(path)).count() == 0
+    path.write_text('{"recentStudies": null}')
+    assert studies.load_catalog(spark, str(path)).count() == 0
+    path.write_text("{not json")
+    recent, corrupt = studies.read_catalog(spark, str(path))
+    assert recent.collect() == [] and [r[0] for r in corrupt.collect()] == ["{not json"]
+    with pytest.raises(CommandError) as caught:
+        studies.load_catalog(spark, str(path))
+    assert caught.value.code == "cacheCorrupted" and not path.exists() and (tmp_path / "catalog.corrupt.json").read_text() == "{not json"
+    assert studies.load_catalog(spark, str(path)).count() == 0
+
+
+def test_header_scans_do_not_read_pixels(spark, tmp_path):
+    taken = {}
+    for side in (10, 2000):
+        path = tmp_path / f"{side}.dcm"
+        path.write_bytes(build(bytes(side * side), rows=side, columns=side, spacing="0.2\\0.3", before=struct.pack("<HH", 8, 0x1140) + b"UN\0\0" + struct.pack("<I", side * side) + bytes(side * side)))
+        data = RangedBytes(str(path), path.stat().st_size)
+        assert studies.metadata_row(str(path), data)["columns"] == side
+        taken[side] = data.taken
+    assert taken[2000] <= 2 * (1 << 16) < 2000 * 2000
+    bmp_path = tmp_path / "b.bmp"
+    bmp_path.write_bytes(bmp(np.full((900, 900, 3), 200, np.uint8)))
+    data = RangedBytes(str(bmp_path), bmp_path.stat().st_size)
+    assert studies.metadata_row(str(bmp_path), data)["rows"] == 900 and data.taken <= 1 << 17
+    ranged = studies.read_metadata(spark, str(tmp_path)).orderBy("path").collect()
+    assert ranged == studies.read_metadata(spark, str(tmp_path), ranged=False).orderBy("path").collect() and len(ranged) == 3
+
+
+def test_a_header_in_a_file_of_over_two_gigabytes(spark, tmp_path):
+    path = tmp_path / "large.dcm"
+    with path.open("wb") as out:
+        out.write(build(b"\0\0", rows=40_000, columns=60_000))
+        out.seek(2_400_000_000)
+        out.write(b"\0")
+    row = studies.read_metadata(spark, str(path)).first()
+    assert (row.rows, row.columns, row.error) == (40_000, 60_000, None)
+
+
+def test_saved_files_never_clash_and_go_when_the_write_fails(spark, tmp_path):
+    out = tmp_path / "out"
+    rows = spark.createDataFrame([("a/x.bin", b"1"), ("b/x.bin", b"2"), (None, b"3"), ("c.bin", None)], "name string, body binary")
+    assert writers.save_files(rows, "name", "body", f"file://{out}") == 2
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["a/x.bin", "b/x.bin"]
+    with pytest.raises(CommandError, match="2 outputs") as caught:
+        writers.save_files(rows.union(rows), "name", "body", str(out))
+    assert caught.value.code == "conflict"
+    bad = spark.createDataFrame([("ok.bin", b"1"), ("a/x.bin/under-a-file", b"2")], "name string, body binary").coalesce(1)
+    with pytest.raises(Exception):
+        writers.save_files(bad, "name", "body", str(out))
+    assert not (out / "ok.bin").exists() and not list(out.rglob("*.part"))
