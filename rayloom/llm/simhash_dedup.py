@@ -331,16 +331,15 @@ def _joined(parts: list[pa.RecordBatch]) -> list[pa.Array]:
 
 
 def _buckets(bucket_rows: int) -> Callable:
-    """Over (h, text, fp) sorted by h: (bucket, text, whole) of the runs with more than one fingerprint.
+    """Over (h, text) sorted by h: (bucket, text, whole) of the runs of more than one text.
 
     A bucket's number is made of its texts: texts that share many bands with the
     same others meet once. Pieces of a run that is too large keep the band's hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, text, fp), whole in _runs(batches, bucket_rows):
-            prints = fp.to_numpy()
-            if whole and (len(prints) == 1 or (prints == prints[0]).all()):
+        for (h, text), whole in _runs(batches, bucket_rows):
+            if whole and len(h) == 1:
                 continue
             number = h if not whole else pa.array(np.full(len(h), xxhash.xxh64_intdigest(text.to_numpy().tobytes()), np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([number, text, pa.array(np.full(len(h), whole))], ["bucket", "text", "whole"])
@@ -391,34 +390,45 @@ def _bucket_sets(similarity: float) -> Callable:
     return run
 
 
+#: So many keys of texts that meet another are broadcast; beyond, the texts are shuffled.
+BROADCAST_KEYS = 2_000_000
+
+
 def similar_links(
-    docs: DataFrame, prints: DataFrame, similarity: float, shingle: int, bucket_rows: int, id_col: str, text_col: str
+    docs: DataFrame, prints: DataFrame, similarity: float, width: int, shingle: int, bucket_rows: int, id_col: str, text_col: str
 ) -> DataFrame:
     """(a, b): links between the fingerprints of texts that share a band and whose shingles are similar.
 
-    ``prints`` has (key, text_key, fp, bands). Each distinct text stands once in
-    the bucket of each of its bands. Buckets with different fingerprints get the
-    texts' shingle sets, as 32-bit hashes, and every pair in them is checked; a
+    ``prints`` has (key, text_key, bands). Each distinct text stands once in the
+    bucket of each of its bands. Buckets of several get the texts' fingerprints
+    and shingle sets, as 32-bit hashes, and every pair in them is checked; a
     bucket emits a spanning forest. One of more than ``bucket_rows`` texts is cut
     into chunks, of which every pair is a task's work.
     """
-    texts = prints.groupBy("text_key", "fp").agg(F.min("key").alias("text"), F.first("bands").alias("bands"))
-    entries = texts.select(F.explode("bands").alias("h"), "text", "fp")
+    texts = prints.groupBy("text_key").agg(F.min("key").alias("text"), F.first("bands").alias("bands"))
+    entries = texts.select(F.explode("bands").alias("h"), "text")
     met = entries.repartition("h").sortWithinPartitions("h", "text").mapInArrow(_buckets(bucket_rows), "bucket long, text long, whole boolean")
     met = materialise(met.distinct(), "similar-buckets")
     needed = met.select("text").distinct()
+    few = needed.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
+            fps, sets = [], []
             for text in batch.column(1).to_pylist():
+                fps.append(fingerprint(text, width))
                 sets.append(np.unique((shingle_set(text, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["text", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["text", "fp", "set"])
+
+    own = docs.select(row_key(id_col, text_col).alias("text"), F.col(text_col).cast("binary").alias("body"))
+    own = own.join(F.broadcast(needed) if few else needed, "text")
+    sets = own.mapInArrow(shingles, "text long, fp long, set array<int>").groupBy("text").agg(F.first("fp").alias("fp"), F.first("set").alias("set"))
+    sets = materialise(sets, "similar-sets")
+
+    def meet(rows: DataFrame) -> DataFrame:
+        filled = rows.join(sets, "text").select("bucket", "text", "fp", "set")
+        return filled.repartition("bucket").sortWithinPartitions("bucket", "text").mapInArrow(_bucket_sets(similarity), "a long, b long")
 
-    own = docs.select(row_key(id_col, text_col).alias("text"), F.col(text_col).cast("binary").alias("body")).join(needed, "text")
-    sets = own.mapInArrow(shingles, "text long, set array<int>").groupBy("text").agg(F.first("set").alias("set"))
-    sets = materialise(sets.join(texts.select("text", "fp"), "text"), "similar-sets")
-    meet = lambda rows: rows.join(sets, "text").select("bucket", "text", "fp", "set").repartition("bucket").sortWithinPartitions("bucket", "text").mapInArrow(_bucket_sets(similarity), "a long, b long")
     links = meet(met.filter("whole").drop("whole"))
     large = met.filter("not whole").drop("whole")
     if not large.isEmpty():
@@ -448,7 +458,7 @@ def keep_one(
     """
     with working_tables(docs.sparkSession):
         prints = materialise(with_fingerprints(docs, width, id_col, text_col, Bands(), shingle), "simhash-prints")
-        links = similar_links(docs, prints, similarity, shingle, set_rows, id_col, text_col)
+        links = similar_links(docs, prints, similarity, width, shingle, set_rows, id_col, text_col)
         found = _components(prints.select("doc_id", "key", "fp"), distance, bucket_rows, links)
         found = materialise(found.select("key", (F.col("key") == F.col("best.key")).alias("stays")), "simhash-stays")
         gone = materialise(found.filter("not stays").select("key").distinct(), "simhash-gone", lasting=True)
