@@ -2,8 +2,12 @@
 
 Large-star and small-star steps alternate until the edges no longer change; the
 result is a star around the smallest node of each component. Minima are taken
-with a partially aggregated ``groupBy`` and joined back, so a node with very many
-neighbours neither meets in one task nor is multiplied.
+with a partially aggregated ``groupBy``, written, and joined back: both sides of
+the join are shuffled tables then, whose large partitions Spark splits, so a node
+with very many neighbours neither meets in one task nor is multiplied.
+
+Defined results for odd input: repeated links count once, a link from a node to
+itself and a link with a null end are left out, and no links give no rows.
 """
 
 from __future__ import annotations
@@ -16,13 +20,13 @@ from rayloom.llm.common import materialise
 
 def _edges(df: DataFrame) -> DataFrame:
     """Distinct edges from the larger node ``a`` to the smaller node ``b``."""
-    return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") != F.col("b")).alias("differ")).filter("differ").select("a", "b").distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least node around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.first("a"), F.min("b")).alias("m"))
+    least = materialise(both.groupBy(F.col("a").alias("u")).agg(F.least(F.first("a"), F.min("b")).alias("m")), "components-least")
     return both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 

@@ -262,7 +262,7 @@ def _components(prints: DataFrame, distance: int, bucket_rows: int, more: DataFr
     placed = materialise(
         nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots"
     )
-    best = placed.groupBy("root").agg(F.min("least").alias("best"))
+    best = materialise(placed.groupBy("root").agg(F.min("least").alias("best")), "simhash-best")
     classes = placed.join(best, "root").select(F.col("fp").alias("node"), "best")
     return prints.join(classes, F.col("fp") == F.col("node")).select("doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), "best")
 

@@ -45,6 +45,14 @@ def test_fingerprint(text):
     assert sh.fingerprint(None if text is None else text.encode()) % 2**64 == slow_fingerprint(text)
 
 
+def test_components_of_odd_links(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    rows = [(1, 2), (2, 1), (1, 2), (5, 5), (None, 7), (8, None), (2, 9), (-3, 4)] + [(100, 200 + i) for i in range(300)]
+    got = {r.node: r.root for r in connected_components(frame(rows)).collect()}
+    assert got == {1: 1, 2: 1, 9: 1, -3: -3, 4: -3, 100: 100} | {200 + i: 100 for i in range(300)}
+    assert connected_components(frame([])).count() == 0
+
+
 def family(rng, size, spread):
     """Fingerprints around one centre, and chains of small steps."""
     base = rng.getrandbits(64)
