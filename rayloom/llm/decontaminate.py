@@ -99,10 +99,25 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Benchmark:
-    """Items in parts of about ``max_broadcast_words`` words at most, collected one at a time."""
+    """Items in parts of about ``max_broadcast_words`` words at most, collected one at a time.
 
-    def __init__(self, items: DataFrame, max_broadcast_words: int, item_col: str, text_col: str):
-        self.items = items.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("binary").alias("text"))
+    An item of more than a quarter of that is cut into pieces, which overlap by
+    the words of a window less one, so that they have the same windows.
+    """
+
+    def __init__(self, items: DataFrame, max_broadcast_words: int, width: int, item_col: str, text_col: str):
+        most = max(width, max_broadcast_words // 4)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for item_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                    words = words_of(text)
+                    starts = range(0, max(1, len(words) - width + 1), most - width + 1)
+                    pieces = [b" ".join(words[i : i + most]) for i in starts] if len(words) > most else [text]
+                    yield pa.RecordBatch.from_arrays([pa.array([item_id.as_py()] * len(pieces), batch.schema[0].type), pa.array(pieces, pa.binary())], ["item_id", "text"])
+
+        given = items.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("binary").alias("text"))
+        self.items = given.mapInArrow(cut, given.schema)
         # a word takes a byte and a gap at least, so half the bytes bound the words
         size = F.floor((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / 2) + 1
         total = self.items.agg(F.sum(size)).first()[0] or 0
@@ -182,7 +197,7 @@ def scan(
     ``spans`` are the hit runs as word positions (first, last); ``items`` the ids,
     as strings in order, of the items with occurring windows.
     """
-    items = Benchmark(benchmark, max_broadcast_words, item_col, item_text_col)
+    items = Benchmark(benchmark, max_broadcast_words, width, item_col, item_text_col)
     return _scan_keyed(docs, items, width, id_col, text_col).drop("key")
 
 
@@ -211,7 +226,7 @@ def _with_hits(docs, benchmark, width=10, max_broadcast_words=2_000_000, id_col=
     Only documents with hits are joined back; they are written once and found by
     the hash of id and text, so that the texts of clean documents need no Python twice.
     """
-    items = Benchmark(benchmark, max_broadcast_words, item_col, item_text_col)
+    items = Benchmark(benchmark, max_broadcast_words, width, item_col, item_text_col)
     hits = _scan_keyed(docs, items, width, id_col, text_col).filter("n_hit > 0")
     hits = materialise(hits.select(F.col("key").alias("hit_key"), F.col("spans").alias("hit_spans")), "leaks").dropDuplicates(["hit_key"])
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
