@@ -4,11 +4,13 @@ A rule is a host, a path prefix and a verdict; it becomes one regular expression
 over ``host + path``. Its literal tokens are the labels of the host and the
 complete segments of the path. A URL can only match if it holds all of them, so
 each rule is filed under the one of its tokens that the fewest URLs have. URLs
-are cut into tokens, tokens fetch candidate rules by an equality join, and only
-candidates run their regular expression. The longest rule that fits wins.
+are cut into tokens, tokens fetch candidate rules, and only candidates run their
+regular expression. The longest rule that fits wins.
 
-Each distinct URL is judged once. The rule index is broadcast when it has at
-most ``BROADCAST_RULES`` rows, else the join shuffles by token.
+An index of at most ``BROADCAST_RULES`` rules goes to every task as a dictionary
+from token to rules, and pages are judged where they are, each distinct URL of a
+batch once. A larger one is joined by token with the distinct URLs, and the
+verdicts with salted pages.
 
 Defined results for odd input: a URL that is null or has no ``://`` has an empty
 host and path and fits no rule; ties between rules of equal length go to the
