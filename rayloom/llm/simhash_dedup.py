@@ -337,12 +337,42 @@ def _buckets(bucket_rows: int) -> Callable:
     same others meet once. Pieces of a run that is too large keep the band's hash.
     """
 
+    def rows(bucket: np.ndarray, text: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, text, whole)], ["bucket", "text", "whole"])
+
+    def complete(h: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
+        sizes = np.diff(np.append(starts, len(h)))
+        whole = np.repeat(sizes <= bucket_rows, sizes)
+        number = h.copy()
+        for i in np.flatnonzero((sizes > 1) & (sizes <= bucket_rows)):
+            run = slice(starts[i], starts[i] + sizes[i])
+            number[run] = np.uint64(xxhash.xxh64_intdigest(text[run].tobytes())).view(np.int64)
+        several = np.repeat(sizes > 1, sizes)
+        if several.any():
+            yield rows(number[several], text[several], whole[several])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, text), whole in _runs(batches, bucket_rows):
-            if whole and len(h) == 1:
+        held_h, held_t, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in batches:
+            h = np.concatenate([held_h, batch.column(0).to_numpy()])
+            text = np.concatenate([held_t, batch.column(1).to_numpy()])
+            if passing is not None and (n := int(np.searchsorted(h, passing, "right"))):
+                yield rows(h[:n], text[:n], np.zeros(n, bool))
+                h, text = h[n:], text[n:]
+            held_h, held_t = h, text
+            if not len(h):
                 continue
-            number = h if not whole else pa.array(np.full(len(h), xxhash.xxh64_intdigest(text.to_numpy().tobytes()), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([number, text, pa.array(np.full(len(h), whole))], ["bucket", "text", "whole"])
+            passing = None
+            last = int(np.searchsorted(h, h[-1], "left"))
+            if last:
+                yield from complete(h[:last], text[:last])
+            held_h, held_t = h[last:], text[last:]
+            if len(held_h) > bucket_rows:
+                yield rows(held_h, held_t, np.zeros(len(held_h), bool))
+                passing, held_h, held_t = int(held_h[0]), held_h[:0], held_t[:0]
+        if len(held_h):
+            yield from complete(held_h, held_t)
 
     return run
 

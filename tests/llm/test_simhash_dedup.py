@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -272,3 +273,19 @@ def test_links_are_the_same_in_any_order(spark):
     signed = sorted(int(np.uint64(x).astype(np.int64)) for x in family(rng, 400, 5))
     links = lambda rows: sorted(tuple(r) for r in sh.fingerprint_links(spark.createDataFrame([(x,) for x in rows], "fp long")).collect())
     assert links(signed) == links(signed[::-1]) == links(rng.sample(signed, len(signed)))
+
+
+@pytest.mark.parametrize("most", [2, 5, 1000])
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_buckets_over_batches_hold_every_run_of_several(most, size):
+    random = np.random.default_rng(6)
+    keys, texts = np.sort(random.integers(-40, 40, 200)), np.arange(200)
+    batches = (pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(texts[i : i + size])], ["h", "text"]) for i in range(0, 200, size))
+    got = [r for batch in sh._buckets(most)(batches) for r in batch.to_pylist()]
+    runs = [texts[keys == k].tolist() for k in np.unique(keys)]
+    whole, cut = {}, {}
+    for r in got:
+        (whole if r["whole"] else cut).setdefault(r["bucket"], []).append(r["text"])
+    assert sorted(whole.values()) == sorted(x for x in runs if 1 < len(x) <= most)
+    assert sorted(cut.values()) == sorted(x for x in runs if len(x) > most)
+    assert all(keys[x[0]] == k for k, x in cut.items())
