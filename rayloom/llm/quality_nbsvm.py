@@ -12,7 +12,10 @@ The model is fitted on a bounded sample: of the labelled rows that may be learnt
 from, the ``sample_rows`` per class with the smallest hash of the id; rows above a
 hash bound that the counts give are left out before anything is ordered, and
 repeated labels count once. Only the sample is joined with texts (a broadcast of
-bounded size), one text for each id, and their feature sets go to the driver.
+bounded size), one text for each id, and their feature sets are written. Those go
+to the driver in the order of the hashes, as many of each class as hold
+``sample_features`` features together, so that very long texts bound the number of
+rows and not the driver's memory.
 Every document is scored in whole, in one pass without shuffle;
 what is broadcast for it is one weight per bucket.
 
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from rayloom.llm.common import materialise, working_tables
+
 BUCKETS = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Character classes of a shape: letters to a or A (all beyond ASCII is a letter), digits to 0.
@@ -82,19 +87,20 @@ class Model:
     squares: np.ndarray
     slope: float
     offset: float
+    features: Callable[[bytes | None], np.ndarray] = features
 
     def margin(self, found: np.ndarray) -> float:
         length = float(self.squares[found].sum()) ** 0.5
         return float(self.weights[found].sum()) / length if length else 0.0
 
     def score(self, text: bytes | None) -> float:
-        z = self.slope * self.margin(features(text)) + self.offset
+        z = self.slope * self.margin(self.features(text)) + self.offset
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def log_count_ratios(sets: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratios(sets: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, buckets: int = BUCKETS) -> np.ndarray:
     """log of the smoothed share of a feature among class 1 over that among class 0."""
-    good, bad = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
+    good, bad = np.full(buckets, alpha), np.full(buckets, alpha)
     for found, label in zip(sets, labels):
         (good if label else bad)[found] += 1
     n_good, n_bad = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
@@ -103,9 +109,9 @@ def log_count_ratios(sets: list[np.ndarray], labels: np.ndarray, alpha: float =
     return ratio
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, costs: np.ndarray, epochs: int, seed: int) -> np.ndarray:
+def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, costs: np.ndarray, epochs: int, seed: int, buckets: int = BUCKETS) -> np.ndarray:
     """Weights of the L2-regularised hinge loss by dual coordinate descent (unit rows)."""
-    weights, alpha = np.zeros(BUCKETS), np.zeros(len(rows))
+    weights, alpha = np.zeros(buckets), np.zeros(len(rows))
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -140,16 +146,18 @@ def logistic_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, floa
     return max(float(theta[0]), 0.0), float(theta[1])
 
 
-def fit_sets(sets: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 7) -> Model:
-    zeros = np.zeros(BUCKETS)
+def fit_sets(
+    sets: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 7, features: Callable = features, buckets: int = BUCKETS
+) -> Model:
+    zeros = np.zeros(buckets)
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 0.5) / (len(labels) + 1)
-        return Model(zeros, zeros, 0.0, float(np.log(share / (1 - share))))
+        return Model(zeros, zeros, 0.0, float(np.log(share / (1 - share))), features)
     held = np.arange(len(sets)) % 5 == 4 if len(sets) >= 50 else np.zeros(len(sets), bool)
     if any(len(set(labels[m].tolist())) < 2 for m in (held, ~held)):
         held[:] = False
     learn = np.flatnonzero(~held)
-    ratio = log_count_ratios([sets[i] for i in learn], labels[learn])
+    ratio = log_count_ratios([sets[i] for i in learn], labels[learn], buckets=buckets)
     rows = []
     for i in learn:
         value = ratio[sets[i]]
@@ -157,8 +165,8 @@ def fit_sets(sets: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epoc
         rows.append((sets[i], value / length) if length else (sets[i][:0], value[:0]))
     share = labels[learn].mean()
     costs = np.where(labels[learn] == 1, cost * 0.5 / share, cost * 0.5 / (1 - share))
-    weights = dual_descent(rows, labels[learn] * 2.0 - 1.0, costs, epochs, seed)
-    model = Model(weights * ratio, ratio * ratio, 1.0, 0.0)
+    weights = dual_descent(rows, labels[learn] * 2.0 - 1.0, costs, epochs, seed, buckets)
+    model = Model(weights * ratio, ratio * ratio, 1.0, 0.0, features)
     curve = np.flatnonzero(held) if held.any() else learn
     margins = np.array([model.margin(sets[i]) for i in curve])
     model.slope, model.offset = logistic_curve(margins, labels[curve])
@@ -173,12 +181,16 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    features: Callable[[bytes | None], np.ndarray] = features,
+    buckets: int = BUCKETS,
+    sample_features: int = 24_000_000,
 ) -> Model:
-    """Fits on at most ``sample_rows`` labelled rows of each class.
+    """Fits on at most ``sample_rows`` labelled rows of each class, with ``sample_features`` features in all.
 
     ``may_learn`` is a condition on ``labels``. The order is by a hash of the id,
     so the sample is the same in every run. Of documents that share an id the one
-    whose text has the smallest hash is learnt.
+    whose text has the smallest hash is learnt. ``features`` gives the sorted feature
+    numbers, below ``buckets``, of a text.
     """
     own = labels.filter(may_learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit("nbsvm"), id_col).alias("place")
@@ -201,10 +213,18 @@ def fit(
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     matched = texts.join(chosen, F.col("doc_id") == F.col("label_id")).groupBy("place", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = matched.mapInArrow(run, "place long, label int, features array<int>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
+    with working_tables(docs.sparkSession):
+        found = materialise(matched.mapInArrow(run, "place long, label int, features array<int>"), "nbsvm")
+        sizes = found.select("place", "label", F.size("features").alias("n")).toArrow().to_pandas().sort_values(["place", "label"])
+        within = sizes[sizes.groupby("label")["n"].cumsum() <= sample_features // 2]
+        last = {label: int(within[within["label"] == label]["place"].max()) for label in set(within["label"])}
+        kept = F.lit(False)
+        for label, place in last.items():
+            kept = kept | ((F.col("label") == label) & (F.col("place") <= place))
+        rows = found.filter(kept).toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
     lists = rows.column("features").combine_chunks()
     sets = [x.values.to_numpy() for x in lists] if len(rows) else []
-    return fit_sets(sets, rows.column("label").to_numpy().astype(np.int64))
+    return fit_sets(sets, rows.column("label").to_numpy().astype(np.int64), features=features, buckets=buckets)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rayloom.llm import (
+    collocations,
     decontaminate,
+    hard_negatives,
     lang_zstd,
     license_scan,
     line_dedup,
@@ -18,6 +20,7 @@ from rayloom.llm import (
     slot_sharding,
     source_mix,
     topk_search,
+    toxicity,
     url_rules,
 )
 from rayloom.llm.common import id_fold, scratch_dir, table
@@ -96,6 +99,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~id_fold("doc_id", 5, 0))
+    toxic = (F.col("score") >= 0.5).cast("int")
+    return toxicity.score(docs, model).select("doc_id", id_fold("doc_id", 5, 0).alias("held_out"), "score", toxic.alias("predicted"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, noisy)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -194,6 +213,36 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
 
+OP12_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, len, array_to_string(w[k : k + len - 1], ' ') AS phrase FROM (SELECT lang, w, len, unnest(range(1, len(w) - len + 2)) AS k FROM w, range(1, 4) r(len) WHERE len(w) >= len)),
+f AS (SELECT lang, phrase, any_value(len) AS len, count(*) AS f FROM g GROUP BY lang, phrase),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, len, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND f >= 10),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[: k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, len)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (1000000::HUGEINT * k.a * k.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.first JOIN f y ON y.lang = k.lang AND y.phrase = k.rest),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, unnest([array_to_string(w[: len - 1], ' '), array_to_string(w[2 :], ' ')]) AS phrase, a FROM c WHERE len > 2),
+x AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = m.lang AND o.phrase = m.phrase AND 100 * o.a >= 50 * m.a)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM x)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS alike, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM e q, e c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+      (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT s.alike AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """XXH64, crc32 and trained models have no SQL form; those queries are tested against brute force."""
     return {
@@ -203,4 +252,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": OP6_SQL,
         "op9_license_scan": OP9_SQL,
         "op10_decontaminate": OP10_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_hard_negatives": OP13_SQL,
     }
