@@ -220,7 +220,7 @@ def mine_phrases(
     top: int = 2000,
     lang_col: str = "lang",
     text_col: str = "text",
-    part_words: int = 4_000_000,
+    part_words: int = 1_000_000,
 ) -> DataFrame:
     """The first ``top`` phrases of each language: (lang, rank, phrase, a, l, r, n, score)."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
