@@ -18,7 +18,7 @@ from rayloom.functions import kernels
 from rayloom.functions import pixels as px
 from rayloom.functions import text as tx
 from rayloom.operators import annotations, corpus, images, jobs, requests
-from rayloom.sources import stores, studies, writers
+from rayloom.sources import file_sink, stores, studies, writers
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,9 @@ def _found(plan) -> DataFrame:
         raise CommandError("notFound", str(problem).splitlines()[0]) from None
 
 
-def open_studies(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
-    """Header fields, file name and measurement scale of study files."""
-    found = _found(lambda: studies.read_metadata(spark, path, strict))
+def open_studies(spark: SparkSession, path: str | list[str], strict: bool = True, ranged: bool = True) -> DataFrame:
+    """Header fields, file name and measurement scale of study files; ``ranged=False`` for stores that only Spark can open."""
+    found = _found(lambda: studies.read_metadata(spark, path, strict, ranged=ranged))
     return found.withColumn("input_name", tx.file_name(F.col("path")))
 
 
@@ -135,18 +135,16 @@ def process(rendered: DataFrame, controls: Controls) -> DataFrame:
 def export(processed: DataFrame, folder: str, now: datetime | None = None, uid_seed: str | None = None) -> dict[str, int]:
     """Writes a PNG and a Secondary Capture per image to ``folder``, a path that all executors share; counts of files.
 
-    Files of one base name from several folders get a hash of their path in the
-    name of the output; any clash left is an error.
+    Each file is decoded, rendered and encoded once, and nothing shows in
+    ``folder`` before all is done. Files of one base name from several folders get
+    a hash of their path in the name of the output; any clash left is an error. An
+    image that can't be encoded is left out.
     """
     values = writers.flat_values("rgba") if "rgba" in processed.columns else F.col("gray")
+    both = writers.encode_both(processed, values, now, uid_seed)
     stem = F.regexp_replace(tx.output_name(F.col("path")), r"\.dcm$", "")
-    own = processed.withColumn("stem", stem)
-    shared = own.groupBy("stem").agg(F.count("*").alias("files")).filter("files > 1").select("stem", F.lit(True).alias("shared"))
-    hashed = F.concat("stem", F.lit("-"), F.substring(F.sha2("path", 256), 1, 12))
-    named = own.join(shared, "stem", "left").withColumn("stem", F.when(F.coalesce("shared", F.lit(False)), hashed).otherwise(F.col("stem"))).drop("shared")
-    png = writers.encode_png(named, values).withColumn("file", F.concat("stem", F.lit(".png")))
-    dcm = writers.encode_secondary_capture(named, values, now, uid_seed).withColumn("file", F.concat("stem", F.lit(".dcm")))
-    return {"png": writers.save_files(png, "file", "png", folder), "dicom": writers.save_files(dcm, "file", "dicom", folder)}
+    written = file_sink.save(both.select(stem.alias("stem"), F.col("path").alias("key"), "png", F.col("dicom").alias("dcm")), folder)
+    return {"png": written["png"], "dicom": written["dcm"]}
 
 
 def job_snapshots(snapshots: DataFrame, ids: list[int]) -> DataFrame:

@@ -1,13 +1,12 @@
 """Sinks: PNG and DICOM Secondary Capture files, and the catalog.
 
 Encoding is a function of the row, so it runs in tasks and yields binary columns;
-``save_files`` writes them, one file per row, to a local path that executors share
-or to an object store. A row whose encoding fails has an ``error`` and writes nothing.
+``save_files`` and ``file_sink`` write them, to a path that executors share or to an
+object store. A row whose encoding fails has an ``error`` and writes nothing.
 """
 
 from __future__ import annotations
 
-import contextlib
 import json
 from collections.abc import Iterator
 from datetime import datetime
@@ -18,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.errors import CommandError
-from rayloom.sources import dicom, raster, stores
+from rayloom.sources import dicom, file_sink, raster
 
 
 def _samples(width: int, height: int, flat: np.ndarray) -> np.ndarray:
@@ -34,27 +32,36 @@ def flat_values(column: str) -> F.Column:
     return F.flatten(F.transform(column, lambda p: F.array(p["r"], p["g"], p["b"], p["a"])))
 
 
-def _encode(df: DataFrame, columns: list, function, out: str) -> DataFrame:
-    """Adds binary ``out`` and ``error``; other columns travel in a struct."""
+def _encode(df: DataFrame, columns: list, function, *out: str) -> DataFrame:
+    """Adds the binary columns ``out`` and ``error``; other columns travel in a struct."""
     from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
     packed = df.select(F.struct("*").alias("row"), *columns)
-    schema = StructType([packed.schema["row"], StructField(out, BinaryType()), StructField("error", StringType())])
+    schema = StructType([packed.schema["row"], *(StructField(o, BinaryType()) for o in out), StructField("error", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files, errors = [], []
             for values in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 try:
-                    files.append(function(*values))
+                    made = function(*values)
+                    files.append(made if len(out) > 1 else (made,))
                     errors.append(None)
                 except ValueError as problem:
-                    files.append(None)
+                    files.append((None,) * len(out))
                     errors.append(str(problem))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary()), pa.array(errors, pa.string())], ["row", out, "error"])
+            binaries = [pa.array([f[at] for f in files], pa.binary()) for at in range(len(out))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *binaries, pa.array(errors, pa.string())], ["row", *out, "error"])
 
-    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in (out, "error")]
-    return packed.mapInArrow(run, schema).select(*kept, out, "error")
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in (*out, "error")]
+    return packed.mapInArrow(run, schema).select(*kept, *out, "error")
+
+
+def _capture(samples: np.ndarray, study: str | None, preserved: list | None, when: datetime, uid_seed: str | None) -> bytes:
+    count = iter(range(100))
+    uid = (lambda: dicom.uid_from(f"{uid_seed}/{study}/{next(count)}")) if uid_seed else dicom.uid_from
+    kept = [(e["tag_group"] << 16 | e["tag_element"], e["vr"], e["values"]) for e in preserved or []]
+    return dicom.secondary_capture(samples, study or "", kept, when, uid)
 
 
 def encode_png(df: DataFrame, values: F.Column | str = "gray") -> DataFrame:
@@ -72,48 +79,30 @@ def encode_secondary_capture(df: DataFrame, values: F.Column | str = "gray", now
     flat = F.col(values) if isinstance(values, str) else values
 
     def encode(w, h, study, preserved, v):
-        count = iter(range(100))
-        uid = (lambda: dicom.uid_from(f"{uid_seed}/{study}/{next(count)}")) if uid_seed else dicom.uid_from
-        kept = [(e["tag_group"] << 16 | e["tag_element"], e["vr"], e["values"]) for e in preserved or []]
-        return dicom.secondary_capture(_samples(w, h, v), study or "", kept, when, uid)
+        return _capture(_samples(w, h, v), study, preserved, when, uid_seed)
 
     return _encode(df, [F.col("width"), F.col("height"), F.col("study_uid"), F.col("preserved"), flat.alias("flat")], encode, "dicom")
 
 
-def save_files(df: DataFrame, name: str, content: str, folder: str) -> int:
-    """Writes ``content`` of each row to ``folder/name`` and returns how many files were written.
+def encode_both(df: DataFrame, values: F.Column | str = "gray", now: datetime | None = None, uid_seed: str | None = None) -> DataFrame:
+    """Adds ``png`` and ``dicom`` in one pass over the images; an image that one of them can't hold has an ``error`` and neither."""
+    when = now or datetime.now().astimezone()
+    flat = F.col(values) if isinstance(values, str) else values
 
-    ``folder`` is a path or URI that all executors reach. Each attempt of a task
-    writes to a name of its own and renames, so that a lost or repeated task
-    leaves whole files only. Two rows of one name are an error before anything is
-    written. If the write fails or is cancelled, files of its names are removed.
-    """
-    named = df.filter(F.col(content).isNotNull() & (F.coalesce(F.col(name), F.lit("")) != ""))
-    clash = named.groupBy(name).count().filter("count > 1").first()
-    if clash:
-        raise CommandError("conflict", f"{clash[1]} outputs would be written to {clash[0]}")
+    def encode(w, h, study, preserved, v):
+        samples = _samples(w, h, v)
+        return raster.encode_png(samples), _capture(samples, study, preserved, when, uid_seed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                stores.write_file(folder, file, data.as_py())
-            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+    return _encode(df, [F.col("width"), F.col("height"), F.col("study_uid"), F.col("preserved"), flat.alias("flat")], encode, "png", "dicom")
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = stores.opened(folder)
-        for batch in batches:
-            for file in batch.column(0).to_pylist():
-                if system.get_file_info(f"{root}/{file}").type.name == "File":
-                    system.delete_file(f"{root}/{file}")
-            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
-
-    try:
-        written = named.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(run, "n long")
-        return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    except BaseException:
-        with contextlib.suppress(Exception):  # what failed is raised, also where nothing can be removed
-            named.select(F.col(name).alias("name")).mapInArrow(remove, "n long").count()
-        raise
+
+def save_files(df: DataFrame, name: str, content: str, folder: str) -> int:
+    """Writes ``content`` of each row to ``folder/name``, all or nothing (``file_sink``), and returns how many files were written.
+
+    ``folder`` is a path or URI that all executors reach. Two rows of one name are
+    an error; it and any other failure leave the files of earlier runs as they are.
+    """
+    return file_sink.save(df.select(F.col(name).alias("stem"), F.lit("").alias("key"), F.col(content).alias("file")), folder)["file"]
 
 
 def write_catalog(recent: DataFrame, path: str) -> None:
