@@ -75,10 +75,19 @@ def poll_flags(snapshots: DataFrame) -> DataFrame:
 
 
 def sessions(snapshots: DataFrame) -> DataFrame:
-    """Adds ``session``: timing starts anew where percent falls by more than half a point."""
-    before = F.lag("percent").over(_job())
-    fell = F.when(F.col("percent") + tm.LEAST_STEP < before, 1).otherwise(0)
-    return snapshots.withColumn("_fell", fell).withColumn("session", F.sum("_fell").over(_job()).cast("int")).drop("_fell")
+    """The snapshots that timing looks at, with ``session``.
+
+    Those are the ones of pending jobs that are not from a cache, with percent
+    clamped (null is 0). Timing starts anew where percent falls by more than half a
+    point, and behind a cached snapshot, which clears it; terminal snapshots change nothing.
+    """
+    cached = F.coalesce(F.col("from_cache"), F.lit(False)) if "from_cache" in snapshots.columns else F.lit(False)
+    seen = snapshots.withColumn("_cached", F.count(F.when(cached, 1)).over(_job()))
+    looked = seen.filter(tm.is_pending(F.col("state")) & ~cached).withColumn("percent", tm.clamp_percent(F.col("percent")))
+    fell = F.col("percent") + tm.LEAST_STEP < F.lag("percent").over(_job())
+    cleared = F.col("_cached") != F.lag("_cached").over(_job())
+    anew = looked.withColumn("_anew", F.when(fell | cleared, 1).otherwise(0))
+    return anew.withColumn("session", F.sum("_anew").over(_job()).cast("int")).drop("_anew", "_cached")
 
 
 def accepted(snapshots: DataFrame) -> DataFrame:
@@ -109,11 +118,16 @@ def overall_rates(snapshots: DataFrame) -> DataFrame:
 
 
 def rolling_samples(snapshots: DataFrame) -> DataFrame:
-    """Adds ``held``: of the newest eight snapshots, oldest first, those within 20 s and always the own one, and ``samples``, their number."""
-    newest = _job().rowsBetween(1 - tm.ROLLING_SAMPLES, Window.currentRow)
+    """Accepted samples with the buffer after each: ``held``, of the session's newest eight samples, oldest first,
+    those within 20 s and always the own one, and ``samples``, their number.
+
+    What the buffer drops for its age is too old for every later sample too, so the
+    newest eight in a window are all that it can hold.
+    """
+    newest = Window.partitionBy("job_id", "session").orderBy(*_ORDER).rowsBetween(1 - tm.ROLLING_SAMPLES, Window.currentRow)
     listed = F.collect_list(F.struct("ts", "seq", "percent")).over(newest)
     near = lambda x: (millis(F.col("ts")) - millis(x["ts"]) <= tm.ROLLING_MS) | (x["seq"] == F.col("seq"))
-    held = snapshots.withColumn("_newest", listed).withColumn("held", F.filter("_newest", near)).drop("_newest")
+    held = accepted(snapshots).withColumn("_newest", listed).withColumn("held", F.filter("_newest", near)).drop("_newest")
     return held.withColumn("samples", F.size("held"))
 
 
@@ -168,13 +182,28 @@ def state_machine(events: DataFrame) -> DataFrame:
     return facts.select("job_id", state.alias("state"), F.when(state == "completed", 100).otherwise(F.coalesce("moved", F.lit(0))).cast("int").alias("percent"))
 
 
+def stalls(snapshots: DataFrame) -> DataFrame:
+    """(job_id, seq, percent, stalled_ms): samples behind which a job stood still for 12 s, and when it had.
+
+    A sample is followed by the next accepted one, or by a terminal or cached
+    snapshot; one that nothing follows has stalled too.
+    """
+    cached = F.coalesce(F.col("from_cache"), F.lit(False)) if "from_cache" in snapshots.columns else F.lit(False)
+    moved = accepted(snapshots).select("job_id", "ts", "seq", F.col("percent").cast("double").alias("percent"))
+    closed = snapshots.filter(cached | tm.is_terminal(F.col("state"))).select("job_id", "ts", "seq", F.lit(None).cast("double").alias("percent"))
+    marks = moved.union(closed).withColumn("quiet", F.lead(millis(F.col("ts"))).over(_job()) - millis(F.col("ts")))
+    still = marks.filter("percent is not null").filter(F.col("quiet").isNull() | (F.col("quiet") >= tm.STALL_MS))
+    return still.select("job_id", "seq", "percent", (millis(F.col("ts")) + tm.STALL_MS).alias("stalled_ms"))
+
+
 def deduplicated_starts(starts: DataFrame) -> DataFrame:
     """In-flight dedupe: a start with the fingerprint of a job still running gets that job's id (``ran_as``).
 
     ``starts`` has fingerprint, job_id, ts, seq and end_ts (when the job would
     end). A start is a duplicate if it comes before the running job's end; a null
-    ``end_ts`` ends at once. Each start depends on those before, so the rows of a
-    fingerprint are sorted and streamed past one held job; none are collected.
+    ``end_ts`` ends at once, and a null fingerprint is like no other. Each start
+    depends on those before, so the rows of a fingerprint are sorted and streamed
+    past one held job; none are collected.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +217,21 @@ def deduplicated_starts(starts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ran, pa.int64())], ["fingerprint", "job_id", "ran_as"])
 
     rows = starts.select("fingerprint", F.col("job_id").cast("long").alias("job_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "seq")
-    ordered = rows.repartition("fingerprint").sortWithinPartitions("fingerprint", "ts", "seq")
-    return ordered.mapInArrow(run, "fingerprint string, job_id long, ran_as long")
+    ordered = rows.filter("fingerprint is not null").repartition("fingerprint").sortWithinPartitions("fingerprint", "ts", "seq")
+    alone = rows.filter("fingerprint is null").select("fingerprint", "job_id", F.col("job_id").alias("ran_as"))
+    return ordered.mapInArrow(run, "fingerprint string, job_id long, ran_as long").union(alone)
+
+
+def coalesced(updates: DataFrame, quiet: str, key: str = "job_id") -> DataFrame:
+    """One row per burst of updates of a key: its last update (``update``), when the burst began and ended, and how many it had.
+
+    A burst ends where the next update comes more than ``quiet`` later. The same plan serves streams:
+    with a watermark on ``ts`` a burst is shown once it can't grow any more.
+    """
+    burst = updates.groupBy(key, F.session_window("ts", quiet).alias("_burst"))
+    rest = [c for c in updates.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct("ts", "seq"))
+    return burst.agg(last.alias("update"), F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("updates")).drop("_burst")
 
 
 def batch_get(requested: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ sum only grows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +18,14 @@ from rayloom.operators.ranges import running
 
 def last_access(accesses: DataFrame, key: str = "key") -> DataFrame:
     """One row per key, with the time of its last use; partially aggregated."""
-    return accesses.groupBy(key).agg(F.max(F.struct("ts", "seq")).alias("at"), F.max_by("size", F.struct("ts", "seq")).alias("size"))
+    size = F.coalesce("size", F.lit(0))
+    return accesses.groupBy(key).agg(F.max(F.struct("ts", "seq")).alias("at"), F.max_by(size, F.struct("ts", "seq")).alias("size"))
 
 
 def lru(accesses: DataFrame, capacity: int | None = None, max_bytes: int | None = None, keep_one: bool = False, key: str = "key") -> DataFrame:
     """(key, size, place, used_bytes) of the entries that an LRU cache holds at the end.
 
-    Distinct keys are first cut to the ``capacity`` used last (a top-k), which
+    An entry of null size takes 0 bytes. Distinct keys are first cut to the ``capacity`` used last (a top-k), which
     one task can sum; with a byte limit alone the sum runs in ranges of time.
     """
     entries = last_access(accesses, key).select(key, "size", F.col("at.ts").alias("ts"), F.col("at.seq").alias("seq"))
@@ -62,21 +66,72 @@ def retain_newest(rows: DataFrame, size: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(size)
 
 
-def result_hits(requests: DataFrame, results: DataFrame, artifacts: DataFrame, recheck_ms: int = 2000) -> DataFrame:
-    """Requests (job_id, fingerprint, kind, at_ms) with ``outcome`` and, on a hit, the completed snapshot of a new job.
+#: How long a look at an artifact counts, and what a hit's snapshot says.
+RECHECK_MS, HIT = 60_000, {"state": "completed", "stage": "cacheHit", "percent": 100}
+
+
+def result_store(requests: DataFrame, results: DataFrame, artifacts: DataFrame, recheck_ms: int = RECHECK_MS) -> tuple[DataFrame, DataFrame]:
+    """What each request finds in the store of results, and what the store holds at the end.
+
+    ``requests`` (job_id, fingerprint, kind, at_ms, ...) look results up; ``results``
+    (fingerprint, kind, path, at_ms) put them in, replacing one of the same
+    fingerprint; ``artifacts`` (path, gone_ms) are files and when each went, null for
+    never. A path that is not listed was never there. At one moment results come
+    first, then requests by job_id.
 
-    A result (fingerprint, kind, path, checked_ms) is a hit if its kind is the
-    asked one and its artifact, looked at ``recheck_ms`` ago or more, still is in
-    ``artifacts`` (path). Else it is a ``miss``, ``stale`` (artifact gone) or a
-    ``kindMismatch``; the last two are dropped from the store.
+    A lookup is a ``miss`` where nothing is held. If the last look at the artifact
+    (or its storing) was ``recheck_ms`` ago or more, it is looked at again: gone, the
+    lookup is ``stale``. Another kind than asked is a ``kindMismatch``. Both remove
+    the entry, so later lookups miss until a new result is put in. Else it is a
+    ``hit``: the completed snapshot of a new job, from the cache.
+
+    A lookup depends on those before it, so the rows of a fingerprint are sorted and
+    streamed past one held entry; none are collected. Null fingerprints find and
+    keep nothing. Returns (requests with outcome, state, stage, percent, from_cache,
+    path; entries with fingerprint, kind, path, checked_ms).
     """
-    stored = results.select("fingerprint", F.col("kind").alias("held_kind"), "path", "checked_ms").join(
-        artifacts.select("path", F.lit(True).alias("there")).distinct(), "path", "left"
-    )
-    found = requests.join(stored, "fingerprint", "left")
-    gone = (F.col("at_ms") - F.col("checked_ms") >= recheck_ms) & F.col("there").isNull()
-    outcome = F.when(F.col("held_kind").isNull(), "miss").when(gone, "stale").when(F.col("held_kind") != F.col("kind"), "kindMismatch").otherwise("hit")
-    hit = outcome == "hit"
-    return found.select(
-        *requests.columns, outcome.alias("outcome"), F.when(hit, "completed").alias("state"), F.when(hit, 100).alias("percent"), hit.alias("from_cache"), F.when(hit, F.col("path")).alias("path"),
+    went = artifacts.groupBy("path").agg(F.max(F.coalesce("gone_ms", F.lit(2**62))).alias("gone_ms"))
+    put = results.select("fingerprint", "kind", "path", F.col("at_ms").cast("long").alias("at_ms")).join(went, "path", "left")
+    puts = put.select("fingerprint", "at_ms", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("job_id"), "kind", "path", F.coalesce("gone_ms", F.lit(-(2**62))).alias("gone_ms"))
+    asks = requests.select("fingerprint", F.col("at_ms").cast("long").alias("at_ms"), F.lit(1).alias("turn"), F.col("job_id").cast("long").alias("job_id"), "kind", F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("gone_ms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None  # held: kind, path, when its artifact went, when it was looked at
+        for batch in batches:
+            out = []
+            for own, at, turn, job, kind, path, gone in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != key:
+                    if held:
+                        out.append((None, key, "held", *held[:2], held[3]))
+                    key, held = own, None
+                if turn == 0:
+                    held = (kind, path, gone, at)
+                    continue
+                outcome = "miss"
+                if held:
+                    outcome = "hit"
+                    if at - held[3] >= recheck_ms:
+                        outcome, held = ("stale", held) if held[2] <= at else ("hit", (*held[:3], at))
+                    if outcome == "hit" and held[0] != kind:
+                        outcome = "kindMismatch"
+                out.append((job, own, outcome, kind, held[1] if outcome == "hit" else None, None))
+                if outcome not in ("hit", "miss"):
+                    held = None
+            yield _rows(out)
+        if held:
+            yield _rows([(None, key, "held", *held[:2], held[3])])
+
+    ordered = puts.union(asks).filter("fingerprint is not null").repartition("fingerprint").sortWithinPartitions("fingerprint", "at_ms", "turn", "job_id")
+    told = ordered.mapInArrow(run, "job_id long, fingerprint string, outcome string, kind string, path string, checked_ms long")
+    alone = asks.filter("fingerprint is null").select("job_id", "fingerprint", F.lit("miss").alias("outcome"), "kind", "path", F.lit(None).cast("long").alias("checked_ms"))
+    found, hit = told.filter("outcome <> 'held'").union(alone), F.col("outcome") == "hit"
+    snapshots = found.select(
+        "job_id", "fingerprint", "kind", "outcome", F.when(hit, HIT["state"]).alias("state"), F.when(hit, HIT["stage"]).alias("stage"), F.when(hit, HIT["percent"]).alias("percent"), hit.alias("from_cache"), "path",
     )
+    return snapshots, told.filter("outcome = 'held'").select("fingerprint", "kind", "path", "checked_ms")
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+    columns = list(zip(*rows)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["job_id", "fingerprint", "outcome", "kind", "path", "checked_ms"])

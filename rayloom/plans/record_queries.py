@@ -281,10 +281,11 @@ def annotation_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ jobs
 
 EV = """ev AS (SELECT user_id AS job_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancelling'
-  WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END AS state, floor(least(100.0::DOUBLE, greatest(0.0::DOUBLE, value)))::INT AS percent FROM events)"""
+  WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END AS state, floor(least(100.0::DOUBLE, greatest(0.0::DOUBLE, value)))::INT AS percent, event_id % 29 = 0 AS from_cache FROM events)"""
 _LATEST = "la AS (SELECT job_id, max_by(ts, seq) AS ts, max(seq) AS seq, max_by(state, seq) AS state, max_by(percent, seq) AS percent FROM ev GROUP BY job_id)"
 _W = "OVER (PARTITION BY job_id ORDER BY ts, seq)"
-SESSIONS = f"""fl AS (SELECT *, CASE WHEN percent + 0.5::DOUBLE < lag(percent) {_W} THEN 1 ELSE 0 END AS fell FROM ev),
+SESSIONS = f"""sn AS (SELECT *, sum(CASE WHEN from_cache THEN 1 ELSE 0 END) {_W} AS cached FROM ev), lk AS (SELECT * FROM sn WHERE state IN ('queued', 'running', 'cancelling') AND NOT from_cache),
+fl AS (SELECT *, CASE WHEN percent + 0.5::DOUBLE < lag(percent) {_W} OR cached <> lag(cached) {_W} THEN 1 ELSE 0 END AS fell FROM lk),
 se AS (SELECT job_id, ts, seq, state, percent, (sum(fell) {_W})::INT AS session FROM fl),
 lg AS (SELECT *, lag(percent) OVER (PARTITION BY job_id, session ORDER BY ts, seq) AS before FROM se),
 ac AS (SELECT job_id, ts, seq, state, percent, session FROM lg WHERE before IS NULL OR before <> percent)"""
@@ -336,12 +337,12 @@ def distinct_until_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EV}, {SESSIONS} SELECT job_id, seq, session FROM se")
 def progress_reset_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.sessions(v.job_events(spark, sf_dir)).select("job_id", "seq", "session")
+    return jobs.sessions(v.timed_events(spark, sf_dir)).select("job_id", "seq", "session")
 
 
 @query(f"WITH {EV}, {SESSIONS}, {RATES} SELECT job_id, seq, percent, gap_ms, rate FROM rt")
 def progress_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.rates(v.job_events(spark, sf_dir)).select("job_id", "seq", "percent", "gap_ms", "rate")
+    return jobs.rates(v.timed_events(spark, sf_dir)).select("job_id", "seq", "percent", "gap_ms", "rate")
 
 
 @query(
@@ -351,23 +352,23 @@ def progress_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT job_id, session, max_by(smoothed, k) AS smoothed FROM ema GROUP BY job_id, session"
 )
 def smoothed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.smoothed_rates(v.job_events(spark, sf_dir))
+    return jobs.smoothed_rates(v.timed_events(spark, sf_dir))
 
 
 @query(
-    f"WITH {EV}, nb AS (SELECT job_id, seq, ts, list({{'ts': ts, 'seq': seq}}) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS newest FROM ev), "
+    f"WITH {EV}, {SESSIONS}, nb AS (SELECT job_id, seq, ts, list({{'ts': ts, 'seq': seq}}) OVER (PARTITION BY job_id, session ORDER BY ts, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS newest FROM ac), "
     "he AS (SELECT *, list_filter(newest, lambda x: date_diff('millisecond', x.ts, ts) <= 20000 OR x.seq = seq) AS held FROM nb) "
     "SELECT job_id, seq, len(held)::BIGINT AS samples, array_to_string(list_transform(held, lambda x: x.seq), ',') AS held FROM he"
 )
 def rolling_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample buffer after each snapshot: how many it holds, and which."""
+    """The sample buffer after each accepted snapshot: how many it holds, and which."""
     held = F.array_join(F.transform("held", lambda x: x["seq"].cast("string")), ",")
-    return jobs.rolling_samples(v.job_events(spark, sf_dir)).select("job_id", "seq", F.col("samples").cast("long").alias("samples"), held.alias("held"))
+    return jobs.rolling_samples(v.timed_events(spark, sf_dir)).select("job_id", "seq", F.col("samples").cast("long").alias("samples"), held.alias("held"))
 
 
 @query(f"WITH {EV}, {SESSIONS}, {OVERALL} SELECT job_id, seq, percent, measured, since_first_ms, overall FROM ov")
 def overall_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.overall_rates(v.job_events(spark, sf_dir)).select("job_id", "seq", "percent", "measured", "since_first_ms", "overall")
+    return jobs.overall_rates(v.timed_events(spark, sf_dir)).select("job_id", "seq", "percent", "measured", "since_first_ms", "overall")
 
 
 _EST = f"""{EV}, {SESSIONS}, {OVERALL}, es AS (SELECT job_id, seq, state, percent, measured, since_first_ms, overall, seq % 16000 AS stale_ms,
@@ -387,7 +388,7 @@ co AS (SELECT *, CASE WHEN remaining IS NULL OR NOT coalesce(measured >= 2 AND s
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with a staleness and a recent rate, and everything that follows from them."""
     c = F.col
-    base = jobs.overall_rates(v.job_events(spark, sf_dir)).withColumns(
+    base = jobs.overall_rates(v.timed_events(spark, sf_dir)).withColumns(
         {"stale_ms": c("seq") % 16000, "recent": F.when(c("seq") % 3 != 0, (c("seq") % 97).cast("double") / 100000.0)}
     )
     rated = base.withColumn("rate", tm.blended_rate(c("overall"), c("recent"), tm.recent_weight(c("stale_ms"), c("recent"))))
@@ -451,7 +452,7 @@ def display_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stall_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a job has been without progress for 12 s when its next snapshot comes."""
-    every = jobs.sessions(v.job_events(spark, sf_dir))
+    every = jobs.sessions(v.timed_events(spark, sf_dir))
     inside = Window.partitionBy("job_id", "session").orderBy("ts", "seq")
     order = Window.partitionBy("job_id").orderBy("ts", "seq")
     before = F.lag("percent").over(inside)
@@ -461,6 +462,15 @@ def stall_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quiet.select("job_id", "seq", (F.col("quiet_ms") >= tm.STALL_MS).alias("stalled"))
 
 
+@query(
+    f"WITH {EV}, {SESSIONS}, mk AS (SELECT job_id, ts, seq, percent::DOUBLE AS percent FROM ac UNION ALL SELECT job_id, ts, seq, NULL FROM ev WHERE from_cache OR state IN ('completed', 'failed', 'cancelled')), "
+    f"qu AS (SELECT *, date_diff('millisecond', ts, lead(ts) {_W}) AS quiet FROM mk) SELECT job_id, seq, percent, date_diff('millisecond', TIMESTAMP '1970-01-01', ts) + 12000 AS stalled_ms FROM qu WHERE percent IS NOT NULL AND (quiet IS NULL OR quiet >= 12000)"
+)
+def stall_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When jobs had stood still for 12 s, whether or not another snapshot came; the batch form of the stream with timers."""
+    return jobs.stalls(v.timed_events(spark, sf_dir))
+
+
 _REQUESTED = "rq AS (SELECT o_orderkey AS place, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS job_id FROM orders)"
 
 
@@ -533,11 +543,14 @@ def job_study_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("job_id", "state", "display_name", (F.coalesce("known", F.lit(False)) & (F.col("job_id") % 2 == 0)).alias("from_cache"))
 
 
-@query(f"WITH {EV} SELECT job_id, time_bucket(INTERVAL 1 HOUR, ts) AS hour, max_by(percent, seq) AS percent FROM ev GROUP BY ALL")
+@query(
+    f"WITH {EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) {_W} <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev), b AS (SELECT *, sum(fresh) {_W} AS burst FROM g) "
+    "SELECT job_id, max(seq) AS seq, max_by(state, seq) AS state, max_by(percent, seq) AS percent, min(ts) AS began, max(ts) AS ended, count(*) AS updates FROM b GROUP BY job_id, burst"
+)
 def coalesced_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last update of each job and hour: last one wins."""
-    rows = v.job_events(spark, sf_dir)
-    return rows.groupBy("job_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour")).agg(F.max_by("percent", "seq").alias("percent"))
+    """The last update of each burst of a job's updates; six quiet hours end a burst."""
+    found = jobs.coalesced(v.job_events(spark, sf_dir), "6 hours")
+    return found.select("job_id", "update.seq", "update.state", "update.percent", "began", "ended", "updates")
 
 
 @query(f"WITH {EV} SELECT state, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM ev GROUP BY ALL")
@@ -653,24 +666,45 @@ def artifact_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.evict_oldest(files, 1_000_000, groups=16)
 
 
+_STORE = """ar AS (SELECT c_custkey AS c, 'p' || c_custkey AS path, CASE WHEN c_custkey % 7 = 0 THEN -1 WHEN c_custkey % 3 = 0 THEN 150000 ELSE 9000000000 END AS gone FROM customer),
+pt AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 5 = 0 THEN 'processStudy' ELSE 'renderStudy' END AS kind, (c_custkey % 40 * 1000)::BIGINT AS at_ms FROM customer WHERE c_custkey % 4 > 0
+  UNION ALL SELECT c_custkey, 'renderStudy', 200000 FROM customer WHERE c_custkey % 6 = 0),
+ak AS (SELECT o_custkey AS c, o_orderkey AS job_id, CASE WHEN o_orderkey % 9 = 0 THEN 'processStudy' ELSE 'renderStudy' END AS kind, (o_orderkey % 1000 * 400)::BIGINT AS at_ms FROM orders),
+al AS (SELECT c, at_ms, 0 AS turn, NULL::BIGINT AS job_id, kind FROM pt UNION ALL SELECT c, at_ms, 1, job_id, kind FROM ak),
+rw AS (SELECT al.*, coalesce(gone, -1) AS gone, row_number() OVER (PARTITION BY al.c ORDER BY at_ms, turn, job_id) AS k FROM al LEFT JOIN ar USING (c)),
+ho AS (SELECT c, 0::BIGINT AS k, NULL::BIGINT AS job_id, NULL::VARCHAR AS asked, NULL::VARCHAR AS outcome, NULL::VARCHAR AS held, 0::BIGINT AS looked FROM (SELECT DISTINCT c FROM rw) UNION ALL
+  SELECT c, k, job_id, asked, outcome, CASE WHEN turn = 0 THEN asked WHEN outcome = 'hit' THEN held END, CASE WHEN turn = 0 OR due THEN at_ms ELSE looked END
+  FROM (SELECT *, CASE WHEN turn = 0 THEN NULL WHEN held IS NULL THEN 'miss' WHEN due AND gone <= at_ms THEN 'stale' WHEN held <> asked THEN 'kindMismatch' ELSE 'hit' END AS outcome
+    FROM (SELECT rw.c, rw.k, rw.job_id, rw.kind AS asked, rw.turn, rw.at_ms, rw.gone, ho.held, ho.looked, rw.at_ms - ho.looked >= 60000 AS due FROM ho JOIN rw ON rw.c = ho.c AND rw.k = ho.k + 1)))"""
+
+
+def _result_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders ask for results that customers' jobs have stored; some artifacts go, some never were."""
+    c = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    named = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
+    first = c.filter("k % 4 > 0").withColumn("kind", F.when(F.col("k") % 5 == 0, "processStudy").otherwise("renderStudy")).withColumn("at_ms", F.col("k") % 40 * 1000)
+    again = c.filter("k % 6 = 0").withColumn("kind", F.lit("renderStudy")).withColumn("at_ms", F.lit(200_000).cast("long"))
+    stored = first.union(again).select(named("f", "k").alias("fingerprint"), "kind", named("p", "k").alias("path"), "at_ms")
+    there = c.filter("k % 7 <> 0").select(named("p", "k").alias("path"), F.when(F.col("k") % 3 == 0, 150_000).cast("long").alias("gone_ms"))
+    asked = v.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), named("f", "o_custkey").alias("fingerprint"), F.when(F.col("o_orderkey") % 9 == 0, "processStudy").otherwise("renderStudy").alias("kind"), (F.col("o_orderkey") % 1000 * 400).alias("at_ms")
+    )
+    return stores.result_store(asked, stored, there)
+
+
 @query(
-    "WITH rs AS (SELECT 'f' || c_custkey AS fingerprint, CASE WHEN c_custkey % 5 = 0 THEN 'processStudy' ELSE 'renderStudy' END AS held, 'p' || c_custkey AS path, (c_custkey % 40 * 100)::BIGINT AS checked_ms FROM customer WHERE c_custkey % 4 > 0), "
-    "rq AS (SELECT o_orderkey AS job_id, 'f' || o_custkey AS fingerprint FROM orders), "
-    "j AS (SELECT rq.*, CASE WHEN held IS NULL THEN 'miss' WHEN 4000 - checked_ms >= 2000 AND substr(path, 2)::BIGINT % 3 = 0 THEN 'stale' WHEN held <> 'renderStudy' THEN 'kindMismatch' ELSE 'hit' END AS outcome, rs.path AS held_path FROM rq LEFT JOIN rs USING (fingerprint)) "
-    "SELECT job_id, outcome, CASE WHEN outcome = 'hit' THEN 'completed' END AS state, CASE WHEN outcome = 'hit' THEN 100 END AS percent, outcome = 'hit' AS from_cache, CASE WHEN outcome = 'hit' THEN held_path END AS path FROM j"
+    f"WITH RECURSIVE {_STORE} SELECT job_id, outcome, CASE WHEN outcome = 'hit' THEN 'completed' END AS state, CASE WHEN outcome = 'hit' THEN 'cacheHit' END AS stage, "
+    "CASE WHEN outcome = 'hit' THEN 100 END AS percent, outcome = 'hit' AS from_cache, CASE WHEN outcome = 'hit' THEN 'p' || c END AS path FROM ho WHERE outcome IS NOT NULL"
 )
 def result_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Render requests against stored results: hits become completed snapshots of new jobs."""
-    c = v.table(spark, sf_dir, "customer").select("c_custkey")
-    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
-    stored = c.filter("c_custkey % 4 > 0").select(
-        F.concat(F.lit("f"), text).alias("fingerprint"), F.when(k % 5 == 0, "processStudy").otherwise("renderStudy").alias("kind"), F.concat(F.lit("p"), text).alias("path"), (k % 40 * 100).alias("checked_ms")
-    )
-    there = c.filter("c_custkey % 3 <> 0").select(F.concat(F.lit("p"), text).alias("path"))
-    asked = v.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("job_id"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("fingerprint"), F.lit("renderStudy").alias("kind"), F.lit(4000).cast("long").alias("at_ms")
-    )
-    return stores.result_hits(asked, stored, there).select("job_id", "outcome", "state", "percent", "from_cache", "path")
+    """Requests against stored results: hits become completed snapshots of new jobs."""
+    return _result_store(spark, sf_dir)[0].select("job_id", "outcome", "state", "stage", "percent", "from_cache", "path")
+
+
+@query(f"WITH RECURSIVE {_STORE} SELECT 'f' || c AS fingerprint, max_by(held, k) AS kind, 'p' || c AS path, max_by(looked, k) AS checked_ms FROM (SELECT *, coalesce(held, '') AS h FROM ho) GROUP BY c HAVING max_by(h, k) <> ''")
+def result_store_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store of results holds after all requests."""
+    return _result_store(spark, sf_dir)[1]
 
 
 @query(

@@ -66,6 +66,11 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``job_events``, one in 29 of them from a cache."""
+    return job_events(spark, sf_dir).withColumn("from_cache", F.col("seq") % 29 == 0)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` rows as line annotations; one in three images has no scale."""
     rows = table(spark, sf_dir, "lineitem")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rayloom.functions import timing as tm
+from rayloom.operators import jobs as batch
 
 SNAPSHOT = (
     "job_id long, seq long, ts timestamp, state string, percent int, stage string, message string, fingerprint string, from_cache boolean, result string, error string"
@@ -23,9 +24,10 @@ SNAPSHOT = (
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_feed(spark: SparkSession, path: str, schema: str = SNAPSHOT) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, schema: str = SNAPSHOT, files_per_batch: int | None = None) -> DataFrame:
     """Snapshots from text files of ``data: {...}`` lines or bare JSON lines; lines that don't parse are dropped."""
-    lines = spark.readStream.text(path)
+    reader = spark.readStream
+    lines = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).text(path)
     body = F.regexp_replace("value", "^data: ", "")
     parsed = F.from_json(body, schema)
     return lines.select(parsed.alias("s")).filter("s.job_id is not null").select("s.*")
@@ -59,6 +61,8 @@ class _JobProcessor(StatefulProcessor):
                 out.append((key[0], row.seq, *shown))
         if state is not None:
             self.held.update(tuple(state))
+        elif self.held.exists():
+            self.held.clear()
         if out:
             yield pd.DataFrame(out, columns=["job_id", "seq", *self.OUT])
 
@@ -83,7 +87,7 @@ class ChangesOnly(_JobProcessor):
 
 
 class StateMachine(_JobProcessor):
-    """Applies the job's requests (``state`` holds the action) and shows where it stands after each."""
+    """Applies the job's requests (``state`` holds the action) and shows where it stands after each; progress without a percent moves nothing."""
 
     STATE, OUT = "state string, percent int", ("state", "percent")
 
@@ -93,7 +97,7 @@ class StateMachine(_JobProcessor):
         if at in tm.TERMINAL:
             return (at, percent), (at, percent)
         if at in ("queued", "running") and action in ("progress", "complete"):
-            percent = 100 if action == "complete" else int(row.percent)
+            percent = 100 if action == "complete" else percent if pd.isna(row.percent) else int(row.percent)
         if action == "cancel":
             at = "cancelled" if at == "queued" else "cancelling"
         elif action in ("complete", "fail"):
@@ -103,17 +107,35 @@ class StateMachine(_JobProcessor):
         return (at, percent), (at, percent)
 
 
+def _cached(row) -> bool:
+    return not pd.isna(row.from_cache) and bool(row.from_cache)
+
+
+def _clamped(row) -> float:
+    return 0.0 if pd.isna(row.percent) else float(min(100, max(0, row.percent)))
+
+
+def _millis(row) -> int:
+    return row.ts.value // 1_000_000
+
+
 class Timing(_JobProcessor):
     """Progress timing per job: accepted samples, smoothed rate, resets.
 
-    ``stalled`` says whether the last progress was 12 s ago or more when the row came.
+    A cached snapshot clears what is held and shows nothing; a terminal one shows
+    what is held and moves nothing. ``stalled`` says whether the last progress was
+    12 s ago or more when the row came.
     """
 
     STATE = "last_ms long, last_percent double, first_ms long, first_percent double, measured int, rate double, moved_ms long"
     OUT = ("percent", "measured", "rate", "stalled")
 
     def step(self, state, row):
-        ms, percent = int(row.ts.timestamp() * 1000), float(min(100, max(0, row.percent)))
+        if _cached(row):
+            return None, None
+        ms, percent = _millis(row), _clamped(row)
+        if row.state not in tm.PENDING:
+            return state, None if state is None else (state[1], int(state[4]), None if state[5] < 0 else float(state[5]), False)
         if state is None or percent + tm.LEAST_STEP < state[1]:
             first = (ms, percent) if percent > 0 else (-1, -1.0)
             state = (ms, percent, *first, int(percent > 0), -1.0, ms)
@@ -140,7 +162,118 @@ def state_machine(requests: DataFrame) -> DataFrame:
 
 
 def timing(snapshots: DataFrame) -> DataFrame:
-    return _stateful(snapshots, Timing(), "percent double, measured int, rate double, stalled boolean")
+    return _stateful(snapshots, Timing(), "percent double, measured int, rate double, stalled boolean", ("from_cache",))
+
+
+class Stalls(StatefulProcessor):
+    """A row when a job has stood still for 12 s, by a timer that each progress sets anew.
+
+    The timer goes off without another snapshot, once the watermark has passed it.
+    Terminal and cached snapshots take it away. Where a later snapshot of the same
+    batch shows that the time had passed, the row comes at once, so that batches may
+    be cut anywhere.
+    """
+
+    OUT = ["job_id", "seq", "percent", "stalled_ms"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "seq long, percent double, timer_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self.held.get() if self.held.exists() else None
+        running = timer = state[2] if state is not None else -1
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
+            ms, pending, cached = _millis(row), row.state in tm.PENDING, _cached(row)
+            moved = pending and not cached and (state is None or abs(state[1] - _clamped(row)) >= tm.LEAST_STEP)
+            if (moved or not pending or cached) and timer >= 0:
+                if ms >= timer:
+                    out.append((key[0], state[0], state[1], timer))
+                timer = -1
+            if cached:
+                state = None
+            elif moved:
+                timer = ms + tm.STALL_MS
+                state = (row.seq, _clamped(row), timer)
+        if running >= 0 and running != timer:
+            self.handle.deleteTimer(running)
+        if timer >= 0 and running != timer:
+            self.handle.registerTimer(timer)
+        if state is not None:
+            self.held.update((int(state[0]), float(state[1]), int(timer)))
+        elif self.held.exists():
+            self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.held.get() if self.held.exists() else None
+        if state is not None and state[2] == expiredTimerInfo.getExpiryTimeInMs():
+            self.held.update((state[0], state[1], -1))
+            yield pd.DataFrame([(key[0], *state)], columns=self.OUT)
+
+    def close(self) -> None:
+        pass
+
+
+def stalls(snapshots: DataFrame, late: str = "5 seconds") -> DataFrame:
+    """(job_id, seq, percent, stalled_ms) as ``operators.jobs.stalls``, as time passes; ``late`` is how long snapshots may be late."""
+    keyed = snapshots.withWatermark("ts", late).select("job_id", "seq", "ts", "state", "percent", "from_cache").groupBy("job_id")
+    return keyed.transformWithStateInPandas(Stalls(), "job_id long, seq long, percent double, stalled_ms long", outputMode="Append", timeMode="EventTime")
+
+
+class InFlight(StatefulProcessor):
+    """Which job a start runs as: that of its fingerprint while it is running, else its own.
+
+    One job id is held per fingerprint, until the end of that job comes, or for
+    ``ttl_ms`` of processing time, so that a job whose end is lost doesn't block its
+    fingerprint for ever.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.running = handle.getValueState("running", "job_id long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = held = self.running.get()[0] if self.running.exists() else None
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["ts", "start", "seq"], kind="stable").itertuples(index=False):
+            if not row.start:
+                held = None if held == row.job_id else held
+            elif key[0] is None or pd.isna(key[0]):
+                out.append((None, row.job_id, row.job_id))
+            else:
+                held = row.job_id if held is None else held
+                out.append((key[0], row.job_id, held))
+        if held is not None and held != before:
+            self.running.update((int(held),))
+        elif held is None and before is not None:
+            self.running.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["fingerprint", "job_id", "ran_as"])
+
+    def close(self) -> None:
+        pass
+
+
+def in_flight(starts_and_ends: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(fingerprint, job_id, ran_as) for every start of a feed (fingerprint, job_id, ts, seq, start boolean).
+
+    A start gets the id of the job of its fingerprint that runs, as in
+    ``operators.jobs.deduplicated_starts``; ends of other jobs change nothing, and at one moment
+    ends come before starts. A null fingerprint is like no other.
+    """
+    keyed = starts_and_ends.select("fingerprint", "job_id", "ts", "seq", "start").groupBy("fingerprint")
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return keyed.transformWithStateInPandas(InFlight(ttl_ms), "fingerprint string, job_id long, ran_as long", outputMode="Append", timeMode=mode)
+
+
+def coalesced(snapshots: DataFrame, quiet: str = "1 second", late: str = "5 seconds") -> DataFrame:
+    """The last snapshot of each burst, once ``quiet`` has passed without another; snapshots behind the watermark are dropped."""
+    return batch.coalesced(snapshots.withWatermark("ts", late), quiet)
 
 
 def _stateful(snapshots: DataFrame, processor: StatefulProcessor, out: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -155,8 +288,8 @@ def fan_out(snapshots: DataFrame, sinks: list[str], checkpoint: str):
     that is run again after a failure is not there twice.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
+    def write(rows: DataFrame, number: int) -> None:
+        held = rows.persist()
         for sink in sinks:
             held.write.mode("overwrite").json(f"{sink}/batch={number}")
         held.unpersist()

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -107,6 +108,176 @@ def test_timing_stream_equals_batch_rates(spark, feed):
     assert {j: r.rate for j, r in got.items() if r.rate is not None} == pytest.approx(want)
 
 
+def replay_timing(rows):
+    """The rule for one snapshot after the other: samples of each job, trimmed, after every accepted one. rows: (job, seq, ms, state, percent, cached)."""
+    held, out = {}, {}
+    for job, seq, ms, state, percent, cached in rows:
+        percent = min(100, max(0, percent or 0))
+        if cached:
+            held.pop(job, None)
+        elif state in ("queued", "running", "cancelling"):
+            samples = held.get(job, [])
+            if samples and percent + 0.5 < samples[-1][1]:
+                samples = []
+            if samples and abs(samples[-1][1] - percent) < 0.5:
+                continue
+            samples = [s for s in samples if ms - s[0] <= 20_000] + [(ms, percent, seq)]
+            held[job] = samples[-8:]
+            out[job, seq] = [s[2] for s in held[job]]
+    return out
+
+
+def timed_rows(n, seed):
+    rng = random.Random(seed)
+    t, rows = 0, []
+    for i in range(n):
+        t += rng.choice([0, 1, 1, 2, 9, 14])
+        rows.append((rng.randint(1, 3), i, t * 1000, rng.choice(["queued", "running", "running", "running", "cancelling", "completed", "failed"]), rng.choice([None, 0, 5, 5, 6, 20, 40, 41, 150]), rng.random() < 0.06))
+    return rows
+
+
+def as_snapshots(spark, rows):
+    data = [(j, T0 + timedelta(milliseconds=ms), s, st, p, c) for j, s, ms, st, p, c in rows]
+    return spark.createDataFrame(data, "job_id long, ts timestamp_ntz, seq long, state string, percent int, from_cache boolean")
+
+
+@pytest.fixture
+def timed_feed(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+
+    def make(rows, files):
+        import json
+
+        folder = tmp_path / "timed"
+        folder.mkdir()
+        for i in range(files):
+            own = rows[len(rows) * i // files : len(rows) * (i + 1) // files]
+            lines = [json.dumps({"job_id": j, "seq": s, "ts": (T0 + timedelta(milliseconds=ms)).isoformat(), "state": st, "percent": p, "from_cache": c}) for j, s, ms, st, p, c in own]
+            (folder / f"{i:03}.json").write_text("\n".join(lines))
+            os.utime(folder / f"{i:03}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+        return streams.read_feed(spark, str(folder), files_per_batch=1)
+
+    return make
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terminal_and_cached_snapshots_add_no_samples(spark, seed):
+    rows = timed_rows(150, seed)
+    got = {(r.job_id, r.seq): [h.seq for h in r.held] for r in jobs.rolling_samples(as_snapshots(spark, rows)).collect()}
+    assert got == replay_timing(rows) and any(len(x) == 8 for x in replay_timing([(1, i, i, "running", i, False) for i in range(20)]).values())
+
+
+def test_timing_stream_ignores_terminal_and_cached_snapshots(spark, timed_feed):
+    rows = timed_rows(120, 5)
+    got = {(r.job_id, r.seq): r.measured for r in drain(streams.timing(timed_feed(rows, 3)), "timing2", spark)}
+    batch = {(r.job_id, r.seq): r.measured for r in jobs.overall_rates(as_snapshots(spark, rows)).collect()}
+    assert batch and all(got[k] == n for k, n in batch.items())
+    assert all((r[0], r[1]) not in got for r in rows if r[5])
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_stalls_by_timer_equal_the_batch_form(spark, timed_feed, files):
+    rows = timed_rows(80, 7) + [(9, 900, 400_000, "running", 10, False), (8, 901, 400_000, "running", 10, False), (8, 902, 405_000, "completed", 100, False), (7, 903, 460_000, "running", 3, False)]
+    want = sorted(tuple(r) for r in jobs.stalls(as_snapshots(spark, rows)).collect())
+    got = sorted(tuple(r) for r in drain(streams.stalls(timed_feed(rows, files), "1 second"), f"stalls{files}", spark))
+    # the last job's time has not come: the watermark stands at its only snapshot
+    assert got == [r for r in want if r[1] != 903] and len(want) - len(got) == 1
+    base = int((T0 - datetime(1970, 1, 1)).total_seconds() * 1000)
+    assert (9, 900, 10.0, base + 412_000) in got and not any(r[0] == 8 for r in got)
+
+
+def test_progress_without_a_percent_moves_nothing(spark, timed_feed):
+    rows = [(1, 0, 0, "start", None, None), (1, 1, 1, "progress", 30, None), (1, 2, 2, "progress", None, None), (2, 3, 3, "progress", None, None)]
+    got = {r.seq: (r.state, r.percent) for r in drain(streams.state_machine(timed_feed(rows, 2)), "nulls", spark)}
+    assert got == {0: ("running", 0), 1: ("running", 30), 2: ("running", 30), 3: ("running", 0)}
+
+
+def test_in_flight_stream_equals_the_batch_form_also_after_a_restart(spark, tmp_path):
+    import json
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    rng, folder, ck = random.Random(4), tmp_path / "starts", str(tmp_path / "ck")
+    folder.mkdir()
+    at = lambda m: T0 + timedelta(minutes=m)
+    starts = [(rng.choice(["f", "f", "g", "h", None]), i, at(i), i, at(i + rng.randint(1, 9))) for i in range(60)]
+    want = {r.job_id: r.ran_as for r in jobs.deduplicated_starts(spark.createDataFrame(starts, "fingerprint string, job_id long, ts timestamp_ntz, seq long, end_ts timestamp_ntz")).collect()}
+    feed = sorted([(f, j, t, s, True) for f, j, t, s, _ in starts] + [(f, j, e, s, False) for f, j, _, s, e in starts], key=lambda r: (r[2], r[4], r[3]))
+    got = {}
+    for part in range(3):  # a query of its own each, from the checkpoint of the one before
+        own = feed[len(feed) * part // 3 : len(feed) * (part + 1) // 3]
+        (folder / f"{part}.json").write_text("\n".join(json.dumps({"fingerprint": f, "job_id": j, "ts": t.isoformat(), "seq": s, "start": b}) for f, j, t, s, b in own))
+        rows = spark.readStream.schema("fingerprint string, job_id long, ts timestamp, seq long, start boolean").json(str(folder))
+        query = streams.in_flight(rows).writeStream.format("json").option("checkpointLocation", ck).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination(120)
+    for r in spark.read.schema("fingerprint string, job_id long, ran_as long").json(str(tmp_path / "out")).collect():
+        assert r.job_id not in got
+        got[r.job_id] = r.ran_as
+    assert got == want and len(set(want.values())) < 50
+
+
+def test_bursts_as_stream_and_batch(spark, timed_feed):
+    rows = [(1, i, ms, "running", i, False) for i, ms in enumerate([0, 400, 900, 1900, 5000, 5001, 5999, 7001])] + [(2, 20, 8000, "running", 1, False), (3, 21, 60_000, "queued", 0, False), (1, 22, 100, "running", 99, False)]
+    plain = lambda found: sorted((r.job_id, r.update.seq, r.updates) for r in found)
+    # an update a second after the last one still belongs to the burst
+    assert plain(jobs.coalesced(as_snapshots(spark, rows[:-1]), "1 second").collect()) == [(1, 3, 4), (1, 6, 3), (1, 7, 1), (2, 20, 1), (3, 21, 1)]
+    # the last row comes behind the watermark; the burst at the watermark is still open
+    got = drain(streams.coalesced(timed_feed(rows, len(rows)), "1 second", "2 seconds"), "bursts", spark)
+    assert plain(got) == [(1, 3, 4), (1, 6, 3), (1, 7, 1), (2, 20, 1)]
+
+
+def replay_store(puts, asks, went, recheck=60_000):
+    held, out = {}, {}
+    for at, turn, job, f, kind, path in sorted([(p[3], 0, 0, *p[:3]) for p in puts] + [(a[3], 1, a[0], a[1], a[2], None) for a in asks], key=lambda r: r[:3]):
+        if f is None:
+            if turn:
+                out[job] = ("miss", None)
+        elif turn == 0:
+            held[f] = [kind, path, at]
+        elif f not in held:
+            out[job] = ("miss", None)
+        else:
+            own = held[f]
+            if at - own[2] >= recheck:
+                if went.get(own[1], -1) <= at:
+                    del held[f]
+                    out[job] = ("stale", None)
+                    continue
+                own[2] = at
+            if own[0] != kind:
+                del held[f]
+                out[job] = ("kindMismatch", None)
+            else:
+                out[job] = ("hit", own[1])
+    return out, sorted((f, *v) for f, v in held.items())
+
+
+def test_result_store_against_a_replay(spark):
+    rng = random.Random(11)
+    went = {f"p{i}": rng.choice([10**9, 10**9, 400_000, 200_000]) for i in range(8)}
+    puts = [(rng.choice(["a", "b", "c", None]), rng.choice(["r", "r", "s"]), f"p{rng.randint(0, 9)}", rng.randint(0, 500) * 1000) for _ in range(25)]
+    puts = list({(p[0], p[3]): p for p in puts}.values())
+    asks = [(i, rng.choice(["a", "b", "c", "d", None]), rng.choice(["r", "r", "r", "s"]), rng.randint(0, 900) * 1000) for i in range(150)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found, left = stores.result_store(
+        frame(asks, "job_id long, fingerprint string, kind string, at_ms long"), frame(puts, "fingerprint string, kind string, path string, at_ms long"),
+        frame([(p, None if g == 10**9 else g) for p, g in went.items()], "path string, gone_ms long"),
+    )
+    want, kept = replay_store(puts, asks, went)
+    rows = found.collect()
+    assert {r.job_id: (r.outcome, r.path) for r in rows} == want and len(rows) == 150
+    assert sorted(tuple(r) for r in left.collect()) == kept and {o for o, _ in want.values()} == {"hit", "miss", "stale", "kindMismatch"}
+    assert all((r.state, r.stage, r.percent, r.from_cache) == (("completed", "cacheHit", 100, True) if r.outcome == "hit" else (None, None, None, False)) for r in rows)
+
+
+def test_null_fingerprints_and_sizes(spark):
+    rows = [(None, 1, T0, 1, T0 + timedelta(minutes=9)), (None, 2, T0 + timedelta(minutes=1), 2, None)]
+    starts = spark.createDataFrame(rows, "fingerprint string, job_id long, ts timestamp_ntz, seq long, end_ts timestamp_ntz")
+    assert {r.job_id: r.ran_as for r in jobs.deduplicated_starts(starts).collect()} == {1: 1, 2: 2}
+    used = spark.createDataFrame([("a", T0, 1, 5), ("b", T0, 2, None)], "key string, ts timestamp_ntz, seq long, size long")
+    for limits in ({"max_bytes": 5}, {"max_bytes": 5, "capacity": 2}):
+        assert sorted(tuple(r) for r in stores.lru(used, **limits).select("key", "size", "used_bytes").collect()) == [("a", 5, 5), ("b", 0, 0)]
+
+
 def test_windowed_and_deduplicated_streams(spark, feed):
     rows = some_rows(40)
     counted = streams.state_counts(feed(rows), "1 minute", "1 minute")

@@ -32,7 +32,7 @@ def test_headers_and_pixels_equal_the_functions(spark, folder):
     assert plain(headers) == plain(studies.read_metadata(spark, folder, strict=False)) and headers.count() == 4
     pixels = study_source.read(spark, f"file://{folder}", pixels=True, glob="*.dcm")
     want = studies.read_pixels(spark, folder, glob="*.dcm")
-    assert pixels.schema == want.schema and sorted(map(str, (tuple(r)[1:11] for r in pixels.collect()))) == sorted(map(str, (tuple(r)[1:11] for r in want.collect())))
+    assert pixels.schema == want.schema and sorted(map(str, (tuple(r)[1:9] for r in pixels.collect()))) == sorted(map(str, (tuple(r)[1:9] for r in want.collect())))
     assert images.render(studies.as_images(pixels)).count() == 3
     narrow = spark.read.format("study").schema("path string, rows int").option("glob", "*.dcm").load(folder)
     assert {r.rows for r in narrow.collect()} == {2}
