@@ -1,8 +1,7 @@
-"""Checks of JSON columns against a contract: known fields, required fields, types, and whole schemas."""
+"""Checks of JSON columns against a flat contract: known fields, required fields, types. Whole schemas: ``operators.contracts``."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -24,89 +23,3 @@ def contract_errors(payload: Column, fields: Mapping[str, str], required: Sequen
     wrong = [F.when(value(f).isNotNull() & ~value(f).rlike(_KINDS[kind]), f"{f} is not of type {kind}") for f, kind in fields.items()]
     found = F.filter(F.concat(unknown, F.array(*missing, *wrong, F.lit(None).cast("string"))), lambda e: e.isNotNull())
     return F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(found)
-
-
-def schema_errors(payload: Column, schema: Mapping, definition: str) -> Column:
-    """Array of what is wrong with a JSON text against ``schema["$defs"][definition]``, empty if nothing.
-
-    Knows $ref, const, enum, oneOf, anyOf, lists of types, arrays, objects with
-    required and additional properties, and minimum and maximum. The schema is
-    unrolled into one expression over a variant; it may not refer to itself.
-    """
-    value = F.try_parse_json(payload)
-    found = _node_errors(schema, {"$ref": f"#/$defs/{definition}"}, value, F.lit(definition))
-    return F.when(value.isNull(), F.array(F.lit(f"{definition}: not JSON"))).otherwise(found)
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _error(wrong: Column, *message: Column | str) -> Column:
-    text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
-    return F.when(wrong, F.array(text)).otherwise(_none())
-
-
-def _is(kind: str, value: Column) -> Column:
-    """Whether a variant is of a JSON type."""
-    own = F.schema_of_variant(value)
-    numeric = own.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    number = F.try_variant_get(value, "$", "double")
-    return {
-        "string": own == "STRING", "boolean": own == "BOOLEAN", "null": own == "VOID", "object": own.startswith("OBJECT"), "array": own.startswith("ARRAY"),
-        "number": numeric, "integer": numeric & F.coalesce(number == F.floor(number), F.lit(False)),
-    }[kind]
-
-
-def _same(value: Column, wanted) -> Column:
-    """Whether a variant is the constant ``wanted``."""
-    if wanted is None:
-        return _is("null", value)
-    kind, read = ("boolean", "boolean") if isinstance(wanted, bool) else ("string", "string") if isinstance(wanted, str) else ("number", "double")
-    return _is(kind, value) & F.coalesce(F.try_variant_get(value, "$", read) == F.lit(wanted), F.lit(False))
-
-
-def _node_errors(schema: Mapping, node: Mapping, value: Column, at: Column) -> Column:
-    deeper = lambda n, x, where: _node_errors(schema, n, x, where)
-    shown = F.to_json(value)
-    if "$ref" in node:
-        return deeper(schema["$defs"][node["$ref"].rpartition("/")[2]], value, at)
-    if "const" in node:
-        return _error(~_same(value, node["const"]), at, f": expected {json.dumps(node['const'])}, received ", shown)
-    if "enum" in node:
-        known = F.lit(False)
-        for wanted in node["enum"]:
-            known = known | _same(value, wanted)
-        return _error(~known, at, f": expected one of {', '.join(map(json.dumps, node['enum']))}, received ", shown)
-    if "oneOf" in node:
-        fits = sum((F.size(deeper(n, value, at)) == 0).cast("int") for n in node["oneOf"])
-        return F.when(fits == 1, _none()).when(fits > 1, F.array(F.concat(at, F.lit(": value matches multiple oneOf branches")))).otherwise(
-            F.array(F.concat(at, F.lit(": value does not match any oneOf branch")))
-        )
-    if "anyOf" in node or isinstance(node.get("type"), list):
-        fits = F.lit(False)
-        for branch in node.get("anyOf") or [{"type": t} for t in node["type"]]:
-            fits = fits | (F.size(deeper(branch, value, at)) == 0)
-        return _error(~fits, at, f": value does not match any allowed {'shape' if 'anyOf' in node else 'type'}")
-    kind = node.get("type") or ("object" if "properties" in node else None)
-    if kind is None:
-        return _none()
-    wrong = _error(~_is(kind, value), at, f": expected {kind}, received ", shown)
-    inner = _none()
-    if kind == "array" and node.get("items"):
-        items = F.try_variant_get(value, "$", "array<variant>")
-        inner = F.flatten(F.transform(items, lambda x, i: deeper(node["items"], x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
-    elif kind == "object":
-        held, properties = F.try_variant_get(value, "$", "map<string,variant>"), node.get("properties", {})
-        parts = [_error(~F.map_contains_key(held, n), at, f".{n}: missing required property") for n in node.get("required", ())]
-        if node.get("additionalProperties") is False:
-            extra = F.array_except(F.map_keys(held), F.array(*map(F.lit, properties)).cast("array<string>"))
-            parts.append(F.transform(F.array_sort(extra), lambda k: F.concat(at, F.lit("."), k, F.lit(": unexpected property"))))
-        parts += [F.when(F.map_contains_key(held, n), deeper(p, F.element_at(held, n), F.concat(at, F.lit(f".{n}")))).otherwise(_none()) for n, p in properties.items()]
-        inner = F.concat(_none(), *parts)
-    elif kind in ("number", "integer"):
-        number = F.try_variant_get(value, "$", "double")
-        low = [_error(number < node["minimum"], at, f": below {node['minimum']}")] if "minimum" in node else []
-        high = [_error(number > node["maximum"], at, f": above {node['maximum']}")] if "maximum" in node else []
-        inner = F.concat(_none(), *low, *high)
-    return F.when(F.size(wrong) > 0, wrong).otherwise(inner)

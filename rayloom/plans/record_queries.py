@@ -10,6 +10,7 @@ from rayloom.functions import geometry as geo
 from rayloom.functions import text as tx
 from rayloom.functions import timing as tm
 from rayloom.operators import annotations, corpus, jobs, requests, stores
+from rayloom.operators import contracts as checks
 from rayloom.plans import views as v
 from rayloom.plans.catalog import query
 
@@ -714,3 +715,48 @@ def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties against a contract of one integer field."""
     errors = contracts.contract_errors(F.col("props"), {"k": "integer"}, ["k"])
     return v.table(spark, sf_dir, "events").select("event_id", F.array_join(errors, "|").alias("errors"))
+
+
+EVENT_SCHEMA = {
+    "$defs": {
+        "user": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}}},
+        "event": {
+            "type": "object", "additionalProperties": False, "required": ["id", "type", "user"],
+            "properties": {
+                "id": {"type": "integer", "minimum": 5}, "type": {"enum": ["view", "click", "purchase", "error"]},
+                "user": {"anyOf": [{"$ref": "#/$defs/user"}, {"type": "null"}]}, "next": {"$ref": "#/$defs/event"},
+            },
+        },
+    }
+}
+
+
+@query(
+    "WITH e AS (SELECT event_id AS key, event_type FROM events), r AS ("
+    "SELECT key, 'event.type' AS place, 'expected one of \"view\", \"click\", \"purchase\", \"error\", received \"' || event_type || '\"' AS error FROM e WHERE event_type NOT IN ('view', 'click', 'purchase', 'error') "
+    "UNION ALL SELECT key, 'event.user', 'value does not match any allowed shape' FROM e WHERE key % 7 = 0 UNION ALL SELECT key, 'event.extra', 'unexpected property' FROM e WHERE key % 11 = 0 "
+    "UNION ALL SELECT key, 'event.id', 'below 5' FROM e WHERE key < 5 UNION ALL SELECT key, 'event.next.id', 'below 5' FROM e WHERE key < 5 AND key % 3 = 0 "
+    "UNION ALL SELECT key, 'event.next.user', 'missing required property' FROM e WHERE key % 3 = 0 AND key % 6 <> 0) SELECT key, place, error FROM r"
+)
+def contract_schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON of events, some of them wrong, against a schema that refers to itself."""
+    k, text = F.col("event_id"), F.col("event_id").cast("string")
+    user = F.when(k % 7 == 0, '"nobody"').otherwise(F.concat(F.lit('{"id": '), F.col("user_id").cast("string"), F.lit("}")))
+    nothing = F.lit("")
+    following = F.when(k % 6 == 0, F.concat(F.lit(', "next": {"type": "view", "user": null, "id": '), text, F.lit("}"))).when(k % 3 == 0, F.concat(F.lit(', "next": {"type": "view", "id": '), text, F.lit("}"))).otherwise(nothing)
+    extra = F.when(k % 11 == 0, F.lit(', "extra": [1, {"deep": true}]')).otherwise(nothing)
+    payload = F.concat(F.lit('{"id": '), text, F.lit(', "type": "'), "event_type", F.lit('", "user": '), user, following, extra, F.lit("}"))
+    rows = v.table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    return checks.schema_errors(rows, "event_id", "payload", EVENT_SCHEMA, "event").withColumnRenamed("at", "place")
+
+
+@query(
+    "WITH o AS (SELECT p_size AS definition, p_brand AS property, p_type AS type FROM part), n AS (SELECT p_size AS definition, p_brand AS property, p_type AS type FROM part WHERE p_partkey % 10 <> 0 "
+    "UNION ALL SELECT p_size, p_brand, p_type FROM part WHERE p_partkey % 17 = 0), a AS (SELECT * FROM n EXCEPT ALL SELECT * FROM o), d AS (SELECT * FROM o EXCEPT ALL SELECT * FROM n) "
+    "SELECT 'added' AS change, definition, property, type FROM a UNION ALL SELECT 'removed', definition, property, type FROM d"
+)
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a table of definitions: what came and what went, counted by rows."""
+    part = v.table(spark, sf_dir, "part")
+    named = lambda rows: rows.select(F.col("p_size").alias("definition"), F.col("p_brand").alias("property"), F.col("p_type").alias("type"))
+    return checks.schema_drift(named(part), named(part.filter("p_partkey % 10 <> 0")).union(named(part.filter("p_partkey % 17 = 0"))))

@@ -1,12 +1,13 @@
-"""Making the package known to executors."""
+"""Making the package known to executors, and tables that all of them share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -27,3 +28,21 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; where it is unset, a local session gets a temporary folder and a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rayloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written once into the shared folder and read back, so that lineage ends there; and the path."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rayloom import api
-from rayloom.functions.contracts import contract_errors, schema_errors
+from rayloom.functions.contracts import contract_errors
+from rayloom.operators.contracts import schema_drift, schema_errors
 from rayloom.operators.requests import json_value
 from rayloom.sources import dicom, raster
 
@@ -107,9 +108,35 @@ def test_schema_errors(spark):
         f'{{{ok}, "points": 4}}': ["job.points: expected array, received 4"],
         "[1]": ["job: expected object, received [1]"], "nonsense {": ["job: not JSON"], None: ["job: not JSON"],
     }
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, payload string")
-    got = [r[0] for r in df.orderBy("i").select(schema_errors(F.col("payload"), SCHEMA, "job")).collect()]
-    assert got == list(cases.values())
+    assert errors(spark, cases, SCHEMA, "job") == [sorted(c) for c in cases.values()]
+
+
+def errors(spark, payloads, schema, definition):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(payloads)], "i int, payload string")
+    found = {}
+    for r in schema_errors(df, "i", "payload", schema, definition).collect():
+        found.setdefault(r.key, []).append(f"{r.at}: {r.error}")
+    return [sorted(found.get(i, [])) for i in range(len(payloads))]
+
+
+def test_a_schema_that_refers_to_itself(spark):
+    tree = {"type": "object", "additionalProperties": False, "required": ["v"], "properties": {"v": {"type": "integer"}, "below": {"type": "array", "items": {"anyOf": [{"$ref": "#/$defs/tree"}, {"type": "null"}]}}, "next": {"$ref": "#/$defs/tree"}}}
+    deep = lambda n, end: "{\"v\": 1, \"next\": " * n + end + "}" * n
+    payloads = [deep(12, '{"v": 2}'), deep(12, '{"v": "x"}'), '{"v": 1, "below": [null, {"v": 1, "below": [{"v": 0}]}, {"w": 1}, {"v": 1, "below": [7]}]}', '{"v": 1, "a/b": 2}']
+    assert errors(spark, payloads, {"$defs": {"tree": tree}}, "tree") == [
+        [], ["tree" + ".next" * 12 + '.v: expected integer, received "x"'],
+        ["tree.below[2]: value does not match any allowed shape", "tree.below[3]: value does not match any allowed shape"], ["tree.a/b: unexpected property"],
+    ]
+    both = {"oneOf": [{"type": "number", "minimum": 1}, {"type": "integer"}]}
+    assert errors(spark, ["3", "0", "0.5", "\"s\""], {"$defs": {"n": both}}, "n") == [["n: value matches multiple oneOf branches"], [], ["n: value does not match any oneOf branch"], ["n: value does not match any oneOf branch"]]
+    assert errors(spark, [], {"$defs": {"n": both}}, "n") == [] and errors(spark, ["5"], {"$defs": {"n": {}}}, "n") == [[]]
+
+
+def test_drift_counts_repeated_rows(spark):
+    schema = "definition string, property string, type string, required boolean"
+    old = spark.createDataFrame([("job", "id", "integer", True), ("job", "state", None, False), ("job", "state", None, False)], schema)
+    new = spark.createDataFrame([("job", "id", "string", True), ("job", "state", None, False)], schema)
+    assert sorted(map(tuple, schema_drift(old, new).collect()), key=str) == [("added", "job", "id", "string", True), ("removed", "job", "id", "integer", True), ("removed", "job", "state", None, False)]
 
 
 def test_json_of_requests(spark):
