@@ -1,20 +1,21 @@
 """Language identification by compression.
 
 Every language has a zstandard raw-content dictionary of its own texts. A text,
-reduced to lower-case letters and single spaces, is encoded in pieces with each
+reduced to lower-case letters with their marks and single spaces, is encoded in pieces with each
 dictionary; the language with the fewest bytes is chosen. The margin to the
 second says how sure that is: below ``min_margin`` the choice is marked as
 rejected.
 
-Dictionaries are cut from a bounded sample: of each of the ``max_langs`` languages
-with the most documents, ``sample_docs`` distinct documents with the smallest hash
-of id and text give up to ``piece_chars`` letters from their middle, up to
-``dictionary_bytes`` in all. Rows above a hash bound that the counts give are left
+Dictionaries are cut from a bounded sample: of every language ``sample_docs``
+distinct documents with the smallest hash of id and text give up to ``piece_chars``
+letters from their middle, up to ``dictionary_bytes`` in all. All dictionaries
+together hold ``total_bytes`` at the most, which bounds what is broadcast: of very
+many languages each gets a shorter one, and none is left out. Rows above a hash bound that the counts give are left
 out before anything is ranked, so no task ranks a whole language, and repeated
 rows count once. Every document is encoded in whole, in one pass without shuffle.
 
 Defined results for odd input: a text that is null or has no letter is ``und``
-with score 0 (superscripts and fractions are no letters); equal sizes go to the language with more documents, then to the
+with score 0 (superscripts, fractions and marks alone are no letters); equal sizes go to the language with more documents, then to the
 smaller name; with one language only the score is 1; with none every text is
 ``und``; repeated rows are judged alike; an empty table gives an empty result;
 other columns are ignored.
@@ -22,28 +23,23 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = regex.compile(r"(?:\p{L}\p{M}*+)++")
 #: Bytes that a text is encoded in at a time, so that its own history doesn't outgrow the dictionary's.
 PIECE = 2048
 
 
 def letters_of(text: str | None) -> bytes:
-    """The runs of letters (Unicode category L), lower-cased, one space between."""
-    if not text:
-        return b""
-    words = _WORDS.findall(text.lower())
-    if not all(map(str.isalpha, words)):  # other numbers, as superscripts and fractions, are word characters too
-        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
-    return " ".join(words).encode()
+    """The runs of letters (Unicode category L, with the marks M on them), lower-cased, one space between."""
+    return " ".join(_WORDS.findall(text.lower())).encode() if text else b""
 
 
 def dictionaries(
@@ -55,25 +51,22 @@ def dictionaries(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_langs: int = 256,
+    total_bytes: int = 25_600_000,
 ) -> list[tuple[str, bytes]]:
     """(language, dictionary), languages with more documents first.
 
-    The driver gets at most ``sample_docs`` pieces for each of ``max_langs``
-    languages, after each has been cut on the executors.
+    Pieces are cut and joined on the executors; the driver gets ``total_bytes`` at the most.
     """
     own = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     placed = own.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("zstd"), id_col, text_col).alias("place"), F.col(text_col).alias("text"))
     counted = placed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("different"))
-    langs = counted.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    langs = counted.orderBy(F.desc("n"), "lang").collect()
     if not langs:
         return []
     # half as many again as are wanted lie below the bound, so that the sample is full but for rare cases
-    bound = F.lit(None).cast("long")
-    for r in langs:
-        share = min(1.0, 1.5 * (sample_docs + 50) / max(1, r.different))
-        bound = F.when(F.col("lang") == r.lang, F.lit(int(-(2**63) + share * (2**64 - 1025)))).otherwise(bound)
-    low = placed.filter(F.col("place") <= bound)
+    shares = [(r.lang, min(1.0, 1.5 * (sample_docs + 50) / max(1, r.different))) for r in langs]
+    bounds = docs.sparkSession.createDataFrame([(lang, int(-(2**63) + share * (2**64 - 1025))) for lang, share in shares], "lang string, bound long")
+    low = placed.join(F.broadcast(bounds), "lang").filter("place <= bound").select("lang", "place", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,13 +79,11 @@ def dictionaries(
 
     pieces = low.mapInArrow(cut, "lang string, place long, piece string").groupBy("lang", "place").agg(F.min("piece").alias("piece"))
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
-    rows = ranked.filter(F.col("rank") <= sample_docs).orderBy("lang", "rank").collect()
-    out = []
-    for lang in [r.lang for r in langs]:
-        content = " ".join(r.piece for r in rows if r.lang == lang and r.piece).encode()[:dictionary_bytes]
-        if content:
-            out.append((lang, content))
-    return out
+    kept = ranked.filter((F.col("rank") <= sample_docs) & (F.col("piece") != "")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "piece"))).alias("pieces"))
+    size = min(dictionary_bytes, total_bytes // len(langs))
+    joined = kept.select("lang", F.substring(F.array_join("pieces.piece", " ").cast("binary"), 1, size).alias("content"))
+    contents = {r.lang: bytes(r.content) for r in joined.collect()}
+    return [(r.lang, contents[r.lang]) for r in langs if contents.get(r.lang)]
 
 
 class Encoder:
