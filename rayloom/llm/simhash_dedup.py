@@ -425,15 +425,16 @@ BROADCAST_KEYS = 2_000_000
 
 
 def similar_links(
-    docs: DataFrame, prints: DataFrame, similarity: float, width: int, shingle: int, bucket_rows: int, id_col: str, text_col: str
+    docs: DataFrame, prints: DataFrame, similarity: float, width: int, shingle: int, bucket_rows: int, set_entries: int, id_col: str, text_col: str
 ) -> DataFrame:
     """(a, b): links between the fingerprints of texts that share a band and whose shingles are similar.
 
     ``prints`` has (key, text_key, bands). Each distinct text stands once in the
     bucket of each of its bands. Buckets of several get the texts' fingerprints
     and shingle sets, as 32-bit hashes, and every pair in them is checked; a
-    bucket emits a spanning forest. One of more than ``bucket_rows`` texts is cut
-    into chunks, of which every pair is a task's work.
+    bucket emits a spanning forest. One of more than ``bucket_rows`` texts, or whose
+    sets hold more than ``set_entries`` hashes together, is cut into chunks, of which
+    every pair is a task's work.
     """
     texts = prints.groupBy("text_key").agg(F.min("key").alias("text"), F.first("bands").alias("bands"))
     entries = texts.select(F.explode("bands").alias("h"), "text")
@@ -459,10 +460,13 @@ def similar_links(
         filled = rows.join(sets, "text").select("bucket", "text", "fp", "set")
         return filled.repartition("bucket").sortWithinPartitions("bucket", "text").mapInArrow(_bucket_sets(similarity), "a long, b long")
 
-    links = meet(met.filter("whole").drop("whole"))
-    large = met.filter("not whole").drop("whole")
-    if not large.isEmpty():
-        chunks = large.groupBy("bucket").agg(F.ceil(F.count("*") / (bucket_rows // 2)).alias("chunks"))
+    met = met.select("bucket", "text").distinct()
+    weighed = met.join(sets.select("text", F.size("set").alias("n")), "text").groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    halves = F.greatest(F.col("texts") / (bucket_rows / 2), F.col("n") / (set_entries / 2))
+    chunks = materialise(weighed.filter((F.col("texts") > bucket_rows) | (F.col("n") > set_entries)).select("bucket", F.ceil(halves).alias("chunks")), "similar-chunks")
+    links, large = meet(met), met.join(chunks, "bucket", "left_semi")
+    if not chunks.isEmpty():
+        links = meet(met.join(chunks, "bucket", "left_anti"))
         mine, other = F.pmod(F.xxhash64("text"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
         cut = large.join(chunks, "bucket").withColumn("mine", mine).withColumn("other", other)
         links = links.union(meet(cut.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "text").distinct()))
@@ -471,7 +475,7 @@ def similar_links(
 
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, bucket_rows: int = 16_384,
-    similarity: float = 0.8, shingle: int = 5, set_rows: int = 4096,
+    similarity: float = 0.8, shingle: int = 5, set_rows: int = 4096, set_entries: int = 4_000_000,
 ) -> DataFrame:
     """``docs``, all columns, with one document of each group: its first row, by id.
 
@@ -488,7 +492,7 @@ def keep_one(
     """
     with working_tables(docs.sparkSession):
         prints = materialise(with_fingerprints(docs, width, id_col, text_col, Bands(), shingle), "simhash-prints")
-        links = similar_links(docs, prints, similarity, width, shingle, set_rows, id_col, text_col)
+        links = similar_links(docs, prints, similarity, width, shingle, set_rows, set_entries, id_col, text_col)
         found = _components(prints.select("doc_id", "key", "fp"), distance, bucket_rows, links)
         found = materialise(found.select("key", (F.col("key") == F.col("best.key")).alias("stays")), "simhash-stays")
         gone = materialise(found.filter("not stays").select("key").distinct(), "simhash-gone", lasting=True)

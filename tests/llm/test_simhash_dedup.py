@@ -202,13 +202,13 @@ def near_texts(rng, n, pieces=8):
     return out
 
 
-@pytest.mark.parametrize("set_rows", [4096, 6])
-def test_components_equal_those_of_all_pairs(documents, set_rows):
+@pytest.mark.parametrize("set_rows, set_entries", [(4096, 4_000_000), (6, 4_000_000), (4096, 300)])
+def test_components_equal_those_of_all_pairs(documents, set_rows, set_entries):
     """Recall against brute-force Jaccard over all pairs: every component, links of both kinds."""
     texts = near_texts(random.Random(set_rows), 25)
     fps = [slow_fingerprint(t) for t in texts]
     roots = slow_components(list(range(len(texts))), lambda a, b: near(4)(fps[a], fps[b]) or jaccard(texts[a], texts[b]) >= 0.8)
-    kept = {r.doc_id for r in sh.keep_one(documents(list(enumerate(texts))), set_rows=set_rows).collect()}
+    kept = {r.doc_id for r in sh.keep_one(documents(list(enumerate(texts))), set_rows=set_rows, set_entries=set_entries).collect()}
     assert kept == set(roots.values()) and 25 <= len(kept) < 0.6 * len(texts)
 
 
