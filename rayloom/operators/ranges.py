@@ -1,65 +1,44 @@
 """Places and running totals over a whole table, with no window over all rows.
 
-Rows are cut into ranges of their order. The bounds are values: they are taken
-once, from the rows whose keys hash lowest, so every use of them sees the same
-ranges. Rows and totals per range come first (one row per range goes to the
-driver), then a window inside each range. Any bounds give the same answer; the
-sample only makes the ranges alike in size.
+Rows are dealt to ranges of their order and written once with the number of their
+range, so that every use of them sees the same ranges and what gave the rows runs no
+more. Rows and totals per range come first (one row per range), then a window inside
+each range. Any bounds give the same answer; Spark's sample only makes the ranges
+alike in size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sampled rows per range.
-_SAMPLE = 32
+from rayloom.session import written
 
 
-def bounds_of(rows: DataFrame, order: Sequence[str], ranges: int) -> list[tuple]:
-    """At most ``ranges`` - 1 keys, in order, that cut ``rows`` into ranges of like size."""
-    sample = rows.select(*order).orderBy(F.xxhash64(*order)).limit(ranges * _SAMPLE)
-    keys = sample.distinct().orderBy(*order).collect()
-    step = max(1, -(-len(keys) // ranges))
-    return [tuple(k) for k in keys[step::step]]
-
-
-def range_of(rows: DataFrame, order: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """How many of ``bounds`` a row's key has reached; found in two steps, by blocks of bounds and inside one."""
-    if not bounds:
-        return F.lit(0)
-    types = [rows.schema[c].dataType for c in order]
-    key = F.struct(*order)
-    fixed = lambda b: F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(b, types, order)])
-    reached = lambda found: F.size(F.filter(found, lambda b: b <= key))
-    width = isqrt(len(bounds)) + 1
-    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    block = reached(F.array(*[fixed(b[0]) for b in blocks]))
-    inside = F.get(F.array(*[F.array(*map(fixed, b)) for b in blocks]), block - 1)
-    return F.when(block == 0, 0).otherwise((block - 1) * width + reached(inside))
-
-
-def running(rows: DataFrame, order: Sequence[str], size: str | None = None, descending: bool = False, ranges: int = 200) -> DataFrame:
+def running(rows: DataFrame, order: Sequence[str], size: str | None = None, descending: bool = False, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``place`` (from 1), and with ``size``: ``prior`` (sum of those before) and ``total``.
 
     ``order`` names the columns of the order, all in one direction; nulls are
     smallest. Rows that are alike in all of them share a range, in any order.
+    ``ranges`` is how many there are, as many as the session shuffles to by default.
     """
-    part = range_of(rows, order, bounds_of(rows, order, ranges))
     weight = F.coalesce(F.col(size), F.lit(0)) if size else F.lit(0)
-    sums = {r[0]: r[1:] for r in rows.groupBy(part.alias("_part")).agg(F.count("*"), F.sum(weight)).collect()}
-    first, prior, places, total = {}, {}, 0, 0
-    for p in sorted(sums, reverse=descending):
-        first[p], prior[p] = places, total
-        places, total = places + sums[p][0], total + sums[p][1]
-    known = range(max(sums, default=0) + 1)
-    start = lambda held: F.get(F.array(*[F.lit(held.get(p, 0)) for p in known]), F.col("_part"))
-    own = Window.partitionBy("_part").orderBy(*[F.desc(c) if descending else F.asc(c) for c in order])
-    placed = rows.withColumn("_part", part).withColumn("place", (start(first) + F.row_number().over(own)).cast("long"))
+    keys = [F.asc_nulls_first(c) for c in order]
+    dealt = (rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)).withColumn("_part", F.spark_partition_id())
+    held, _ = written(dealt, "ranges")
+    way = F.desc("_part") if descending else F.asc("_part")
+    # one row per range, so few that one task may order them
+    before = Window.orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(weight).alias("_size"))
+    starts = sums.select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_prior"),
+        F.sum("_size").over(Window.partitionBy()).alias("_total"),
+    )
+    own = Window.partitionBy("_part").orderBy(*[F.desc_nulls_last(c) if descending else F.asc_nulls_first(c) for c in order])
+    placed = held.join(F.broadcast(starts), "_part").withColumn("place", (F.col("_first") + F.row_number().over(own)).cast("long"))
     if size:
-        before = F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, -1))
-        placed = placed.withColumns({"prior": start(prior) + F.coalesce(before, F.lit(0)), "total": F.lit(total)})
-    return placed.drop("_part")
+        inside = F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, -1))
+        placed = placed.withColumns({"prior": F.col("_prior") + F.coalesce(inside, F.lit(0)), "total": F.col("_total")})
+    return placed.drop("_part", "_first", "_prior", "_total")

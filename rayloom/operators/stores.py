@@ -43,7 +43,7 @@ def lru(accesses: DataFrame, capacity: int | None = None, max_bytes: int | None
     return ranked
 
 
-def evict_oldest(files: DataFrame, limit: int, groups: int = 200, tracked: int | None = None) -> DataFrame:
+def evict_oldest(files: DataFrame, limit: int, groups: int | None = None, tracked: int | None = None) -> DataFrame:
     """``files`` (path, size, mod_time, ...) with ``evicted``: the oldest go until the rest fits ``limit``.
 
     ``tracked`` is a total known beforehand: within the limit nothing is read. The running total is taken in ``groups`` ranges of (mod_time, path), so that
