@@ -148,6 +148,10 @@ class Study:
     pixels: np.ndarray | None = None
     window: tuple[float, float] | None = None
     invert: bool = False
+    #: Where the value of the pixel data starts in the file, and its length.
+    pixels_at: int = -1
+    pixels_length: int = 0
+    order: str = "<"
 
     def get(self, name: str, default=0):
         return self.meta.get(name, default)
@@ -205,18 +209,19 @@ _SCAN = frozenset(FIELDS)
 _DECODE = _SCAN | {STUDY_UID, SLOPE, INTERCEPT} | frozenset(PRESERVED)
 
 
-def read(data: bytes, with_pixels: bool = False) -> Study:
-    """A study from the bytes of a DICOM file."""
+def read(data: bytes, with_pixels: bool = False, calibrated: bool = False) -> Study:
+    """A study from the bytes of a DICOM file; ``calibrated`` takes slope, intercept and identifiers from a scan too."""
     cursor, study = Cursor(data), Study()
     study.transfer_syntax_uid = transfer_syntax(cursor)
     syntax = syntax_of(study.transfer_syntax_uid)
-    for tag, vr, length, value in elements(cursor, syntax, _DECODE if with_pixels else _SCAN):
+    for tag, vr, length, value in elements(cursor, syntax, _DECODE if with_pixels or calibrated else _SCAN):
         if tag == PIXELS:
+            study.pixels_at, study.pixels_length, study.order = cursor.at, length, syntax.order
             study.meta["pixel_data_encoding"] = "encapsulated" if length == UNDEFINED else "native"
             if with_pixels:
                 _check_size(study)
                 study.defaults()
-                _encapsulated(study, cursor, syntax) if length == UNDEFINED else _native(study, cursor.take(length), syntax.order)
+                _encapsulated(study, cursor, syntax) if length == UNDEFINED else decode_native(study, cursor.take(length), syntax.order)
             break
         if tag in FIELDS:
             name, kind = FIELDS[tag]
@@ -259,7 +264,8 @@ def stored_values(samples: np.ndarray, bits: int, signed: bool) -> np.ndarray:
     return low
 
 
-def _native(study: Study, raw: bytes, order: str) -> None:
+def decode_native(study: Study, raw: bytes, order: str) -> None:
+    """Fills in the pixels of ``study`` from its raw samples."""
     study.width, study.height = study.get("columns"), study.get("rows")
     count, colours, bits = study.width * study.height, study.get("samples_per_pixel"), study.get("bits_allocated")
     _window(study)
