@@ -7,9 +7,12 @@ object stores by the same URIs.
 
 from __future__ import annotations
 
+import os
+import uuid
 from pathlib import PurePosixPath
 
 import pyarrow.fs as pafs
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
@@ -50,6 +53,60 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None where there is none."""
+    system, at = _hadoop(spark, path)
+    if not system.exists(at):
+        return None
+    file = system.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(file)).decode()
+    finally:
+        file.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds; nothing where it is missing."""
+    system, at = _hadoop(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
+def create_exclusive(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Writes ``folder/name`` whole, unless it is there: of several writers one gets True.
+
+    The text is written aside first. Local files are then linked, which fails where
+    the name is taken; other stores rename through ``FileContext`` without
+    overwriting, which is atomic where the store's renames are (HDFS and its like;
+    stores of objects that copy to rename can let two writers pass).
+    """
+    jvm = spark.sparkContext._jvm
+    system, at = _hadoop(spark, folder)
+    system.mkdirs(at)
+    aside = jvm.org.apache.hadoop.fs.Path(at, f".{name}.{uuid.uuid4().hex}")
+    target = jvm.org.apache.hadoop.fs.Path(at, name)
+    out = system.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if system.getScheme() == "file":
+            local = lambda p: p.toUri().getPath()
+            os.link(local(aside), local(target))
+            return True
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context.rename(system.makeQualified(aside), system.makeQualified(target), options)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as problem:
+        if problem.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    finally:
+        system.delete(aside, False)
+
+
 class RangedBytes:
     """The bytes of a file, read in blocks as slices ask for them; ``taken`` counts what was read."""
 
