@@ -1,4 +1,4 @@
-"""PNG, BMP and TIFF kernels on bytes, for use inside tasks.
+"""PNG, BMP and TIFF kernels on bytes, for use inside tasks; JPEG is in ``jpeg``.
 
 ``decode`` gives a :class:`Raster`: samples as height x width x channels (uint8 or
 uint16). Only what study files need is read; anything else is a ``ValueError``.
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from rayloom.sources import jpeg
+
 
 @dataclass
 class Raster:
@@ -35,7 +37,8 @@ def decode(data: bytes) -> Raster:
     if data[:4] in (b"II*\0", b"MM\0*"):
         return decode_tiff(data)
     if data[:2] == b"\xff\xd8":
-        raise ValueError("unsupported image: JPEG decoding is not available")
+        samples = jpeg.decode(data)
+        return Raster(samples, "gray" if samples.shape[2] == 1 else "rgb")
     raise ValueError("unknown image format")
 
 

@@ -1,4 +1,4 @@
-"""Sinks: PNG and DICOM Secondary Capture files, and the catalog.
+"""Sinks: PNG, JPEG and DICOM Secondary Capture files, and the catalog.
 
 Encoding is a function of the row, so it runs in tasks and yields binary columns;
 ``save_files`` and ``file_sink`` write them, to a path that executors share or to an
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.sources import dicom, file_sink, raster
+from rayloom.sources import dicom, file_sink, jpeg, raster
 
 
 def _samples(width: int, height: int, flat: np.ndarray) -> np.ndarray:
@@ -70,6 +70,12 @@ def encode_png(df: DataFrame, values: F.Column | str = "gray") -> DataFrame:
     return _encode(df, [F.col("width"), F.col("height"), flat.alias("flat")], lambda w, h, v: raster.encode_png(_samples(w, h, v)), "png")
 
 
+def encode_jpeg(df: DataFrame, values: F.Column | str = "gray", quality: int = jpeg.QUALITY) -> DataFrame:
+    """Adds ``jpg`` for width, height and a flat array of 8-bit values (one or four per pixel; opacity is left out)."""
+    flat = F.col(values) if isinstance(values, str) else values
+    return _encode(df, [F.col("width"), F.col("height"), flat.alias("flat")], lambda w, h, v: jpeg.encode(_samples(w, h, v), quality), "jpg")
+
+
 def encode_secondary_capture(df: DataFrame, values: F.Column | str = "gray", now: datetime | None = None, uid_seed: str | None = None) -> DataFrame:
     """Adds ``dicom`` for width, height, study_uid, preserved and flat 8-bit values.
 
