@@ -18,7 +18,7 @@ from rayloom.functions import kernels
 from rayloom.functions import pixels as px
 from rayloom.functions import text as tx
 from rayloom.operators import annotations, corpus, images, jobs, requests
-from rayloom.sources import file_sink, stores, studies, writers
+from rayloom.sources import catalog, file_sink, jpeg, stores, studies, writers
 
 
 @dataclass(frozen=True)
@@ -147,6 +147,23 @@ def export(processed: DataFrame, folder: str, now: datetime | None = None, uid_s
     return {"png": written["png"], "dicom": written["dcm"]}
 
 
+def previews(rendered: DataFrame, folder: str, quality: int = jpeg.QUALITY) -> int:
+    """Writes a JPEG per image to ``folder``, all or nothing, under the names that ``export`` gives; how many."""
+    values = writers.flat_values("rgba") if "rgba" in rendered.columns else F.col("gray")
+    stem = F.regexp_replace(tx.output_name(F.col("path")), r"\.dcm$", "")
+    return file_sink.save(writers.encode_jpeg(rendered, values, quality).select(stem.alias("stem"), F.col("path").alias("key"), "jpg"), folder)["jpg"]
+
+
+def recent_studies(spark: SparkSession, folder: str) -> DataFrame:
+    """The studies opened last, from the catalog in ``folder``."""
+    return catalog.load(spark, folder)
+
+
+def remember(spark: SparkSession, folder: str, opened: DataFrame) -> int:
+    """Puts opened studies into the catalog, whoever else writes to it; its version."""
+    return catalog.record_opened(spark, folder, opened)
+
+
 def job_snapshots(snapshots: DataFrame, ids: list[int]) -> DataFrame:
     """The latest snapshot of each asked job, in the order asked; unknown ids are left out."""
     asked = snapshots.sparkSession.createDataFrame(list(enumerate(ids)), "place int, job_id long")

@@ -17,18 +17,23 @@ from pyspark.sql import functions as F
 _IMAGES = 4096
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, image of each value) of a list array; null images have none."""
-    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), lengths)
-
+def _mapped(lists: pa.Array, function) -> pa.Array:
+    """``function(values, image of each value)`` in the shape of a list array, as integers.
 
-def _lists(lists: pa.Array, values: np.ndarray) -> pa.Array:
-    """``values`` in the shape of ``lists``, as integers."""
+    Null images stay null. Null values stay null too, and ``function`` doesn't see them.
+    """
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat, image = lists.flatten(), np.repeat(np.arange(len(lists)), lengths)
+    if flat.null_count:
+        held = flat.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(flat), np.int32)
+        out[held] = function(flat.drop_null().to_numpy(zero_copy_only=False), image[held])
+        values = pa.array(out, mask=~held)
+    else:
+        values = pa.array(function(flat.to_numpy(zero_copy_only=False), image).astype(np.int32))
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     mask = lists.is_null() if lists.null_count else None
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)), mask=mask)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
 
 
 def _bytes(v: np.ndarray) -> np.ndarray:
@@ -76,10 +81,10 @@ def render(pixels: Column, low: Column, high: Column, center: Column, width: Col
 
     @F.arrow_udf("array<int>")
     def run(pixels: pa.Array, low: pa.Array, high: pa.Array, center: pa.Array, width: pa.Array, invert: pa.Array) -> pa.Array:
-        values, image = _flat(pixels)
         number = lambda x: x.cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: E731  null is not a number
         inverted = invert.fill_null(False).to_numpy(zero_copy_only=False)
-        return _lists(pixels, render_values(values, image, *map(number, (low, high, center, width)), inverted, mode))
+        per_image = [*map(number, (low, high, center, width)), inverted, mode]
+        return _mapped(pixels, lambda values, image: render_values(values, image, *per_image))
 
     return run(pixels, low, high, center, width, invert)
 
@@ -89,8 +94,7 @@ def equalize(gray: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(gray: pa.Array) -> pa.Array:
-        values, image = _flat(gray)
-        return _lists(gray, equalize_values(values, image, len(gray)))
+        return _mapped(gray, lambda values, image: equalize_values(values, image, len(gray)))
 
     return run(gray)
 
@@ -100,6 +104,6 @@ def through(gray: Column, table: list[int]) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(gray: pa.Array) -> pa.Array:
-        return _lists(gray, np.array(table)[_flat(gray)[0]])
+        return _mapped(gray, lambda values, _: np.array(table)[values])
 
     return run(gray)

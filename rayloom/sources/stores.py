@@ -71,31 +71,49 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
 
 
-def create_exclusive(spark: SparkSession, folder: str, name: str, text: str) -> bool:
-    """Writes ``folder/name`` whole, unless it is there: of several writers one gets True.
-
-    The text is written aside first. Local files are then linked, which fails where
-    the name is taken; other stores rename through ``FileContext`` without
-    overwriting, which is atomic where the store's renames are (HDFS and its like;
-    stores of objects that copy to rename can let two writers pass).
-    """
-    jvm = spark.sparkContext._jvm
+def _written_aside(spark: SparkSession, folder: str, name: str, text: str):
+    """(file system, path of a new hidden file with ``text``, path of ``folder/name``)."""
     system, at = _hadoop(spark, folder)
     system.mkdirs(at)
-    aside = jvm.org.apache.hadoop.fs.Path(at, f".{name}.{uuid.uuid4().hex}")
-    target = jvm.org.apache.hadoop.fs.Path(at, name)
+    aside, target = (system.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, n)) for n in (f".{name}.{uuid.uuid4().hex}", name))
     out = system.create(aside, False)
     out.write(bytearray(text.encode()))
     out.close()
+    return system, aside, target
+
+
+def _renamed(spark: SparkSession, path, to, how: str) -> None:
+    """A rename through ``FileContext``: atomic where the store's renames are."""
+    kinds = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = getattr(kinds, how)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(path, to, options)
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file of any store whole, over what is there."""
+    folder, _, name = path.rpartition("/")
+    system, aside, target = _written_aside(spark, folder or ".", name, text)
+    try:
+        _renamed(spark, aside, target, "OVERWRITE")
+    finally:
+        system.delete(aside, False)
+
+
+def create_exclusive(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Writes ``folder/name`` whole, unless it is there: of several writers one gets True.
+
+    The text is written aside first. Local files are then linked, which fails where
+    the name is taken; other stores rename without overwriting, which is atomic in
+    HDFS and its like (stores of objects that copy to rename can let two writers pass).
+    """
+    system, aside, target = _written_aside(spark, folder, name, text)
     try:
         if system.getScheme() == "file":
-            local = lambda p: p.toUri().getPath()
-            os.link(local(aside), local(target))
-            return True
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        context.rename(system.makeQualified(aside), system.makeQualified(target), options)
+            os.link(aside.toUri().getPath(), target.toUri().getPath())
+        else:
+            _renamed(spark, aside, target, "NONE")
         return True
     except FileExistsError:
         return False

@@ -10,14 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import datetime
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rayloom.sources import dicom, file_sink, jpeg, raster
+from rayloom.sources import dicom, file_sink, jpeg, raster, stores
 
 
 def _samples(width: int, height: int, flat: np.ndarray) -> np.ndarray:
@@ -112,8 +111,6 @@ def save_files(df: DataFrame, name: str, content: str, folder: str) -> int:
 
 
 def write_catalog(recent: DataFrame, path: str) -> None:
-    """The recent-studies list (ten rows at most) as indented JSON, written aside and renamed."""
+    """The recent-studies list (ten rows at most) as indented JSON, at a path or URI; for several writers see ``catalog``."""
     rows = [json.loads(r) for r in recent.limit(10).toJSON().collect()]
-    part = Path(path).with_suffix(".part")
-    part.write_text(json.dumps({"recentStudies": rows}, indent=2) + "\n")
-    part.replace(path)
+    stores.replace_text(recent.sparkSession, path, json.dumps({"recentStudies": rows}, indent=2) + "\n")

@@ -5,6 +5,7 @@ import struct
 import numpy as np
 import pytest
 
+from rayloom import api
 from rayloom.operators import images
 from rayloom.sources import file_sink, jpeg, raster, studies, writers
 
@@ -141,5 +142,7 @@ def test_fragments_and_previews_as_dataframes(spark, tmp_path):
     rendered = images.render(decoded).orderBy("path").first().gray
     back = raster.decode((tmp_path / "out" / "a.jpg").read_bytes())
     assert np.abs(back.samples[:, :, 0].astype(int).ravel() - np.array(rendered)).mean() <= 3
+    assert api.previews(images.palette(images.render(decoded), "hot"), str(tmp_path / "hot")) == 2
+    assert raster.decode((tmp_path / "hot" / "a_processed.jpg").read_bytes()).kind == "rgb"
     odd = spark.createDataFrame([(2, 2, [1, 2, 3]), (0, 0, [])], "width int, height int, gray array<int>")
     assert [r.jpg for r in writers.encode_jpeg(odd).collect()] == [None, None]

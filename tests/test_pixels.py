@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rayloom.functions import kernels
 from rayloom.functions import pixels as px
 from rayloom.functions import text as tx
 from rayloom.operators import images, requests
@@ -166,3 +167,14 @@ def test_stored_values(spark, raw, bits, signed, want):
 
     assert one(spark, px.stored_value(F.lit(raw), bits, signed)) == want
     assert stored_values(np.array([raw], np.uint32), bits, signed).tolist() == [want]
+
+
+def test_null_pixels_stay_null_and_count_nowhere(spark):
+    """Also where a whole image is null, empty or holds nulls alone."""
+    values = [[10, None, 20, 40], None, [], [None, None], [7, 7]]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "image_id int, pixels array<int>")
+    shown = images.render(images.with_range(df.withColumn("width", F.lit(1))), "full").orderBy("image_id")
+    assert [r.gray for r in shown.collect()] == [[0, None, 85, 255], None, [], [None, None], [0, 0]]
+    table = F.col("pixels").alias("gray")
+    assert [r.equalized for r in images.equalize_packed(df.select("image_id", table)).orderBy("image_id").collect()] == [[0, None, 128, 255], None, [], [None, None], [7, 7]]
+    assert [r.out for r in df.select("image_id", kernels.through(F.col("pixels"), list(range(255, -1, -1))).alias("out")).orderBy("image_id").collect()][0] == [245, None, 235, 215]

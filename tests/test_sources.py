@@ -204,7 +204,9 @@ def test_export_errors():
 
 def test_catalog_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("/in/a.dcm", "a.dcm", None, "2024-01-01T00:00:00Z")], "inputPath string, inputName string, measurementScale struct<rowSpacingMm:double,columnSpacingMm:double,source:string>, lastOpenedAt string")
-    writers.write_catalog(rows, str(tmp_path / "catalog.json"))
+    writers.write_catalog(rows.limit(0), str(tmp_path / "catalog.json"))
+    writers.write_catalog(rows, f"file://{tmp_path}/catalog.json")
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["catalog.json"]
     studies_, corrupt = studies.read_catalog(spark, str(tmp_path / "catalog.json"))
     assert [r.inputName for r in studies_.collect()] == ["a.dcm"] and corrupt.collect() == []
     assert studies.load_catalog(spark, str(tmp_path / "catalog.json")).count() == 1
