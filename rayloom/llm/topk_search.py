@@ -12,6 +12,11 @@ are then rescored exactly. A task carries each query's best from block to block
 as the threshold to beat, and sends on its best ``k`` only; one window merges
 the tasks.
 
+A first pass answers the queries over about one row in ``sample`` and so proves a
+score that each query's ``k`` best reach. Tasks begin with it and send nothing
+below, so that what meets in the window of a query is about ``sample * k`` rows,
+however many tasks there are. The result is exact with any sample.
+
 Scores are exact at any size. Vectors whose components could take a sum beyond
 2**50 are kept out of the index and scored in integers of any width.
 
@@ -61,6 +66,7 @@ def exact_top_k(
     block_rows: int = 8192,
     query_bytes: int = 64_000_000,
     levels: int = 32,
+    sample: int = 64,
 ) -> DataFrame:
     """The ``k`` best candidates of each query row, ties to the smaller id.
 
@@ -73,25 +79,38 @@ def exact_top_k(
     queries = rows.withColumnRenamed("id", id_col).filter(is_query).withColumnRenamed(id_col, "id")
     held = queries.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0
     batches = max(1, math.ceil(held / query_bytes))
+    some = rows.sample(1 / sample, seed=1).repartition(F.rand(2))
     found = []
     for number in range(batches):
-        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == number).distinct()
-        best = _pass(rows, own, k, block_rows, levels)
+        own = _matrix(queries.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == number).distinct().toArrow())
+        best = _pass(rows, own, k, block_rows, levels, _reached(_pass(some, own, k, block_rows, levels, {}), k))
         found.append(materialise(best, "topk") if batches > 1 else best)
     best = found[0]
     for more in found[1:]:
         best = best.union(more)
+    return _merged(best, k)
+
+
+def _merged(best: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query of what its tasks have sent."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score").dropDuplicates()
 
 
-def _pass(rows: DataFrame, queries: DataFrame, k: int, block_rows: int, levels: int) -> DataFrame:
-    """Each task's best ``k`` of every query of one batch."""
-    shared = rows.sparkSession.sparkContext.broadcast(_matrix(queries.toArrow()))
+def _reached(best: DataFrame, k: int) -> dict[int, int]:
+    """The least of each query's ``k`` best scores, where there are as many; one number per query of a batch."""
+    full = _merged(best, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k)
+    rows = full.select("query_id", "score").toArrow()
+    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+
+
+def _pass(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, block_rows: int, levels: int, reached: dict[int, int]) -> DataFrame:
+    """Each task's best ``k`` of every query of one batch that are not below what the query has ``reached``."""
+    shared = rows.sparkSession.sparkContext.broadcast((*queries, k, levels, reached))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, held, n = Search(*shared.value, k, levels), [], 0
+        search, held, n = Search(*shared.value), [], 0
         for batch in batches:
             held.append(batch)
             n += len(batch)
@@ -129,10 +148,11 @@ def _plain(vectors: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The best ``k`` of every query over the blocks seen so far."""
+    """The best ``k`` of every query over the blocks seen so far, from the score on that it has ``reached`` elsewhere."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, levels: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, levels: int, reached: dict[int, int]):
         self.ids, self.queries, self.k, self.levels = ids, queries, k, levels
+        self.reached = [reached.get(int(i)) for i in ids]
         self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -150,8 +170,10 @@ class Search:
                 self._take(at, ids, _exact_scores(vectors, query))
                 continue
             if index:
-                best = self.held[at][1]
-                beat = float(best[-1]) if len(best) == self.k and abs(best[-1]) < 2**53 else None
+                best, reached = self.held[at][1], self.reached[at]
+                known = [int(best[-1])] if len(best) == self.k else []
+                known += [] if reached is None else [reached]
+                beat = float(max(known)) if known and abs(max(known)) < 2**53 else None
                 members, scores = index.search(query, inside != own, self.k, beat, repeated)
                 self._take(at, inside[members], scores.astype(np.int64))
             if len(outside):
@@ -160,6 +182,8 @@ class Search:
     def _take(self, at: int, ids: np.ndarray, scores: np.ndarray) -> None:
         """Merges a query's candidates into its best, each (id, score) once."""
         others = ids != self.ids[at]
+        if self.reached[at] is not None:
+            others &= (scores >= self.reached[at]).astype(bool)
         ids, scores = np.concatenate([self.held[at][0], ids[others]]), np.concatenate([self.held[at][1], scores[others]])
         order = np.lexsort((ids, -scores)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), int)
         ids, scores = ids[order], scores[order]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rayloom.llm.topk_search import ImpactIndex, exact_top_k
+from rayloom.llm.topk_search import ImpactIndex, Search, exact_top_k
 
 
 def brute(rows, k, every, scale=1024):
@@ -70,6 +70,25 @@ def test_repeated_rows_in_many_blocks(spark):
     assert run(spark, rows, k=4, every=3, block_rows=10) == brute([r[:2] for r in rows], 4, 3)
 
 
+@pytest.mark.parametrize("sample", [2, 64])
+def test_the_first_pass_changes_nothing(spark, sample):
+    """Also where an id has several vectors, scores tie at the threshold, and sums are wide."""
+    rng = random.Random(5)
+    rows = [(i % 900 if i % 45 else i, [rng.choice([-0.5, 0.25, 0.5]) for _ in range(5)], "x", 1) for i in range(1500)]
+    rows += [(i, [rng.uniform(-1, 1) * 10**6 for _ in range(5)], "x", 1) for i in range(2000, 2030)]
+    assert run(spark, rows, k=3, every=45, sample=sample, block_rows=60) == brute([r[:2] for r in rows], 3, 45)
+
+
+def test_tasks_send_nothing_below_what_is_reached():
+    rng = np.random.default_rng(2)
+    ids, vectors = np.arange(500), rng.integers(-100, 100, (500, 8)).astype(float)
+    scores = np.sort(vectors[1:] @ vectors[0])[::-1].astype(int)
+    search = Search(ids[:1], vectors[:1], 10, 32, {0: int(scores[3])})
+    for at in range(0, 500, 50):
+        search.add(ids[at : at + 50], vectors[at : at + 50])
+    assert search.best()[2].tolist() == scores[: (scores >= scores[3]).sum()].tolist()
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
