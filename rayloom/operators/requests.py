@@ -27,6 +27,20 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRESETS), PRESET_SCHEMA)
 
 
+def manifest_use(requests: DataFrame) -> DataFrame:
+    """The manifest with the number of requests for each preset (``asked``), and of those with a brightness of their own.
+
+    Requests are counted by preset first; the three rows meet counts, not requests.
+    """
+    used = requests.groupBy(preset_key(F.col("preset_id")).alias("used")).agg(F.count("*").alias("asked"), F.count("brightness").alias("own_brightness"))
+    known = used.join(F.broadcast(presets(requests.sparkSession).select("p_id")), F.col("used") == F.col("p_id"), "left_semi")
+    named = presets(requests.sparkSession).join(known, F.col("p_id") == F.col("used"), "left")
+    return named.select(
+        F.col("p_id").alias("preset"), F.col("p_brightness").alias("brightness"), F.col("p_contrast").alias("contrast"), tx.preset_label(F.col("p_id")).alias("label"),
+        F.coalesce("asked", F.lit(0)).alias("asked"), F.coalesce("own_brightness", F.lit(0)).alias("own_brightness"),
+    )
+
+
 def preset_key(preset_id: Column) -> Column:
     return F.lower(F.trim(preset_id))
 

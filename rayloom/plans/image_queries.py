@@ -407,10 +407,3 @@ def decode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "scale": none("struct<row:double,col:double,source:string>"), "study_uid": none("string"), "preserved": none("array<string>"),
     })
     return corpus.decode_summary(decoded).select("path", "width", "height", "format", "pixel_count", "min_value", "max_value", F.col("default_window.width").alias("window_width"))
-
-
-@query("SELECT * FROM (VALUES ('default', 0, 1.0::DOUBLE, 'Neutral'), ('xray', 10, 1.4::DOUBLE, 'Bone Focus'), ('high-contrast', 0, 1.8::DOUBLE, 'High Contrast')) v(preset, brightness, contrast, label)")
-def processing_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.presets(spark).select(
-        F.col("p_id").alias("preset"), F.col("p_brightness").alias("brightness"), F.col("p_contrast").alias("contrast"), tx.preset_label(F.col("p_id")).alias("label")
-    )

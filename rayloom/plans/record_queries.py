@@ -511,11 +511,16 @@ _STEP_PERCENT = "CASE WHEN m.state NOT IN ('queued', 'running') THEN m.percent W
 )
 def job_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests folded into the final state of each job; a user is a job."""
+    return jobs.state_machine(job_requests(spark, sf_dir))
+
+
+def job_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as requests to jobs (job_id, ts, seq, action, percent)."""
     action = {"signup": "start", "view": "progress", "click": "cancel", "purchase": "complete", "error": "fail"}
     rows = v.table(spark, sf_dir, "events")
     percent = F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("value")))).cast("int")
     named = tx.mapped(F.col("event_type"), action, F.lit("start"))
-    return jobs.state_machine(rows.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), named.alias("action"), percent.alias("percent")))
+    return rows.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), named.alias("action"), percent.alias("percent"))
 
 
 _STARTS = """st AS (SELECT user_id || '-' || event_type AS fingerprint, event_id AS job_id, ts, ts + INTERVAL 1 MINUTE * (event_id % 90) AS end_ts,

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rayloom.operators import jobs, stores
+from rayloom.operators import jobs, requests, stores
 from rayloom.operators.ranges import running
 from rayloom.streaming import jobs as streams
 
@@ -386,3 +386,10 @@ def test_eviction_deletes_oldest_first(spark):
             left -= size
     got = stores.evict_oldest(spark.createDataFrame(rows, "path string, size long, mod_time long"), 2000, 7)
     assert {r.path for r in got.collect() if r.evicted} == gone
+
+
+def test_manifest_counts_requests(spark):
+    asked = [(" XRAY ", 3), ("xray", None), ("default", None), (None, 1), ("missing", 2)]
+    found = requests.manifest_use(spark.createDataFrame(asked, "preset_id string, brightness int"))
+    assert sorted((r.preset, r.asked, r.own_brightness) for r in found.collect()) == [("default", 1, 0), ("high-contrast", 0, 0), ("xray", 2, 1)]
+    assert {(r.asked, r.own_brightness) for r in requests.manifest_use(spark.createDataFrame([], "preset_id string, brightness int")).collect()} == {(0, 0)}
