@@ -99,13 +99,53 @@ def test_stages_equal_brute_force_over_the_tables(spark):
     assert got == slow_shards([((r.doc_id, r.text), r.s) for r in first.collect()], 8, slot_sharding.SLOTS)
 
 
+def stage_tables(spark, folder):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "no such passage")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
 def test_odd_documents_pass_every_stage(spark, odd, tmp_path):
-    odd = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "no such passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, str(tmp_path))
+    """One label gives no model: all score alike and stay. Repeated rows, equal texts and texts without words leave one each."""
+    stage_tables(spark, tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=repr)
+    judged = stages["quality"](spark, docs, str(tmp_path))
+    assert judged.columns == docs.columns and key(judged.collect()) == key(docs.collect())
+    single = stages["near_dedup"](spark, judged, str(tmp_path))
+    left = single.collect()
+    assert single.columns == docs.columns and len(left) == len(set(r.text for r in left)) == 4
+    assert {r.text and r.text[:5] for r in left} - {None, "", " \n\t "} == {"word", "the s", "long "}
+    clean = stages["decontaminate"](spark, single, str(tmp_path))
+    assert clean.columns == docs.columns and key(clean.collect()) == key(left)
+    check_mix(left, stages["mix"](spark, clean, str(tmp_path)).collect())
+    placed = stages["shard"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in placed), key=repr) == sorted((r.doc_id for r in docs.collect()), key=repr)
+    assert all(0 <= r.shard < 8 and r["size"] >= 1 for r in placed)
+
+
+def test_empty_documents_pass_every_stage(spark, no_documents, tmp_path):
+    stage_tables(spark, tmp_path)
+    docs = no_documents.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.collect() == []
+
+
+def test_stages_take_columns_of_any_name(spark, odd, tmp_path):
+    """Columns that operators use inside pass through all stages but the last, and change nothing."""
+    stage_tables(spark, tmp_path)
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    names = ("fp", "key", "shard", "size", "copies", "score", "row", "id", "hash", "words")
+    wide = plain.withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = stage(spark, plain, str(tmp_path)), stage(spark, wide, str(tmp_path))
+        held = b.collect()
+        # which of two rows without any difference in id and text stays is no matter
+        kept = ("doc_id", "size", "text_crc32", "shard") if name == "shard" else ("doc_id", "text")
+        assert sorted((tuple(r[c] for c in kept) for r in a.collect()), key=repr) == sorted((tuple(r[c] for c in kept) for r in held), key=repr), name
+        if name != "shard":
+            assert b.columns == wide.columns and all(r[n] == n for r in held for n in names), name
 
 
 def test_the_quality_stage_uses_the_operator(spark, documents, tmp_path):
