@@ -91,5 +91,23 @@ def test_repeated_rows_and_ids(documents):
     assert got == sorted([(1, "MIT text"), (1, "MIT text"), (None, "MIT text"), (None, None), (2, None), (2, "MIT text")], key=repr)
 
 
+def test_many_templates(documents):
+    """600 templates, of which several share passages and some are alike."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    shared = [" ".join(rng.choices(vocabulary, k=6)) for _ in range(20)]
+    templates = {f"licence {i:03}": " ".join([*rng.choices(vocabulary, k=rng.randint(4, 20)), rng.choice(shared), *rng.choices(vocabulary, k=rng.randint(0, 10))]) for i in range(590)}
+    templates |= {f"licence {i:03} again": templates[f"licence {i:03}"] for i in range(10)}
+    texts = []
+    for name in rng.sample(sorted(templates), 60):
+        words = templates[name].split()
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "other"
+        texts.append(" ".join([*rng.choices(vocabulary, k=30), *words, *rng.choices(vocabulary, k=30)]))
+    texts += shared + [" ".join(rng.choices(vocabulary, k=200)) for _ in range(20)]
+    got = found(documents(list(enumerate(texts))), templates, 0.8)
+    assert got == [slow(t, templates, 0.8) for t in texts] and sum(g[0] > 0 for g in got) > 40 and max(g[0] for g in got) > 1
+
+
 def test_no_templates(documents):
     assert found(documents([(1, "Released under the MIT License.")]), {}) == [(0, None, None)]
