@@ -264,7 +264,8 @@ def in_flight(starts_and_ends: DataFrame, ttl_ms: int | None = None) -> DataFram
 
     A start gets the id of the job of its fingerprint that runs, as in
     ``operators.jobs.deduplicated_starts``; ends of other jobs change nothing, and at one moment
-    ends come before starts. A null fingerprint is like no other.
+    ends come before starts, so a job that ends at the very moment of its start holds
+    its fingerprint (until ``ttl_ms``), unlike there. A null fingerprint is like no other.
     """
     keyed = starts_and_ends.select("fingerprint", "job_id", "ts", "seq", "start").groupBy("fingerprint")
     mode = "None" if ttl_ms is None else "ProcessingTime"
