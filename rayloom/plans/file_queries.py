@@ -7,6 +7,7 @@ of its own; their files grow with the tables.
 
 from __future__ import annotations
 
+import math
 import uuid
 from datetime import datetime, timezone
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rayloom import api
-from rayloom.operators import requests
+from rayloom.operators import images, requests
 from rayloom.plans import record_queries as records
 from rayloom.plans import views as v
 from rayloom.plans.catalog import SQL, query
@@ -24,6 +25,8 @@ from rayloom.sources import catalog, row_bands, study_source
 from rayloom.streaming import jobs as streams
 
 NOW = datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
+#: Images that a task exports.
+TASK_IMAGES = 1000
 
 
 def _folder(spark: SparkSession, label: str) -> str:
@@ -35,9 +38,12 @@ def _folder(spark: SparkSession, label: str) -> str:
 
 def _exported(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a PNG and a Secondary Capture of each row of ``embeddings``: 64 pixels in three shapes."""
-    k = F.col("image_id")
+    k, packed = F.col("image_id"), v.img_packed(spark, sf_dir)
+    # small rows make many files: dealt by their count, not by the bytes of the table
+    tasks = max(math.ceil(packed.count() / TASK_IMAGES), spark.sparkContext.defaultParallelism)
+    rendered = images.render(images.with_range(packed.repartition(tasks)), "full")
     width = F.element_at(F.array(F.lit(8), F.lit(16), F.lit(4)), (k % 3 + 1).cast("int"))
-    shown = v.rendered(spark, sf_dir).withColumns({
+    shown = rendered.withColumns({
         "path": F.concat(F.lit("image-"), k.cast("string"), F.lit(".dcm")), "width": width, "height": F.lit(64) / width,
         "study_uid": F.concat(F.lit("1.2."), k.cast("string")), "preserved": F.lit(None).cast("array<struct<tag_group:int,tag_element:int,vr:string,values:array<string>>>"),
     }).withColumn("height", F.col("height").cast("int"))

@@ -4,7 +4,7 @@ Headers are read by byte ranges and say where each file's samples lie. A band is
 small row (path, first_row, band_rows and where its bytes are); bands are dealt to
 tasks before any pixel is read, and a task reads the byte ranges of its own bands,
 one at a time. So neither the size of a file nor that of an image bounds what can be
-done; ``band_bytes`` bounds what a task holds.
+done; ``band_bytes`` bounds what a task holds, beside a megabyte of small bands.
 
 Rendering needs an image's least and greatest value, equalization its histogram.
 Both are merged from per-band partial results and joined to the bands, not to
@@ -20,6 +20,7 @@ before each pass. The bands with their ranges are written once to the shared fol
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -32,7 +33,7 @@ from rayloom.functions import kernels
 from rayloom.functions import pixels as px
 from rayloom.operators import images
 from rayloom.session import ship_package, written
-from rayloom.sources import dicom, stores, studies
+from rayloom.sources import dicom, stores, studies, study_source
 
 #: Header fields that decoding a band needs.
 _KEPT = ("samples_per_pixel", "bits_allocated", "bits_stored", "pixel_representation", "planar_configuration", "photometric")
@@ -42,6 +43,8 @@ LAYOUT = (
     "study_uid string, scale struct<row:double,col:double,source:string>, error string"
 )
 _KEYS = ("path", "first_row", "band_rows", "width", "height")
+#: Small bands whose rows go back to Spark together, and the bytes of values from which they go at once.
+TOGETHER, HELD_BYTES = 64, 1 << 20
 _BAND = "path string, first_row int, band_rows int, width int, height int"
 
 
@@ -77,28 +80,34 @@ def _layout_row(path: str, data: stores.RangedBytes) -> dict:
     }
 
 
-def layouts(spark: SparkSession, path: str | list[str], strict: bool = True, glob: str | None = None) -> DataFrame:
-    """One row per file: where its samples lie and how to read them."""
+def layouts(spark: SparkSession, path: str | list[str], strict: bool = True, glob: str | None = None, task_bytes: int = 128 << 20) -> DataFrame:
+    """One row per file: where its samples lie and how to read them. The listing is written once and dealt to tasks by its count of files."""
     ship_package(spark)
-    found = studies.files(spark, path, glob).select("path", "length").distinct()
-    return studies._decode(found, _layout_row, LAYOUT, strict, ranged=True)
+    found = written(studies.files(spark, path, glob).select("path", "length").distinct(), "row-band-files")[0]
+    return studies._decode(found.repartition(_tasks(spark, found.count(), 0, task_bytes)), _layout_row, LAYOUT, strict, ranged=True)
+
+
+def _tasks(spark: SparkSession, parts: int, size: int, task_bytes: int) -> int:
+    """How many tasks read ``parts`` parts of files, ``size`` bytes in all: by the bytes, of which opening takes its share, and no more than parts."""
+    weight = size + parts * study_source.HEADER_BYTES
+    return max(1, min(parts, max(math.ceil(weight / task_bytes), spark.sparkContext.defaultParallelism)))
 
 
 def bands(spark: SparkSession, path: str | list[str], strict: bool = True, glob: str | None = None, band_bytes: int = 8 << 20, task_bytes: int = 128 << 20) -> Bands:
     """The bands of all files, of about ``band_bytes`` each (one row of pixels at the least), in tasks of about ``task_bytes``.
 
-    The count of tasks comes from the sizes in the listing. A file without bands
-    keeps one row with its ``error`` (``strict=False``).
+    Headers are read here, once, and their layouts written; the count of tasks comes
+    from the bands that they say, so small files share tasks. A file without bands keeps one
+    row with its ``error`` (``strict=False``).
     """
-    sized = studies.files(spark, path, glob).agg(
-        F.sum(F.ceil(F.col("length") / task_bytes)).alias("tasks"), F.sum(F.ceil(F.col("length") / band_bytes)).alias("bands")
-    ).first()
-    tasks = max(sized.tasks or 1, min(sized.bands or 1, spark.sparkContext.defaultParallelism))
     row_bytes = F.col("width").cast("long") * F.col("samples_per_pixel") * F.col("bits_allocated") / 8
     step = F.greatest(F.lit(1), F.floor(F.lit(band_bytes) / row_bytes)).cast("int")
-    starts = F.when(F.col("error").isNull(), F.sequence(F.lit(0), F.col("height") - 1, step))
-    cut = layouts(spark, path, strict, glob).select("*", step.alias("step"), F.explode_outer(starts).alias("first_row"))
-    return Bands(cut.withColumn("band_rows", F.least("step", F.col("height") - F.col("first_row"))).drop("step"), int(tasks))
+    laid = written(layouts(spark, path, strict, glob, task_bytes), "row-band-layouts")[0].withColumn("step", step)
+    sized = laid.filter("error is null").agg(F.sum(F.ceil(F.col("height") / F.col("step"))).alias("bands"), F.sum(row_bytes * F.col("height")).cast("long").alias("size")).first()
+    starts = F.when(F.col("error").isNull(), F.sequence(F.lit(0), F.col("height") - 1, F.col("step")))
+    cut = laid.select("*", F.explode_outer(starts).alias("first_row"))
+    rows = cut.withColumn("band_rows", F.least("step", F.col("height") - F.col("first_row"))).drop("step")
+    return Bands(rows, _tasks(spark, sized.bands or 0, sized.size or 0, task_bytes))
 
 
 def _samples(file, band: dict) -> np.ndarray:
@@ -122,11 +131,18 @@ def through_bands(bands: Bands, function, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(target)
         for batch in batches:
-            for band in batch.to_pylist():
-                system, place = stores.opened(band["path"])
-                with system.open_input_file(place) as file:
-                    values = _samples(file, band)
-                yield pa.RecordBatch.from_pylist(function(band, values), schema=arrow)
+            for start in range(0, len(batch), TOGETHER):
+                out, held = [], 0
+                for band in batch.slice(start, TOGETHER).to_pylist():
+                    system, place = stores.opened(band["path"])
+                    with system.open_input_file(place) as file:
+                        values = _samples(file, band)
+                    out += function(band, values)
+                    held += values.nbytes
+                    if held >= HELD_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out, held = [], 0
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return bands.rows.filter("error is null").repartition(bands.tasks).mapInArrow(run, target)
 

@@ -64,6 +64,19 @@ def test_bands_of_one_image_are_read_by_many_tasks(spark, folder):
     assert sum(per_task) == 37 and max(per_task) <= 12
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    for n in range(70):
+        (tmp_path / f"{n}.dcm").write_bytes(build(RNG.integers(0, 200, 24).astype(np.uint8).tobytes(), rows=4, columns=6))
+    cut = row_bands.bands(spark, str(tmp_path), band_bytes=12)
+    assert cut.tasks == spark.sparkContext.defaultParallelism and cut.rows.count() == 140
+    whole = studies.as_images(studies.read_pixels(spark, str(tmp_path)))
+    want = {r.path.rsplit("/", 1)[-1]: r.equalized for r in images.equalize_packed(images.render(whole)).select("path", "equalized").collect()}
+    shown = row_bands.equalize(row_bands.with_range(cut))
+    assert shown.rdd.getNumPartitions() == cut.tasks and joined(spark, shown, "gray") == want
+    # a task for each 128 MB of pixels or for each so many bands, whichever is more
+    assert row_bands._tasks(spark, 60_000, 0, 128 << 20) == 59 and row_bands._tasks(spark, 30, 30 << 27, 128 << 20) == 30
+
+
 def test_what_has_no_bands_and_empty_folders(spark, folder, tmp_path):
     odd = tmp_path / "odd"
     odd.mkdir()
