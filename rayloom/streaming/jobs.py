@@ -226,32 +226,40 @@ def stalls(snapshots: DataFrame, late: str = "5 seconds") -> DataFrame:
 class InFlight(StatefulProcessor):
     """Which job a start runs as: that of its fingerprint while it is running, else its own.
 
-    One job id is held per fingerprint, until the end of that job comes, or for
+    A key is a bucket of many fingerprints, as handing a key over takes longer than its
+    rows. One job id is held per fingerprint, until the end of that job comes, or for
     ``ttl_ms`` of processing time, so that a job whose end is lost doesn't block its
-    fingerprint for ever.
+    fingerprint for ever. What is held is looked up for the fingerprints of a batch only.
     """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.running = handle.getValueState("running", "job_id long", self.ttl_ms)
+        self.running = handle.getMapState("running", "fingerprint string", "job_id long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = held = self.running.get()[0] if self.running.exists() else None
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "start", "seq"], kind="stable").itertuples(index=False):
-            if not row.start:
-                held = None if held == row.job_id else held
-            elif key[0] is None or pd.isna(key[0]):
-                out.append((None, row.job_id, row.job_id))
+        known, before, held, out = self.running.exists(), {}, {}, []
+        new = pd.concat(list(rows)).sort_values(["at", "start", "seq"], kind="stable")
+        alone = new["fingerprint"].isna().tolist()
+        for own, null, job, start in zip(new["fingerprint"].tolist(), alone, new["job_id"].tolist(), new["start"].tolist()):
+            if null:
+                if start:
+                    out.append((None, job, job))
+                continue
+            if own not in held:
+                found = self.running.getValue((own,)) if known else None
+                before[own] = held[own] = found[0] if found is not None else None
+            if not start:
+                held[own] = None if held[own] == job else held[own]
             else:
-                held = row.job_id if held is None else held
-                out.append((key[0], row.job_id, held))
-        if held is not None and held != before:
-            self.running.update((int(held),))
-        elif held is None and before is not None:
-            self.running.clear()
+                held[own] = job if held[own] is None else held[own]
+                out.append((own, job, held[own]))
+        for own, job in held.items():
+            if job is not None and job != before[own]:
+                self.running.updateValue((own,), (int(job),))
+            elif job is None and before[own] is not None:
+                self.running.removeKey((own,))
         if out:
             yield pd.DataFrame(out, columns=["fingerprint", "job_id", "ran_as"])
 
@@ -259,15 +267,21 @@ class InFlight(StatefulProcessor):
         pass
 
 
-def in_flight(starts_and_ends: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def in_flight(starts_and_ends: DataFrame, ttl_ms: int | None = None, buckets: int = 2048) -> DataFrame:
     """(fingerprint, job_id, ran_as) for every start of a feed (fingerprint, job_id, ts, seq, start boolean).
 
     A start gets the id of the job of its fingerprint that runs, as in
     ``operators.jobs.deduplicated_starts``; ends of other jobs change nothing, and at one moment
     ends come before starts, so a job that ends at the very moment of its start holds
     its fingerprint (until ``ttl_ms``), unlike there. A null fingerprint is like no other.
+
+    Fingerprints share ``buckets`` keys of state; a task holds the rows that a batch has for one
+    bucket. A checkpoint keeps the count of buckets it began with.
     """
-    keyed = starts_and_ends.select("fingerprint", "job_id", "ts", "seq", "start").groupBy("fingerprint")
+    # nulls are spread by their jobs; numbers pass to Python faster than times
+    bucket = F.pmod(F.coalesce(F.when(F.col("fingerprint").isNotNull(), F.xxhash64("fingerprint")), F.xxhash64("job_id")), F.lit(buckets))
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(2**63 - 1))
+    keyed = starts_and_ends.select(bucket.cast("int").alias("bucket"), "fingerprint", "job_id", at.alias("at"), "seq", F.coalesce("start", F.lit(False)).alias("start")).groupBy("bucket")
     mode = "None" if ttl_ms is None else "ProcessingTime"
     return keyed.transformWithStateInPandas(InFlight(ttl_ms), "fingerprint string, job_id long, ran_as long", outputMode="Append", timeMode=mode)
 

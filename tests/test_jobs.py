@@ -215,6 +215,72 @@ def test_in_flight_stream_equals_the_batch_form_also_after_a_restart(spark, tmp_
     assert got == want and len(set(want.values())) < 50
 
 
+class HeldInMemory:
+    """A map state, and how often it was asked."""
+
+    def __init__(self):
+        self.rows, self.asked = {}, 0
+
+    def getMapState(self, name, key, value, ttl_ms):
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+def test_in_flight_takes_many_fingerprints_at_a_time():
+    import pandas as pd
+
+    rng, state = random.Random(8), HeldInMemory()
+    own = streams.InFlight()
+    own.init(state)
+    feed = []
+    for job in range(4000):
+        fingerprint, at = rng.choice([None, *(f"f{n}" for n in range(300))]), rng.randrange(100_000)
+        feed += [(fingerprint, job, at, job, True), (fingerprint, job, at + rng.randint(1, 9000), job, False)]
+    feed.sort(key=lambda r: (r[2], r[4], r[3]))
+    got, want, running = [], [], {}
+    for rows in (feed[:3000], feed[3000:]):  # two batches, handed over in parts and out of order
+        mixed = pd.DataFrame(rng.sample(rows, len(rows)), columns=["fingerprint", "job_id", "at", "seq", "start"])
+        for out in own.handleInputRows((0,), iter([mixed[:1000], mixed[1000:]]), None):
+            got += out.itertuples(index=False, name=None)
+        for fingerprint, job, _, _, start in rows:
+            if start:
+                want.append((fingerprint, job, job if fingerprint is None else running.setdefault(fingerprint, job)))
+            elif running.get(fingerprint) == job:
+                del running[fingerprint]
+        assert {k[0]: v[0] for k, v in state.rows.items()} == running
+        assert bool(running) == (rows[-1] is not feed[-1])
+    key = lambda r: r[1]
+    assert sorted(got, key=key) == sorted(want, key=key) and len({r[2] for r in want}) < 3500
+    # once for each fingerprint of the second batch
+    assert state.asked <= 300
+
+
+def test_in_flight_stream_in_few_buckets(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    lines = lambda rows: "\n".join(f'{{"fingerprint": {f}, "job_id": {j}, "ts": "{(T0 + timedelta(minutes=m)).isoformat()}", "seq": {j}, "start": {b}}}' for f, j, m, b in rows)
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "0.json").write_text(lines([(f'"f{n % 40}"', n, n, "true") for n in range(50)] + [("null", 99, 1, "true"), ("null", 98, 2, "true")]))
+    rows = streams.read_feed(spark, str(tmp_path / "feed"), "fingerprint string, job_id long, ts timestamp, seq long, start boolean")
+    run = lambda: streams.in_flight(rows, buckets=3).writeStream.format("json").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    run()
+    (tmp_path / "feed" / "1.json").write_text(lines([(f'"f{n}"', n, 60, "false") for n in range(20)] + [(f'"f{n}"', 100 + n, 61, "true") for n in range(40)]))
+    run()
+    got = {r.job_id: r.ran_as for r in spark.read.schema("fingerprint string, job_id long, ran_as long").json(str(tmp_path / "out")).collect()}
+    assert got == {n: n % 40 for n in range(50)} | {99: 99, 98: 98} | {100 + n: 100 + n if n < 20 else n for n in range(40)}
+
+
 def test_bursts_as_stream_and_batch(spark, timed_feed):
     rows = [(1, i, ms, "running", i, False) for i, ms in enumerate([0, 400, 900, 1900, 5000, 5001, 5999, 7001])] + [(2, 20, 8000, "running", 1, False), (3, 21, 60_000, "queued", 0, False), (1, 22, 100, "running", 99, False)]
     plain = lambda found: sorted((r.job_id, r.update.seq, r.updates) for r in found)
