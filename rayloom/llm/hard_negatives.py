@@ -2,15 +2,18 @@
 
 The scores are the product of the anchors' matrix and the transposed matrix of all
 rows. Both are sharded: rows by a hash of the id into blocks, components into
-chunks. A task gets one anchor block and one row block of one chunk and multiplies
-them to a tile of partial int64 scores; a second shuffle adds the tiles of all
-chunks. Summed tiles are written, and then read twice: once for each anchor's
-positives (the best rows of its label), and, once those are known, for the best
-negatives in the window of scores that each positive opens. Both times a task
-keeps the best of all its tiles and sends on only those.
+chunks. Tasks form a grid: a task gets the blocks of one band of anchors and of one
+group of rows, multiplies a block of each chunk by chunk and adds the partial int64
+tiles where they are. So what is shuffled are the panels of both sides (rows once per
+band, anchors once per group), never scores, and a task holds one tile at a time.
 
-Anchors go in batches of at most ``batch_anchors``: that bounds the written tiles
-(batch x rows) and what is broadcast (the positives of one batch).
+The product is taken twice: once for each anchor's positives (the best rows of its
+label), and, once those are known, for the best negatives in the window of scores
+that each positive opens. Both times a task keeps the best of all its tiles and sends
+on only those.
+
+Anchors go in batches of at most ``batch_anchors``: that bounds how often the rows
+are sent (once per band of a batch) and what is broadcast (the positives of one batch).
 
 Defined results for odd input
 -----------------------------
@@ -31,7 +34,8 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,7 @@ from pyspark.sql import functions as F
 
 from rayloom.llm.common import materialise
 
-_HEAD = "anchor_block int, row_block int, anchors binary, anchor_labels binary, ids binary, labels binary"
-PARTIAL = f"{_HEAD}, tile binary"
+TILE = "anchor_block int, row_block int, anchors binary, anchor_labels binary, ids binary, labels binary, tile binary"
 BEST = "anchor_id long, positive_id long, positive_score long, vec_id long, score long"
 
 
@@ -69,6 +72,8 @@ def mine(
     anchor_rows: int = 256,
     chunk_dims: int = 32,
     batch_anchors: int = 20_000,
+    band_anchors: int = 4096,
+    group_rows: int = 1 << 18,
 ) -> DataFrame:
     """The best ``negatives`` of each anchor and positive.
 
@@ -82,12 +87,15 @@ def mine(
     n, anchors, dims = held.agg(F.count("*"), F.count_if("is_anchor"), F.max(F.size("v"))).first()
     chunks, batches = max(1, math.ceil((dims or 0) / chunk_dims)), max(1, math.ceil(anchors / batch_anchors))
     row_blocks, anchor_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(anchors / batches / anchor_rows))
+    bands = min(anchor_blocks, max(1, math.ceil(anchors / batches / band_anchors)))
+    # each group of rows sends its best, so there are no more than the tasks or the size of a task ask for
+    asked = max(math.ceil(2 * rows.sparkSession.sparkContext.defaultParallelism / bands), math.ceil(n / group_rows))
+    grid = Grid(row_blocks, anchor_blocks, chunks, chunk_dims, bands, min(row_blocks, asked))
     found = []
     for batch in range(batches):
         own = held.filter(F.col("is_anchor") & (F.pmod(F.xxhash64(F.lit("batch"), "id"), F.lit(batches)) == batch))
-        tiles = materialise(score_tiles(held, own, row_blocks, anchor_blocks, chunks, chunk_dims), "negatives-tiles")
-        best = materialise(top_positives(tiles, positives), "negatives-positives")
-        best_negatives = top_negatives(tiles, best, negatives, window)
+        best = materialise(top_positives(held, own, grid, positives), "negatives-positives")
+        best_negatives = top_negatives(held, own, grid, best, negatives, window)
         found.append(materialise(best_negatives, "negatives-batch") if batches > 1 else best_negatives)
     out = found[0]
     for more in found[1:]:
@@ -95,22 +103,46 @@ def mine(
     return out
 
 
+@dataclass(frozen=True)
+class Grid:
+    """How both sides are cut into blocks and chunks, and blocks dealt to tasks: ``bands`` of anchors times ``groups`` of rows."""
+
+    row_blocks: int
+    anchor_blocks: int
+    chunks: int
+    chunk_dims: int
+    bands: int
+    groups: int
+
+
+def through_tiles(rows: DataFrame, anchors: DataFrame, grid: Grid, function: Callable, schema: str) -> DataFrame:
+    """``function(tiles)`` gives, as record batches, the rows of a task from all of its tiles; see ``_tiles``."""
+
+    def panel(side: DataFrame, anchor: bool) -> DataFrame:
+        """The blocks of one side, cut into chunks, sent to every task of their band or group."""
+        blocks, parts, copies = (grid.anchor_blocks, grid.bands, grid.groups) if anchor else (grid.row_blocks, grid.groups, grid.bands)
+        dealt = side.select(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).cast("int").alias("block"), "id", "label", "v")
+        sent = dealt.select("*", F.pmod("block", F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("other"))
+        cell = F.col("part") * grid.groups + F.col("other") if anchor else F.col("other") * grid.groups + F.col("part")
+        cut = sent.select(cell.cast("int").alias("cell"), F.lit(not anchor).alias("is_row"), "block", "id", "label", "v", F.explode(F.sequence(F.lit(0), F.lit(grid.chunks - 1))).alias("chunk"))
+        return cut.select("cell", "is_row", "block", "chunk", "id", "label", F.slice("v", F.col("chunk") * grid.chunk_dims + 1, F.lit(grid.chunk_dims)).alias("part"))
+
+    panels = panel(anchors, True).union(panel(rows, False)).repartitionById(grid.bands * grid.groups, F.col("cell"))
+    ordered = panels.sortWithinPartitions("is_row", "block", "chunk", "id").drop("cell")
+    return ordered.mapInArrow(lambda batches: function(_tiles(batches, grid.chunks)), schema)
+
+
 def score_tiles(rows: DataFrame, anchors: DataFrame, row_blocks: int, anchor_blocks: int, chunks: int, chunk_dims: int) -> DataFrame:
     """One row per anchor block and row block: ids and labels of both sides and the summed scores."""
 
-    def panel(side: DataFrame, anchor: bool) -> DataFrame:
-        """The blocks of one side, cut into chunks, sent to every block of the other."""
-        own, others = ("anchor_block", "row_block") if anchor else ("row_block", "anchor_block")
-        blocks, copies = (anchor_blocks, row_blocks) if anchor else (row_blocks, anchor_blocks)
-        dealt = side.select(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).cast("int").alias(own), F.lit(anchor).alias("anchor"), "id", "label", "v")
-        cut = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-        part = F.slice("v", F.col("chunk") * chunk_dims + 1, F.lit(chunk_dims))
-        sent = cut.select(own, "anchor", "id", "label", "chunk", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(others))
-        return sent.select("anchor_block", "row_block", "chunk", "anchor", "id", "label", "part")
+    def run(tiles: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("anchor_block", pa.int32()), ("row_block", pa.int32()), *((n, pa.binary()) for n in ("anchors", "anchor_labels", "ids", "labels", "tile"))])
+        for anchor_block, row_block, *cells, scores in tiles:
+            narrow = scores.dtype != object and np.abs(scores).max(initial=0) < 2**31
+            values = [anchor_block, row_block, *(x.tobytes() for x in cells), _pack(scores, np.int32 if narrow else np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    panels = panel(anchors, True).union(panel(rows, False))
-    partial = panels.groupBy("anchor_block", "row_block", "chunk").applyInArrow(lambda key, block: _multiply(key, block, chunks), PARTIAL)
-    return partial.groupBy("anchor_block", "row_block").applyInArrow(_add, PARTIAL)
+    return through_tiles(rows, anchors, Grid(row_blocks, anchor_blocks, chunks, chunk_dims, anchor_blocks, row_blocks), run, TILE)
 
 
 def _matrix(parts: pa.ChunkedArray) -> np.ndarray:
@@ -147,91 +179,119 @@ def _unpack(cell: bytes, shape: tuple[int, int]) -> np.ndarray:
     return np.frombuffer(cell, cell[:1].decode(), offset=1).astype(np.int64, copy=False).reshape(shape)
 
 
-def _multiply(key: tuple, block: pa.Table, chunks: int) -> pa.Table:
-    """The tile of partial scores of one anchor block, row block and chunk; both sides in the order of ids."""
-    is_anchor = block.column("anchor").to_numpy()
-    sides = []
-    for mask in (is_anchor, ~is_anchor):
-        side = block.filter(pa.array(mask)).sort_by("id")
-        sides.append((side.column("id").to_numpy().astype(np.int64), side.column("label").to_numpy().astype(np.int64), _matrix(side.column("part"))))
-    (anchors, anchor_labels, left), (ids, labels, right) = sides
-    if not len(anchors) or not len(ids):
-        return _schema().empty_table()
-    cells = [x.tobytes() for x in (anchors, anchor_labels, ids, labels)]
-    return pa.Table.from_batches([_tile(key[0].as_py(), key[1].as_py(), cells, _pack(product(left, right, chunks)))])
+def _panels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(is_row, block, chunk, ids, labels, matrix) of each panel; rows come in this order."""
+    last, held = None, []
 
+    def whole() -> tuple:
+        rows = pa.Table.from_batches(held)
+        return (*last, rows.column("id").to_numpy().astype(np.int64), rows.column("label").to_numpy().astype(np.int64), _matrix(rows.column("part")))
 
-def _schema() -> pa.Schema:
-    return pa.schema([("anchor_block", pa.int32()), ("row_block", pa.int32()), *((n, pa.binary()) for n in ("anchors", "anchor_labels", "ids", "labels", "tile"))])
+    for batch in batches:
+        keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("is_row", "block", "chunk")])
+        cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+        for start, stop in zip([0, *cuts], [*cuts, len(batch)]):
+            if start == stop:
+                continue
+            if held and tuple(keys[:, start]) != last:
+                yield whole()
+                held = []
+            last = tuple(keys[:, start].tolist())
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield whole()
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[tuple]:
+    """Anchor block, row block, anchors, their labels, ids, labels and scores of each tile of a task.
+
+    Anchors come first and are kept; the rows of one block are kept at a time.
+    """
+    anchors: dict[int, list] = {}
+    rows: list = []
 
+    def multiplied() -> Iterator[tuple]:
+        block, ids, labels, right = rows
+        for anchor_block, (_, own, own_labels, left) in anchors.items():
+            total = sum((product(left[chunk], right[chunk], chunks) for chunk in sorted(left)), np.int64(0))
+            yield anchor_block, block, own, own_labels, ids, labels, total
 
-def _tile(anchor_block: int, row_block: int, cells: list[bytes], tile: bytes) -> pa.RecordBatch:
-    values = [anchor_block, row_block, *cells, tile]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _schema())], schema=_schema())
+    for is_row, block, chunk, ids, labels, matrix in _panels(batches):
+        if not is_row:
+            anchors.setdefault(block, [block, ids, labels, {}])[3][chunk] = matrix
+            continue
+        if rows and rows[0] != block:
+            yield from multiplied()
+            rows = []
+        rows = rows or [block, ids, labels, {}]
+        rows[3][chunk] = matrix
+    if rows:
+        yield from multiplied()
 
 
-def _add(key: tuple[pa.Scalar, ...], tiles: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the partial tiles of all chunks, taken as they come; narrow sums are stored in 32 bits."""
-    total, cells = None, []
-    for batch in tiles:
-        for at in range(len(batch)):
-            if total is None:
-                cells = [batch.column(n)[at].as_py() for n in ("anchors", "anchor_labels", "ids", "labels")]
-            part = _unpack(batch.column("tile")[at].as_py(), (len(cells[0]) // 8, len(cells[2]) // 8))
-            total = part if total is None else total + part
-    narrow = total.dtype != object and np.abs(total).max(initial=0) < 2**31
-    yield _tile(key[0].as_py(), key[1].as_py(), cells, _pack(total, np.int32 if narrow else np.int64))
+#: Below every score of a tile of 64-bit numbers.
+_NONE = -(2**62)
 
 
 class Best:
-    """The best ``k`` candidates of each pair (anchor, positive) seen so far: higher scores first, then smaller ids."""
-
-    def __init__(self, k: int):
-        self.k, self.held, self.waiting, self.rows = k, [], [], 0
-
-    def add(self, anchor: int, positive: int, positive_score: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if not len(ids):
-            return
-        if len(ids) > self.k:
-            # all that reach the k-th score, so that ties are decided by id
-            bound = np.partition(scores, len(scores) - self.k)[len(scores) - self.k] if scores.dtype != object else sorted(scores)[-self.k]
-            reach = scores >= bound
-            ids, scores = ids[reach], scores[reach]
-            order = np.lexsort((ids, -scores)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), int)
-            ids, scores = ids[order[: self.k]], scores[order[: self.k]]
-        self.waiting.append((anchor, positive, positive_score, ids, scores))
-        self.rows += len(ids)
-        if self.rows > 2_000_000:
-            self._settle()
-
-    def _settle(self) -> None:
-        by: dict[tuple[int, int, int], list] = {}
-        for anchor, positive, score, ids, scores in self.held + self.waiting:
-            by.setdefault((anchor, positive, score), []).append((ids, scores))
-        self.held, self.waiting, self.rows = [], [], 0
-        for (anchor, positive, score), parts in by.items():
-            pairs = sorted((-int(s), int(i)) for ids, scores in parts for i, s in zip(ids, scores))[: self.k]
-            dtype = np.int64 if all(abs(s) < 2**62 for s, _ in pairs) else object
-            self.held.append((anchor, positive, score, np.array([i for _, i in pairs], np.int64), np.array([-s for s, _ in pairs], dtype)))
-
-    def batches(self, named: str) -> Iterator[pa.RecordBatch]:
-        self._settle()
-        for at in range(0, len(self.held), 10_000):
-            rows = [(a, p, s, int(i), int(x)) for a, p, s, ids, scores in self.held[at : at + 10_000] for i, x in zip(ids, scores)]
-            for a, _, _, i, x in rows:
-                if abs(x) >= 2**63:
-                    raise ValueError(f"the score of {named} {a} and {i} is no 64-bit number: {x}")
-            columns = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["anchor_id", "positive_id", "positive_score", "vec_id", "score"])
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Anchor block, anchors, their labels, ids, labels and scores of each tile."""
-    for batch in batches:
-        for at in range(len(batch)):
-            cell = lambda name: batch.column(name)[at].as_py()  # noqa: E731, B023
-            anchors, anchor_labels, ids, labels = (np.frombuffer(cell(n), np.int64) for n in ("anchors", "anchor_labels", "ids", "labels"))
-            yield cell("anchor_block"), anchors, anchor_labels, ids, labels, _unpack(cell("tile"), (len(anchors), len(ids)))
+    """The best ``k`` candidates of each of so many pairs seen so far: higher scores first, then smaller ids."""
+
+    def __init__(self, k: int, pairs: int):
+        self.k = k
+        self.pairs, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+        # the k-th score of a pair that has so many: what is below needn't be kept
+        self.least = np.full(pairs, _NONE)
+
+    def add(self, first: int, ids: np.ndarray, scores: np.ndarray, mask: np.ndarray) -> None:
+        """Candidates of the pairs from ``first`` on: a row of ``scores`` each, where ``mask`` is true."""
+        if scores.dtype == object and self.least.dtype != object:
+            self.least = np.array([-math.inf if x == _NONE else x for x in self.least.tolist()] + [None], object)[:-1]
+        mask = mask & (scores >= self.least[first : first + len(scores), None])
+        if scores.dtype != object and mask.sum(axis=1).max(initial=0) > 4 * self.k:
+            # all that reach the k-th score of this tile, so that ties are decided by id
+            kth = np.partition(np.where(mask, scores, _NONE), scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            mask &= scores >= kth[:, None]
+        at, column = mask.nonzero()
+        if len(at):
+            self.waiting.append((at + first, ids[column], scores[at, column]))
+            self.rows += len(at)
+            if self.rows > max(4096, len(self.pairs)):
+                self.settle()
+
+    def settle(self) -> None:
+        pairs, ids, scores = (np.concatenate(parts) for parts in zip((self.pairs, self.ids, self.scores), *self.waiting))
+        self.waiting, self.rows = [], 0
+        if scores.dtype != object:
+            order = np.lexsort((ids, -scores, pairs))
+        else:
+            order = np.array(sorted(range(len(ids)), key=lambda i: (pairs[i], -scores[i], ids[i])), np.int64)
+        pairs, ids, scores = pairs[order], ids[order], scores[order]
+        starts = np.flatnonzero(np.diff(pairs, prepend=-1))
+        place = np.arange(len(pairs)) - np.repeat(starts, np.diff(starts, append=len(pairs)))
+        full = place == self.k - 1
+        if scores.dtype == object and self.least.dtype != object:
+            self.least = self.least.astype(object)
+        self.least[pairs[full]] = scores[full]
+        kept = place < self.k
+        self.pairs, self.ids, self.scores = pairs[kept], ids[kept], scores[kept]
+
+    def batches(self, anchors: np.ndarray, positives: list[list[tuple[int, int]]], named: str) -> Iterator[pa.RecordBatch]:
+        """The rows of ``BEST``; pair p is anchor ``p % len(anchors)`` and its positive number ``p // len(anchors)``."""
+        self.settle()
+        for at in range(0, len(self.pairs), 10_000):
+            rows = []
+            for pair, other, score in zip(*(x[at : at + 10_000].tolist() for x in (self.pairs, self.ids, self.scores))):
+                slot, i = divmod(pair, len(anchors))
+                if abs(score) >= 2**63:
+                    raise ValueError(f"the score of {named} {anchors[i]} and {other} is no 64-bit number: {score}")
+                rows.append((int(anchors[i]), *positives[i][slot], other, score))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], ["anchor_id", "positive_id", "positive_score", "vec_id", "score"])
+
+
+def _whole(values: list[int]) -> np.ndarray:
+    return np.array(values, np.int64) if all(abs(v) < 2**62 for v in values) else np.array([*values, None], object)[:-1]
 
 
 def _merged(best: DataFrame, k: int) -> DataFrame:
@@ -239,49 +299,51 @@ def _merged(best: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_positives(tiles: DataFrame, k: int) -> DataFrame:
-    """(anchor_block, anchor_id, positive_id, positive_score): each anchor's best ``k`` other rows of its label."""
+def top_positives(rows: DataFrame, anchors: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """(anchor_id, positive_id, positive_score): each anchor's best ``k`` other rows of its label."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k)
-        for block, anchors, anchor_labels, ids, labels, scores in _tiles(batches):
-            for i, (anchor, label) in enumerate(zip(anchors.tolist(), anchor_labels.tolist())):
-                alike = np.flatnonzero((labels == label) & (ids != anchor))
-                best.add(anchor, block, 0, ids[alike], scores[i, alike])
-        yield from best.batches("anchor")
+    def run(tiles: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[Best, np.ndarray]] = {}
+        for block, _, anchors, anchor_labels, ids, labels, scores in tiles:
+            best, _ = held.setdefault(block, (Best(k, len(anchors)), anchors))
+            best.add(0, ids, scores, (labels == anchor_labels[:, None]) & (ids != anchors[:, None]))
+        for best, anchors in held.values():
+            yield from best.batches(anchors, [[(0, 0)]] * len(anchors), "anchor")
 
-    # the block travels in the place of the positive, which isn't known yet
-    merged = _merged(tiles.mapInArrow(run, BEST), k)
-    return merged.select(F.col("positive_id").alias("anchor_block"), "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").cast("long").alias("positive_score"))
+    merged = _merged(through_tiles(rows, anchors, grid, run, BEST), k)
+    return merged.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").cast("long").alias("positive_score"))
 
 
-def top_negatives(tiles: DataFrame, positives: DataFrame, k: int, window: tuple[int, int]) -> DataFrame:
+def top_negatives(rows: DataFrame, anchors: DataFrame, grid: Grid, positives: DataFrame, k: int, window: tuple[int, int]) -> DataFrame:
     """The best ``k`` rows of another label inside each positive's window.
 
     ``positives`` are those of one batch of anchors, so what is broadcast is bounded.
     """
-    rows = positives.select("anchor_id", "positive_id", "positive_score").toArrow()
+    found = positives.select("anchor_id", "positive_id", "positive_score").toArrow()
     opened: dict[int, list[tuple[int, int]]] = {}
-    for anchor, positive, score in zip(*(rows.column(n).to_pylist() for n in rows.column_names)):
+    for anchor, positive, score in zip(*(found.column(n).to_pylist() for n in found.column_names)):
         opened.setdefault(anchor, []).append((positive, score))
-    shared = tiles.sparkSession.sparkContext.broadcast(opened)
+    shared = rows.sparkSession.sparkContext.broadcast(opened)
     low, high = window
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, known = Best(k), shared.value
-        for _, anchors, anchor_labels, ids, labels, scores in _tiles(batches):
-            for i, (anchor, label) in enumerate(zip(anchors.tolist(), anchor_labels.tolist())):
-                if anchor not in known:
-                    continue
-                other = np.flatnonzero((labels != label) & (ids != anchor))
-                own_ids, own = ids[other], scores[i, other]
-                for positive, score in known[anchor]:
-                    # the least and the largest whole score inside, which always fit 64 bits
-                    inside = (own >= -(-low * score // 100)) & (own <= high * score // 100)
-                    best.add(anchor, positive, score, own_ids[inside], own[inside])
-        yield from best.batches("anchor")
-
-    merged = _merged(tiles.mapInArrow(run, BEST), k)
+    def run(tiles: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for block, _, anchors, anchor_labels, ids, labels, scores in tiles:
+            if block not in held:
+                known = [shared.value.get(anchor, []) for anchor in anchors.tolist()]
+                slots = max(map(len, known), default=0)
+                # the least and the largest whole score inside; a positive that is missing has no such scores
+                own = lambda slot, bound, none: _whole([bound(p[slot][1]) if slot < len(p) else none for p in known])  # noqa: E731, B023
+                bounds = [(own(slot, lambda s: -(-low * s // 100), 1), own(slot, lambda s: high * s // 100, 0)) for slot in range(slots)]
+                held[block] = (Best(k, slots * len(anchors)), anchors, known, bounds)
+            best, _, _, bounds = held[block]
+            other = (labels != anchor_labels[:, None]) & (ids != anchors[:, None])
+            for slot, (least, most) in enumerate(bounds):
+                best.add(slot * len(anchors), ids, scores, other & (scores >= least[:, None]) & (scores <= most[:, None]))
+        for best, anchors, known, _ in held.values():
+            yield from best.batches(anchors, known, "anchor")
+
+    merged = _merged(through_tiles(rows, anchors, grid, run, BEST), k)
     return merged.select(
         "anchor_id", "positive_id", F.col("rank").cast("int"), F.col("vec_id").alias("negative_id"),
         F.col("positive_score").cast("long"), F.col("score").cast("long").alias("negative_score"),

@@ -100,3 +100,29 @@ def test_tiles_are_summed_over_chunks(spark):
                 assert scores[i, j] == vectors[a] @ vectors[x]
                 pairs.add((a, x))
     assert len(pairs) == 13 * 50
+
+
+def test_scores_are_neither_written_nor_shuffled(spark, tmp_path, monkeypatch):
+    """1500 anchors with 1500 rows have 2.25 million scores; what is stored and sent grows with the rows."""
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 5) for i in range(1500)]
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in iterate(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = set(stages())
+    monkeypatch.setattr("rayloom.llm.common.scratch_dir", lambda spark: str(tmp_path))
+    found = run(spark, rows, 1, positives=1, negatives=1, chunk_dims=4)
+    assert found == brute(rows, 1, 1, 1)
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    sent = sum(size for stage, size in stages().items() if stage not in before)
+    assert 0 < written < 500_000 and 0 < sent < 1_500_000
+
+
+def iterate(scala):
+    it = scala.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+@pytest.mark.parametrize("grid", [{"band_anchors": 1}, {"band_anchors": 6, "group_rows": 20}, {"batch_anchors": 1000, "band_anchors": 9, "group_rows": 1}])
+def test_any_grid_of_tasks_gives_the_same(spark, grid):
+    rows = cloud(130, 11)
+    assert run(spark, rows, **(SMALL | grid)) == brute(rows, 4)
