@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from rayloom.functions import kernels
 from rayloom.functions import pixels as px
 from rayloom.operators import images
-from rayloom.session import ship_package, written
-from rayloom.sources import dicom, stores, studies, study_source
+from rayloom.session import written
+from rayloom.sources import dicom, listing, stores, studies, study_source
 
 #: Header fields that decoding a band needs.
 _KEPT = ("samples_per_pixel", "bits_allocated", "bits_stored", "pixel_representation", "planar_configuration", "photometric")
@@ -81,9 +81,9 @@ def _layout_row(path: str, data: stores.RangedBytes) -> dict:
 
 
 def layouts(spark: SparkSession, path: str | list[str], strict: bool = True, glob: str | None = None, task_bytes: int = 128 << 20) -> DataFrame:
-    """One row per file: where its samples lie and how to read them. The listing is written once and dealt to tasks by its count of files."""
-    ship_package(spark)
-    found = written(studies.files(spark, path, glob).select("path", "length").distinct(), "row-band-files")[0]
+    """One row per file: where its samples lie and how to read them. Tasks list the files, and the listing is dealt to tasks by its count."""
+    paths = [path] if isinstance(path, str) else path
+    found = listing.files(spark, [root for one in paths for root in stores.matching(spark, one)], glob)
     return studies._decode(found.repartition(_tasks(spark, found.count(), 0, task_bytes)), _layout_row, LAYOUT, strict, ranged=True)
 
 

@@ -30,6 +30,14 @@ def kind(spark: SparkSession, path: str) -> str | None:
     return "folder" if system.getFileStatus(at).isDirectory() else "file"
 
 
+def matching(spark: SparkSession, path: str) -> list[str]:
+    """The full URIs that a path, or a pattern of paths, names; an error where there is none."""
+    system, at = _hadoop(spark, path)
+    if not (found := system.globStatus(at)):
+        raise FileNotFoundError(f"path does not exist: {path}")
+    return [status.getPath().toString() for status in found]
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     """Replaces what ``to`` names."""
     system, at = _hadoop(spark, path)
