@@ -1,10 +1,15 @@
 """``spark.read.format("study")``: study files as a data source of their own.
 
 The schema decides what is done: one with ``pixels`` decodes images, any other reads
-headers by byte ranges. Files are listed once, pruned by pushed conditions on
-``path`` before anything is opened, and dealt to partitions by the bytes that will
-be read, largest first to the emptiest, so that neither many small files nor a few
-large ones make a long task.
+headers by byte ranges. Files are dealt to partitions by the bytes that will be read,
+largest first, so that neither many small files nor a few large ones make a long task,
+and pushed conditions on ``path`` prune them before anything is opened.
+
+``read`` lists the files once, when it is called, and deals them by tasks
+(``listing``): a partition is a small table of files in the shared folder, and the
+driver holds the names of these tables only. ``spark.read.format("study")`` alone has
+no session where it plans: there the planning process lists the files, for each action
+anew, and holds their names.
 
 Options: ``path`` (or ``load(path)``; several as a JSON list), ``glob`` (on file
 names), ``strict`` (default true: the first unreadable file fails the query; else
@@ -29,7 +34,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -43,7 +50,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from rayloom.sources import stores, studies
+from rayloom.operators import ranges
+from rayloom.session import written
+from rayloom.sources import listing, stores, studies
 
 #: What opening a file and reading its header take, counted in bytes.
 HEADER_BYTES = 1 << 17
@@ -51,9 +60,10 @@ HEADER_BYTES = 1 << 17
 
 @dataclass
 class StudyFiles(InputPartition):
-    """Files that one task reads: (URI, size) each."""
+    """Files that one task reads: (URI, size) each, or the place of a table of them."""
 
     files: list[tuple[str, int]]
+    table: str = ""
 
 
 def listed(paths: Sequence[str], glob: str | None) -> list[tuple[str, int]]:
@@ -133,6 +143,8 @@ class StudyReader(DataSourceReader):
                 yield condition
 
     def partitions(self) -> Sequence[StudyFiles]:
+        if tables := self.options.get("tables"):
+            return [StudyFiles([], uri) for uri, _, folder in listing.entries(tables) if not folder]
         path = self.options.get("path", "")
         paths = json.loads(path) if path.startswith("[") else [path]
         found = [f for f in listed(paths, self.options.get("glob")) if all(keeps(c, f[0]) for c in self.conditions)]
@@ -145,7 +157,7 @@ class StudyReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, strict = to_arrow_schema(self.target), self.options.get("strict", "true").lower() == "true"
-        for path, size in partition.files if partition else ():
+        for path, size in self._files(partition) if partition else ():
             data = stores.RangedBytes(path, size)
             try:
                 row = studies.pixel_row(path, data[0:size]) if self.with_pixels else studies.metadata_row(path, data)
@@ -159,6 +171,35 @@ class StudyReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist([{name: row.get(name) for name in self.target.names}], schema=arrow)
 
 
+    def _files(self, partition: StudyFiles) -> Iterator[tuple[str, int]]:
+        yield from partition.files
+        if partition.table:
+            system, place = stores.opened(partition.table)
+            with system.open_input_file(place) as file:
+                for batch in pq.ParquetFile(file).iter_batches():
+                    for path, size in zip(*(batch.column(name).to_pylist() for name in ("path", "length"))):
+                        if all(keeps(c, path) for c in self.conditions):
+                            yield path, size
+
+
+def dealt_tables(found: DataFrame, weight: Column, most_bytes: int, most_files: int, least: int = 1) -> str:
+    """Writes ``found`` (path, length) as tables of near equal weight and ``most_files`` rows at the most; their folder.
+
+    A file of at least an equal share of all gets a table of its own, the others are
+    dealt in turn by falling weight.
+    """
+    weighed, _ = written(found.withColumn("weight", weight), "study-listing")
+    n, total = weighed.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    count = max(1, math.ceil(total / most_bytes), math.ceil(n / most_files), min(least, n))
+    large = weighed.filter(F.col("weight") * count >= total).count()
+    rest = max(count - large, math.ceil((n - large) / most_files), 1)
+    at = F.col("place") - 1
+    part = F.when(at < large, at).otherwise(large + F.pmod(at - large, F.lit(rest))).cast("int")
+    placed = ranges.running(weighed, ["weight", "path"], descending=True).select("path", "length", part.alias("part"))
+    parts = placed.repartitionById(large + (rest if n > large else 0) or 1, F.col("part")).sortWithinPartitions("path")
+    return written(parts.select("path", "length"), "study-files")[1]
+
+
 def register(spark: SparkSession) -> None:
     """Makes ``study`` known to the session, and this package to its tasks."""
     from rayloom.session import ship_package
@@ -171,7 +212,12 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, path: str | list[str], pixels: bool = False, **options) -> DataFrame:
     """The files at ``path`` as a DataFrame: headers, or decoded images."""
     register(spark)
+    given = {name.lower(): value for name, value in options.items()}
+    found = listing.files(spark, [path] if isinstance(path, str) else path, given.pop("glob", None))
+    length, header = F.col("length"), F.lit(HEADER_BYTES)
+    weight = (length if pixels else F.least(length, header)) + header
+    tables = dealt_tables(found, weight, int(given.pop("partitionbytes", 128 << 20)), int(given.pop("partitionfiles", 10_000)), int(given.pop("partitions", 1)))
     reader = spark.read.format("study").schema(studies.PIXELS if pixels else studies.METADATA)
-    for name, value in options.items():
+    for name, value in given.items():
         reader = reader.option(name, value)
-    return reader.load(path if isinstance(path, str) else json.dumps(path))
+    return reader.option("tables", tables).load()
